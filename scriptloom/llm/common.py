@@ -163,3 +163,103 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return spark.createDataFrame([], "id long, root long")
     least = forest.groupBy("p").agg(F.min("id").alias("root"))
     return vertices.join(forest, "id").join(least, "p").select("id", "root")
+
+
+def summed_slices(rows: DataFrame, combine: str = "sum") -> dict[int, np.ndarray]:
+    """Sums (or ors) arrays that tasks send in slices: rows have slice, salt (any spread) and data (int64 bytes).
+    Two levels of grouping, so no task combines more than a share of the tasks' arrays; returns the slices."""
+
+    def one(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table.column("data").to_pylist():
+            x = np.frombuffer(x, np.int64)
+            total = x if total is None else total + x if combine == "sum" else total | x
+        return pa.Table.from_pydict({"slice": table.column("slice")[:1].combine_chunks().cast(pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    first = rows.groupBy("slice", "salt").applyInArrow(one, "slice long, data binary")
+    return {r["slice"]: np.frombuffer(bytes(r["data"]), np.int64) for r in first.groupBy("slice").applyInArrow(one, "slice long, data binary").collect()}
+
+
+#: Most keys for which a Bloom filter (16 bits each, so 32 MB at most) is sent to the tasks; beyond, rows are only joined.
+BLOOM_KEYS = 16_000_000
+
+
+def bloom_of(keys: DataFrame):
+    """A test for arrays of longs that holds for all of keys' first column and for about 1 in 500 others; None if there are too many keys."""
+    spark = keys.sparkSession
+    n = keys.count()
+    if n > BLOOM_KEYS:
+        return None
+    bits = max(12, int(16 * n).bit_length())
+    pieces = 1 << max(0, bits - 21)
+    name = keys.columns[0]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for at in bloom_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                table[at] = True
+        for k, part in enumerate(np.split(np.packbits(table), pieces)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int64()), "salt": pa.array([TaskContext.get().partitionId() % 64], pa.int64()), "data": pa.array([part.tobytes()], pa.binary())})
+
+    found = summed_slices(keys.select(F.col(name).cast("long")).filter(F.col(name).isNotNull()).mapInArrow(mark, "slice long, salt long, data binary"), "or")
+    size = (1 << bits) // 8 // pieces
+    whole = np.concatenate([found[k].view(np.uint8) if k in found else np.zeros(size, np.uint8) for k in range(pieces)])
+    sent = spark.sparkContext.broadcast(whole)
+
+    def test(values: np.ndarray) -> np.ndarray:
+        table, hit = sent.value, np.ones(len(values), bool)
+        for at in bloom_places(values, bits):
+            hit &= (table[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+        return hit
+
+    return test
+
+
+def bloom_places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    x = values.astype(np.int64).view(np.uint64)
+    return [(mixed(x, 11 + k) >> np.uint64(64 - bits)).astype(np.int64) for k in range(4)]
+
+
+def only_keys(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs that may have a key of keys: by a Bloom filter where its size is within the bound, else all."""
+    test = bloom_of(keys)
+    if test is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = test(pc.fill_null(batch.column(key), -1).to_numpy(zero_copy_only=False))
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in sorted batches, each as one table; a run may cross batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
