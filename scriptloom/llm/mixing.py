@@ -43,8 +43,9 @@ def schedule(quanta: DataFrame) -> DataFrame:
     return folded.select("h", "m.turn", "m.slot", "m.before", (F.element_at("m.before", F.col("m.turn") + 1) + 1).alias("i"))
 
 
-def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int = 16, power: float = 0.5, resolution: int = 1000, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """For each row of docs: doc_id, source, block (from 1), release, deadline, slot, position (from 0, without gaps).
+def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int = 16, power: float = 0.5, resolution: int = 1000, key: str = "doc_id", source: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """For each row of docs: doc_id, source, block (from 1), release, deadline, slot, position (from 0, without gaps), and
+    `carried`, a struct of the columns in carry, if there are any.
 
     weights gives each source's target; where there are none, they go by the source's count ** power. Sources that
     weights leaves out get the least weight (one quantum), as none is dropped. A null source is a source of its own.
@@ -53,8 +54,8 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
     No rows give no rows. Extra columns are ignored.
     """
     order = F.md5(F.col(key).cast("string"))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), order.alias("o")).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("cell", F.substring("o", 1, CELL_DIGITS))
-    cells = rows.groupBy("s", "cell").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), order.alias("o"), *([F.struct(*carry).alias("carried")] if carry else [])).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("cell", F.substring("o", 1, CELL_DIGITS))
+    cells = rows.select("s", "cell").groupBy("s", "cell").agg(F.count(F.lit(1)).alias("n"))
     ahead = cells.select("s", "cell", (F.sum("n").over(W.partitionBy("s").orderBy("cell")) - F.col("n")).alias("ahead"))
     sizes = cells.groupBy("s").agg(F.sum("n").alias("n"))
     if weights is None:
@@ -77,5 +78,5 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
         F.floor((F.col("block") - 1) * F.col("h") / F.col("quanta")).cast("long").alias("release"),
         F.ceil(F.col("block") * F.col("h") / F.col("quanta")).cast("long").alias("deadline"),
         (F.col("slot") + F.col("round") * F.col("h")).alias("slot"),
-        (earlier + F.col("rank") - (F.col("block") - 1) * block).alias("position"),
+        (earlier + F.col("rank") - (F.col("block") - 1) * block).alias("position"), *(["carried"] if carry else []),
     )

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from collections.abc import Iterator
-import zlib
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, license_scan, media, mixing, packing, token_output
+from . import exact_dedup, jaccard_join, langid, license_scan, media, mixing, packing, substring_dedup, suffix_dedup, token_output
 from .common import documents
 
 
@@ -18,10 +15,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir), words=3, per_cent=90)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_output.read_tokens(token_output.write_tokens(documents(spark, sf_dir)))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -31,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("ids")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = langid.held_out()
@@ -48,6 +57,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digests(stored_audio)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_mixing, op5_token_output, op6_packing, op8_language_id, op9_exact_dedup, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_jaccard_join,
+        op3_mixing,
+        op4_suffix_dedup,
+        op5_token_output,
+        op6_packing,
+        op7_substring_dedup,
+        op8_language_id,
+        op9_exact_dedup,
+        op10_media,
+    )
+}
 
 ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
