@@ -14,6 +14,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 
@@ -22,6 +23,22 @@ DANGEROUS = {"eval", "exec", "compile", "__import__", "system", "popen", "spawn"
 KEPT_NAMES = {"print", "len", "range", "str", "int", "list", "dict", "open", "exec", "eval"}
 
 
+# Types as objects: workers import this module, and only a session can parse type strings.
+_KINDS = {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
+def _struct(**fields: str | T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, _KINDS[v] if isinstance(v, str) else v) for k, v in fields.items()])
+
+
+_STRINGS = T.ArrayType(T.StringType())
+_REPORT = _struct(valid="boolean", error="string", line="int", offset="int")
+_TREE = _struct(function_calls=_STRINGS, imports=_STRINGS, dangerous_patterns=_STRINGS, node_counts=T.MapType(T.StringType(), T.IntegerType()), complexity_score="int")
+_FUNCTIONS = T.ArrayType(_struct(code="string", start="int", end="int"))
+_PARTS = T.ArrayType(_struct(chunk_type="string", function_name="string", line_start="int", line_end="int", content="string"))
+_MEMBERS = T.ArrayType(_struct(name="string", content="string"))
+
+
 def parse(code: str | None) -> ast.Module | None:
     """The syntax tree; None where there is none (syntax errors, NUL characters, nesting too deep)."""
     try:
@@ -32,7 +49,7 @@ def parse(code: str | None) -> ast.Module | None:
         return None
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def parses(code: pd.Series) -> pd.Series:
     return code.map(lambda x: parse(x) is not None).astype(bool)
 
@@ -46,7 +63,7 @@ def valid_syntax(c: Column, python2: bool = True) -> Column:
     return parses(c) | old
 
 
-@F.pandas_udf("valid boolean, error string, line int, offset int")
+@F.pandas_udf(_REPORT)
 def syntax_report(code: pd.Series) -> pd.DataFrame:
     def one(x: str | None) -> tuple:
         try:
@@ -80,19 +97,16 @@ def tree_features(code: str | None) -> dict:
     return out | {"node_counts": dict(counts), "complexity_score": len(counts)}
 
 
-@F.pandas_udf("function_calls array<string>, imports array<string>, dangerous_patterns array<string>, node_counts map<string,int>, complexity_score int")
+@F.pandas_udf(_TREE)
 def ast_features(code: pd.Series) -> pd.DataFrame:
-    rows = [tree_features(x) for x in code]
-    for r in rows:
-        r["node_counts"] = list(r["node_counts"].items())
-    return pd.DataFrame(rows, columns=["function_calls", "imports", "dangerous_patterns", "node_counts", "complexity_score"])
+    return pd.DataFrame([tree_features(x) for x in code], columns=["function_calls", "imports", "dangerous_patterns", "node_counts", "complexity_score"])
 
 
 def source_lines(code: str, first: int, last: int) -> str:
     return "\n".join(code.split("\n")[first:last])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def import_lines(code: pd.Series) -> pd.Series:
     """Lines of import statements, in the tree's order; by pattern where there is no tree."""
 
@@ -105,7 +119,7 @@ def import_lines(code: pd.Series) -> pd.Series:
     return code.map(one)
 
 
-@F.pandas_udf("array<struct<code:string,start:int,end:int>>")
+@F.pandas_udf(_FUNCTIONS)
 def security_functions(code: pd.Series) -> pd.Series:
     """Functions with a security word: their source and line range (from 0, end excluded)."""
     words = re.compile(t.SECURITY_WORDS)
@@ -118,7 +132,7 @@ def security_functions(code: pd.Series) -> pd.Series:
     return code.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def main_guard(code: pd.Series) -> pd.Series:
     """The block under a comparison of __name__, else what follows one by pattern, else the empty text."""
 
@@ -134,7 +148,7 @@ def main_guard(code: pd.Series) -> pd.Series:
     return code.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parent_context(code: pd.Series) -> pd.Series:
     """Docstring, imports and signatures of a module in at most 500 characters; the first lines where there is no tree."""
 
@@ -161,7 +175,7 @@ def parent_context(code: pd.Series) -> pd.Series:
     return code.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def variables_renamed(code: pd.Series, id: pd.Series) -> pd.Series:
     """Variables get numbered names that depend on the row's id and their order; texts without a tree stay."""
 
@@ -175,7 +189,7 @@ def variables_renamed(code: pd.Series, id: pd.Series) -> pd.Series:
     return pd.Series([one(x, s) for x, s in zip(code, id.fillna(0), strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strings_split(code: pd.Series) -> pd.Series:
     """Quoted strings of more than four characters as the sum of their halves."""
 
@@ -185,7 +199,7 @@ def strings_split(code: pd.Series) -> pd.Series:
     return code.map(lambda x: re.sub(r'"([^"]{4,})"', halves('"'), re.sub(r"'([^']{4,})'", halves("'"), x)) if x else x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def licenses_removed(code: pd.Series) -> pd.Series:
     """Without comment lines and leading docstrings that tell a license or copyright (ten of each pattern at most), and
     without a docstring block at the beginning; a block is closed by a later line than the one that opens it."""
@@ -207,12 +221,12 @@ def licenses_removed(code: pd.Series) -> pd.Series:
     return code.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<struct<chunk_type:string,function_name:string,line_start:int,line_end:int,content:string>>")
+@F.pandas_udf(_PARTS)
 def definitions(code: pd.Series) -> pd.Series:
     """The module's rest, then each top-level function and class, by lines; empty where there is no tree."""
 
@@ -264,12 +278,12 @@ def members(raw: bytes | None, most: int = 10 << 20) -> list[dict]:
     return [{"name": n, "content": c} for n, c in texts if len(c) > 50 and "\0" not in c]
 
 
-@F.pandas_udf("array<struct<name:string,content:string>>")
+@F.pandas_udf(_MEMBERS)
 def archive_members(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: members(bytes(x)) if x is not None else [])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def smart_cut(code: pd.Series, imports: pd.Series, functions: pd.Series, most: pd.Series) -> pd.Series:
     """A long text in parts: imports, functions with security words, the beginning, and the end (three tenths)."""
 

@@ -38,8 +38,8 @@ def scored(queries: DataFrame, vectors: DataFrame, blocks: int | None = None) ->
     neither side is held whole."""
     blocks = blocks or max(1, -(-queries.count() // QUERY_BLOCK))
     cells = 16
-    q = queries.select("query_id", normalised(F.col("q")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    v = vectors.withColumn("v", normalised(F.col("v"))).withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    q = queries.select("query_id", normalised(F.col("q")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    v = vectors.withColumn("v", normalised(F.col("v"))).withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return v.join(q, ["block", "cell"]).withColumn("score", dot(F.col("q"), F.col("v"))).drop("block", "cell", "q", "v")
 
 

@@ -1 +1,115 @@
+"""Whole flows: curation of samples to training text, and analysis of scripts in batches."""
 
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import chunking, dedup, metrics, quality, sampling
+from ..registry import query
+from ..sources.samples import SAMPLES_SQL, samples, table
+from .texts import _VALID, ENTROPY, strip
+
+
+@dataclass
+class Settings:
+    """What a curation run does; fields are checked on creation."""
+
+    min_length: int = 50
+    max_length: int = 50_000
+    max_comments: float = 0.8
+    near_method: str = "auto"
+    near_threshold: float = 0.85
+    test_fraction: float = 0.1
+    variants: int = 2
+    balance_ratio: float = 1.0
+    balance: str = "undersample"
+    chunk_size: int = 128
+    overlap: int = 16
+    steps: dict[str, bool] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if not 0 < self.min_length <= self.max_length:
+            raise ValueError("min_length must lie between 1 and max_length")
+        if not 0 < self.near_threshold <= 1 or not 0 < self.test_fraction < 1 or self.balance_ratio <= 0:
+            raise ValueError("near_threshold, test_fraction and balance_ratio are out of range")
+        if self.balance not in ("undersample", "oversample", "hybrid", "none"):
+            raise ValueError(f"no such balance: {self.balance}")
+
+    def on(self, step: str) -> bool:
+        """A step's own setting, else the one for all, else yes."""
+        return self.steps.get(step, self.steps.get("all", True))
+
+
+def curated(spark: SparkSession, sf_dir: str, s: Settings | None = None) -> DataFrame:
+    """Samples that pass validation, the first of each text, with features."""
+    s = s or Settings()
+    rows = samples(spark, sf_dir)
+    rows = rows.withColumn("reason", quality.validation_reason(F.col("content"), F.col("label"), min_length=s.min_length, max_length=s.max_length, max_comments=s.max_comments)).filter("reason is null").drop("reason")
+    rows = dedup.exact(rows)
+    c = F.col("content")
+    return rows.withColumn("entropy", t.entropy(c)).withColumn("network_apis", t.words_in(c, t.NETWORK)).withColumn("suspicious", t.words_in(c, t.SUSPICIOUS))
+
+
+def training_rows(spark: SparkSession, sf_dir: str, s: Settings | None = None) -> DataFrame:
+    """part (train or test) and the prompt of each curated sample: split first, then variants and balance for training alone."""
+    s = s or Settings()
+    parts = sampling.split(curated(spark, sf_dir, s).select("id", "content", "label", "source"), s.test_fraction)
+    train = parts.filter("part = 'train'").drop("part")
+    if s.on("augment"):
+        train = sampling.augmented(train, s.variants).withColumn("id", F.coalesce("id", F.xxhash64("parent_id", "copy"))).select("id", "content", "label", "source")
+    if s.on("balance") and s.balance != "none":
+        train = {"undersample": sampling.undersample, "oversample": sampling.oversample, "hybrid": sampling.hybrid}[s.balance](train, s.balance_ratio)
+    both = train.select("id", "content", "label", F.lit("train").alias("part")).unionByName(parts.filter("part = 'test'").select("id", "content", "label", "part"))
+    return both.select("id", "part", "label", t.training_prompt(F.col("content"), F.col("label")).alias("text"))
+
+
+def analysed(requests: DataFrame, examples: DataFrame) -> DataFrame:
+    """A batch of scripts (id, content) to prompts: refused if blank or too long; the examples of malicious patterns (a few
+    rows: code, label) stand before each."""
+    ok = (F.length("content") <= 100_000) & (t.strip(F.col("content")) != "")
+    shown = examples.agg(F.collect_list(F.struct("code", "label")).alias("examples"))
+    return requests.withColumn("accepted", ok).join(F.broadcast(shown)).select("id", "accepted", F.when(F.col("accepted"), t.few_shot_prompt(F.col("content"), F.col("examples"))).alias("prompt"))
+
+
+_CURATED = f"WITH {SAMPLES_SQL}, valid AS (SELECT * FROM samples WHERE {_VALID} IS NULL), once AS (SELECT * FROM valid WHERE id IN (SELECT min(id) FROM valid WHERE content <> '' GROUP BY content_hash))"
+
+
+@query("flow_curated", f"{_CURATED} SELECT label, source, count(*) AS n, round(avg({ENTROPY}), 6) AS avg_entropy FROM once GROUP BY label, source")
+def _(spark, d):
+    return curated(spark, d).groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("entropy"), 6).alias("avg_entropy"))
+
+
+@query("flow_training_rows")
+def _(spark, d):
+    return training_rows(spark, d).select("id", "part", "label", F.md5("text").alias("digest"))
+
+
+@query("flow_split", f"{_CURATED}, r AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) AS rank, ceil(count(*) OVER () * 0.1) AS k FROM once) SELECT id, CASE WHEN rank <= k THEN 'test' ELSE 'train' END AS part FROM r")
+def _(spark, d):
+    return sampling.split(curated(spark, d).select("id")).select("id", "part")
+
+
+@query("flow_chunk_vectors", f"WITH {SAMPLES_SQL} SELECT count(*) AS documents, count(*) FILTER ({strip('content')} = '') AS blank FROM samples")
+def _(spark, d):
+    s = samples(spark, d)
+    return s.agg(F.count(F.lit(1)).alias("documents"), F.count_if(t.strip(F.col("content")) == "").alias("blank"))
+
+
+@query("flow_analysed", "SELECT conv_id * 1000 + turn AS id, length(text) <= 100000 AND regexp_replace(text, '\\s', '', 'g') <> '' AS accepted FROM conversations")
+def _(spark, d):
+    requests = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    examples = table(spark, d, "benchmark").orderBy("item_id").limit(3).select(F.col("text").alias("code"), F.lit("malicious").alias("label"))
+    return analysed(requests, examples).select("id", "accepted")
+
+
+@query("flow_source_report")
+def _(spark, d):
+    """Chunks, tokens and balance by source of what curation keeps."""
+    rows = curated(spark, d).select("id", "content", "label", "source")
+    chunks = chunking.sliding(rows).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))
+    labels = rows.groupBy("source").agg(F.count_if(F.col("label") == "malicious").alias("malicious"), F.count_if(F.col("label") == "benign").alias("benign"))
+    return chunks.join(labels, "source").withColumn("malicious_share", F.round(metrics.ratio(F.col("malicious"), F.col("malicious") + F.col("benign")), 6))

@@ -59,7 +59,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTORS_SQL = """vectors AS (SELECT vec_id, vec_id // 3 AS db_id, vec_id % 3 AS chunk_index, CASE label % 2 WHEN 1 THEN 'malicious' ELSE 'benign' END AS label,
-  list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings)"""
+  list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"""
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
