@@ -165,14 +165,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return vertices.join(forest, "id").join(least, "p").select("id", "root")
 
 
-def summed_slices(rows: DataFrame, combine: str = "sum") -> dict[int, np.ndarray]:
-    """Sums (or ors) arrays that tasks send in slices: rows have slice, salt (any spread) and data (int64 bytes).
-    Two levels of grouping, so no task combines more than a share of the tasks' arrays; returns the slices."""
+def summed_slices(rows: DataFrame, combine: str = "sum", kind: type = np.int64) -> dict[int, np.ndarray]:
+    """Sums (or ors) arrays that tasks send in slices: rows have slice, salt (any spread) and data (bytes of `kind`).
+    Two levels of grouping, so no task combines more than a share of the tasks' arrays; returns the slices as int64."""
 
     def one(table: pa.Table) -> pa.Table:
-        total = None
+        total, sent = None, kind if "salt" in table.column_names else np.int64
         for x in table.column("data").to_pylist():
-            x = np.frombuffer(x, np.int64)
+            x = np.frombuffer(x, sent).astype(np.int64)
             total = x if total is None else total + x if combine == "sum" else total | x
         return pa.Table.from_pydict({"slice": table.column("slice")[:1].combine_chunks().cast(pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
 

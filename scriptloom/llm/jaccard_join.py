@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from .common import bloom_of, components, groups, mixed, partitions, slices, stored, summed_slices, texts, word_hashes, words_of
 
 ORDERS = 3
-#: Hash cells of the frequency count; two rows of them. The size doesn't follow the input: it tells which tokens a large share of documents has.
-CELLS = 1 << 18
+#: Hash cells of the frequency count; two rows of them, 8 MB in all as sent. The size doesn't follow the input: what matters
+#: is which tokens a large share of documents has.
+CELL_BITS = 21
+CELLS = 1 << CELL_BITS
 #: A prefix token of more classes than this ties them together without pairs.
-PAIRS_UP_TO = 32
+PAIRS_UP_TO = 128
 #: Classes of a cluster that one task compares; larger clusters are cut into blocks of half as many.
 BLOCK = 4096
 
@@ -67,25 +69,26 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def cells(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (tokens >> np.uint64(46)).astype(np.int64), (mixed(tokens, 9) >> np.uint64(46)).astype(np.int64)
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64), (mixed(tokens, 9) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     """2 x CELLS levels (a quarter of log2 of the documents that have a token of the cell), over all documents."""
-    parts = 32
+    parts = 256
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, CELLS), np.int64)
-        for batch in slices(batches, "text", 2 << 20):
+        table = np.zeros((2, CELLS), np.int32)
+        for batch in slices(batches, "text", 1 << 20):
             sets = token_sets(batch.column("text"), n)
             for row, cell in zip(table, cells(np.concatenate(sets)), strict=True):
-                row += np.bincount(cell, minlength=CELLS)
+                at, times = np.unique(cell, return_counts=True)
+                row[at] += times.astype(np.int32)
         if table.any():
             flat = np.split(table.reshape(-1), parts)
             salt = TaskContext.get().partitionId() % 64
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(parts), pa.int64()), "salt": pa.array([salt] * parts, pa.int64()), "data": pa.array([x.tobytes() for x in flat], pa.binary())})
 
-    found = summed_slices(docs.select("text").mapInArrow(count, "slice long, salt long, data binary"))
+    found = summed_slices(docs.select("text").mapInArrow(count, "slice long, salt long, data binary"), kind=np.int32)
     if not found:
         return np.zeros((2, CELLS), np.uint8)
     total = np.concatenate([found[k] for k in range(parts)]).reshape(2, CELLS)
@@ -133,7 +136,7 @@ def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets
                     })
                 rows.clear()
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             for tokens in token_sets(batch.column("text"), n):
                 if len(tokens) and (owner := set_id(tokens)) not in seen:
                     seen.add(owner)
@@ -258,7 +261,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 3, per_cent: int = 90, key: st
     sent = spark.sparkContext.broadcast(levels)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             sets = token_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())})
 
@@ -271,7 +274,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 3, per_cent: int = 90, key: st
     test = bloom_of(clusters.select("rep"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             if test is not None:
                 batch = batch.filter(pa.array(test(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "tokens": pa.array([x.tobytes() for x in token_sets(batch.column("text"), words)], pa.binary())})
