@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,18 @@ import pyarrow as pa
 REMEMBERED = 800_000
 
 
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write visible bytes as themselves and the others as characters from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
 class PieceEncoder:
     """Encodes texts to little-endian uint32 ids, piece by piece.
 
@@ -27,19 +40,41 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.rare = re.compile(r"[ \n](?![!-~À-ÖØ-öø-ɏ])").search
         self.pieces = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!#$%&*,.:;? \n])|[ \n]?[^ \n]+").findall
+        #: One word of Latin letters is one pre-token (with the gap before it, or without).
+        self.latin = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         self.known: dict[str, bytes] = {}
         #: Another tokenizer, for which the special token between pieces is a boundary and one id.
         self.joined, self.special = Tokenizer.from_file(path), special
         self.boundary = self.joined.token_to_id(special)
+        self.model, self.word = self.tokenizer.model, None
+        probe = [" hello", "Zusammenhänge", " ÉCLAIRÉE", "\nAnother", " it"]
+        for way in (self.with_gap, self.lowered):  # how this vocabulary sees one word of Latin letters, if in either way
+            if all(way(x) == self.whole(x) for x in probe):
+                self.word = way
+
+    def ids_of(self, word: str) -> list[int]:
+        """The model's ids of one pre-token: its bytes as the characters that stand for them."""
+        return [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+
+    def with_gap(self, piece: str) -> bytes:
+        ids = self.ids_of("\n") + self.ids_of(piece[1:]) if piece[0] == "\n" else self.ids_of(piece)
+        return np.asarray(ids, "<u4").tobytes()
+
+    def lowered(self, piece: str) -> bytes:
+        return np.asarray(self.ids_of(piece.lstrip(" \n").lower()), "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
-        plain = [x for x in new if "<|" not in x]
+        plain = []
         for x in new:
-            if "<|" in x:
+            if self.word and self.latin(x):
+                self.known[x] = self.word(x)
+            elif "<|" in x:
                 self.known[x] = self.whole(x)
+            else:
+                plain.append(x)
         for k in range(0, len(plain), 5000):
             part = plain[k : k + 5000]
             ids = np.asarray(self.joined.encode(self.special.join(part), add_special_tokens=False).ids, dtype="<u4")
@@ -57,12 +92,12 @@ class PieceEncoder:
         """The ids of each text; null counts as empty."""
         cut = [None if not t or self.rare(t) else self.pieces(t) for t in texts]
         known = self.known
-        new = set().union(*(x for x in cut if x)) - known.keys()
+        new = set(filterfalse(known.__contains__, chain.from_iterable(x for x in cut if x)))
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set().union(*(x for x in cut if x))
         self.learn(list(new))
-        return [b"".join([known[y] for y in x]) if x else self.whole(t) if t else b"" for t, x in zip(texts, cut, strict=True)]
+        return [b"".join(map(known.__getitem__, x)) if x else self.whole(t) if t else b"" for t, x in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
