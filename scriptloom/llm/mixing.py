@@ -53,7 +53,7 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
     The table of sources (one row each) is broadcast; it and the period (about `resolution` slots) must fit in memory.
     No rows give no rows. Extra columns are ignored.
     """
-    order = F.md5(F.col(key).cast("string"))
+    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), order.alias("o"), *([F.struct(*carry).alias("carried")] if carry else [])).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("cell", F.substring("o", 1, CELL_DIGITS))
     cells = rows.select("s", "cell").groupBy("s", "cell").agg(F.count(F.lit(1)).alias("n"))
     ahead = cells.select("s", "cell", (F.sum("n").over(W.partitionBy("s").orderBy("cell")) - F.col("n")).alias("ahead"))
