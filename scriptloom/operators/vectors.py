@@ -132,3 +132,15 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """An upsert: of the rows of a key the last stays."""
     columns = [c for c in rows.columns if c not in (key, order)]
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r"), F.max(order).alias(order)).select(key, order, "r.*")
+
+
+def reranked(hits: DataFrame, k: int, strategy: str = "heuristic", similar: Column | None = None, cross: Column | None = None) -> DataFrame:
+    """hits by a strategy (none, heuristic, cross_encoder or hybrid), cut to k: boost and diversity, then a given cross-encoder
+    column blended in."""
+    if strategy in ("heuristic", "hybrid"):
+        hits = boosted(hits)
+        if similar is not None:
+            hits = diversified(hits, similar)
+    if strategy in ("cross_encoder", "hybrid") and cross is not None:
+        hits = hits.withColumn("score", blended(F.col("score"), cross))
+    return top_k(hits.drop("rank"), k)

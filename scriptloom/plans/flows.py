@@ -93,12 +93,6 @@ def _(spark, d):
     return sampling.split(curated(spark, d).select("id")).select("id", "part")
 
 
-@query("flow_chunk_vectors", f"WITH {SAMPLES_SQL} SELECT count(*) AS documents, count(*) FILTER ({strip('content')} = '') AS blank FROM samples")
-def _(spark, d):
-    s = samples(spark, d)
-    return s.agg(F.count(F.lit(1)).alias("documents"), F.count_if(t.strip(F.col("content")) == "").alias("blank"))
-
-
 @query("flow_analysed", "SELECT conv_id * 1000 + turn AS id, length(text) <= 100000 AND regexp_replace(text, '\\s', '', 'g') <> '' AS accepted FROM conversations")
 def _(spark, d):
     requests = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))

@@ -152,3 +152,33 @@ KNOWLEDGE = [
 
 def knowledge(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWLEDGE, "description string, severity string, type string, pattern string").withColumn("point_id", F.md5("description"))
+
+
+def first_sdist(urls: Column) -> Column:
+    """The address of the first source distribution in an array of structs (packagetype, url)."""
+    return F.get(F.filter(urls, lambda u: u["packagetype"] == "sdist"), F.lit(0))["url"]
+
+
+def backoff(attempt: int, first: float = 1.0, factor: float = 2.0, most: float = 60.0) -> float:
+    """Seconds to wait before a retry."""
+    return min(first * factor**attempt, most)
+
+
+# Templates of synthetic scripts; the second part is a parameter.
+TEMPLATES = [("def area(x):\n    return x * ", "3"), ("for i in range(", "10):\n    print(i)"), ("values = [i for i in range(", "5)]")]
+
+
+def synthetic(rows: DataFrame, id: str = "id") -> DataFrame:
+    """A script for each row, template and number by hash of the id; equal scripts once."""
+    from ..functions.text import seeded
+
+    pick = seeded(F.col(id).cast("string"))
+    body = F.concat(F.element_at(F.array(*(F.lit(a) for a, _ in TEMPLATES)), (pick % 3 + 1).cast("int")), (F.floor(pick / 3) % 50).cast("string"), F.lit("\n"))
+    return rows.select(body.alias("content"), F.lit("benign").alias("label"), F.lit("synthetic").alias("source")).dropDuplicates()
+
+
+def trigrams(c: Column) -> Column:
+    """The distinct three-character pieces of a lower-cased text, as a trigram index holds them."""
+    low = F.lower(c)
+    n = F.length(c)
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
