@@ -214,3 +214,27 @@ def test_stream(spark, tmp_path):
     q = scan_log.deduplicated(log.withColumn("script_hash", F.col("user_id")), delay="60 days").writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == events.select("user_id").distinct().count()
+
+
+def test_schemas(spark, tmp_path):
+    from scriptloom.sources import schemas
+
+    schemas.create(spark, str(tmp_path))
+    schemas.create(spark, str(tmp_path))
+    rows = schemas.conformed(schemas.stamped(spark.createDataFrame([(1, "x", 5)], "id int, content string, other int")), schemas.SAMPLES)
+    assert rows.first().id == 1 and rows.first().label is None and rows.first().updated_at is not None and "other" not in rows.columns
+
+
+def test_small_helpers(spark):
+    assert [src.backoff(k) for k in (0, 3, 10)] == [1.0, 8.0, 60.0]
+    assert one(spark, src.host_of(F.col("x")), x="https://a.b/c?d") == "a.b"
+    assert one(spark, src.raw_url(F.col("x")), x="https://github.com/o/r/blob/main/f.py") == "https://raw.githubusercontent.com/o/r/main/f.py"
+    assert one(spark, t.language(F.col("x")), x="src/run.sh") == "bash"
+    assert one(spark, F.array_join(src.trigrams(F.col("x")), ","), x="AbcdX") == "abc,bcd,cdx"
+    assert one(spark, t.pattern_sample(F.col("x"), F.lit(None).cast("string"), F.lit(""), F.lit("LOW"), "description_only"), x="d") == "# d\n# Pattern: N/A"
+
+
+def test_rerank_strategies(spark):
+    hits = spark.createDataFrame([(0, 1, 0.5, "eval(x)"), (0, 2, 0.55, "plain")], "query_id long, vec_id long, score double, code string")
+    first = lambda **how: v.reranked(hits, 1, **how).first().vec_id
+    assert first() == 1 and first(strategy="none") == 2 and first(strategy="cross_encoder", cross=F.lit(1.0) - F.col("vec_id") / 10) == 1
