@@ -36,10 +36,11 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ide
     cut = base.select("doc_id", "t", F.regexp_extract_all("t", F.lit(CHUNK), F.lit(0)).alias("chunks"))
     rows = cut.select("doc_id", "t", F.array_join(F.transform("chunks", identify), " ").alias("recipe"), F.sha2("t", 256).alias("text_sha256"))
     clash = collisions(cut.select(F.explode("chunks").alias("chunk")).select(identify(F.col("chunk")).alias("id"), "chunk"))
-    # documents with such a chunk; this is empty in practice, and Spark then drops the join as it runs
-    marked = cut.select("doc_id", F.explode(F.transform("chunks", identify)).alias("id")).join(clash, "id", "left_semi").select("doc_id").distinct().withColumn("clash", F.lit(True))
-    whole = base.join(marked, "doc_id").select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.col("t").alias("whole")).distinct()
-    rows = rows.drop("t").join(whole, ["doc_id", "text_sha256"], "left").select("doc_id", "text_sha256", F.concat("recipe", F.coalesce(F.concat(F.lit(" "), "whole"), F.lit(""))).alias("recipe"))
+    rows = rows.drop("t")
+    if not clash.isEmpty():
+        marked = cut.select("doc_id", F.explode(F.transform("chunks", identify)).alias("id")).join(clash, "id", "left_semi").select("doc_id").distinct()
+        whole = base.join(marked, "doc_id").select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.col("t").alias("whole")).distinct()
+        rows = rows.join(whole, ["doc_id", "text_sha256"], "left").select("doc_id", "text_sha256", F.concat("recipe", F.coalesce(F.concat(F.lit(" "), "whole"), F.lit(""))).alias("recipe"))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     out = rows.join(groups, "recipe", "left")
     keep = F.coalesce("keep_id", "doc_id")
