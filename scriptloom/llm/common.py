@@ -43,16 +43,16 @@ def partitions(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about `limit` bytes of a string or binary column; one longer row is a batch of its own."""
+    """The rows in batches of at most `limit` bytes of a string or binary column; a longer row is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = batch.column(column)
         sizes = pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        before = np.cumsum(sizes) - sizes
+        ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(before, before[start] + limit, side="left")))
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
 
@@ -73,8 +73,8 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i mod 2**64 for i to n at least."""
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _powers:
+    if not _powers or max(_powers) <= n:
+        size = 1 << max(12, int(n).bit_length())
         _powers.clear()
         both = []
         for base in (BASE, _INVERSE):
@@ -82,7 +82,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             both.append(np.cumprod(p, dtype=np.uint64))
         _powers[size] = (both[0], both[1])
-    return _powers[size]
+    return next(iter(_powers.values()))
 
 
 def prefix_hashes(values: np.ndarray) -> np.ndarray:

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import BYTE_VALUES, bloom_of, groups, mixed, partitions, prefix_hashes, slices, span_hashes, stored, texts
+from .common import BYTE_VALUES, bloom_of, groups, mixed, partitions, powers, prefix_hashes, slices, span_hashes, stored, texts
 
 WIDTH = 400
 #: Bytes of contexts that are sorted at once; a group is never split.
-SORT_BYTES = 3 << 20
+SORT_BYTES = 4 << 20
 
 
 def text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -54,9 +54,19 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
 class Strings:
     """Strings in one byte array, compared by prefix hashes and binary search."""
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        self.data, self.start, self.end, self.size = data, start, end, end - start
-        self.prefix = prefix_hashes(BYTE_VALUES[data])
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings) + b"\0", np.uint8)
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        # powers begin anew with each string: only beginnings are compared, so no inverse is needed
+        power = powers(int(self.size.max(initial=0)))[0]
+        self.prefix = np.zeros(len(self.data), np.uint64)
+        for lo in range(0, len(strings), 1024):
+            a, z = int(self.start[lo]), int(self.end[min(lo + 1024, len(strings)) - 1])
+            place = np.arange(a, z) - np.repeat(self.start[lo : lo + 1024], self.size[lo : lo + 1024])
+            np.cumsum(BYTE_VALUES[self.data[a:z]] * power[place], dtype=np.uint64, out=self.prefix[a + 1 : z + 1])
+            self.prefix[a + 1 : z + 1] += self.prefix[a]
 
     def agreement(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The length of the common beginning of strings i and j."""
@@ -64,7 +74,7 @@ class Strings:
         lo, hi = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = span_hashes(self.prefix, a, a + mid) == span_hashes(self.prefix, b, b + mid)
+            same = self.prefix[a + mid] - self.prefix[a] == self.prefix[b + mid] - self.prefix[b]
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
@@ -111,18 +121,20 @@ class Strings:
         inner = np.flatnonzero(group[1:] == group[:-1]) + 1
         a, b = order[inner - 1], order[inner]
         n = self.agreement(a, b)
-        where = np.repeat(np.cumsum(n) - n, n)
-        step = np.arange(n.sum()) - where
-        wrong = self.data[np.repeat(self.start[a], n) + step] != self.data[np.repeat(self.start[b], n) + step]
         agree[inner] = n
-        if wrong.any():
-            for g in np.unique(group[inner[np.repeat(np.arange(len(n)), n)[wrong]]]):
-                at = np.flatnonzero(group == g)
-                own = {k: self.data[self.start[k] : self.end[k]].tobytes() for k in at.tolist()}
-                order[at] = sorted(own, key=own.get)
-                for k in at[1:].tolist():
-                    x, y = own[order[k - 1]], own[order[k]]
-                    agree[k] = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        misled: set[int] = set()
+        for lo in range(0, len(n), 1024):
+            m, x, y = n[lo : lo + 1024], a[lo : lo + 1024], b[lo : lo + 1024]
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            wrong = self.data[np.repeat(self.start[x], m) + step] != self.data[np.repeat(self.start[y], m) + step]
+            misled |= set(group[inner[lo : lo + 1024]][np.repeat(np.arange(len(m)), m)[wrong]].tolist())
+        for g in misled:
+            at = np.flatnonzero(group == g)
+            own = {k: self.data[self.start[k] : self.end[k]].tobytes() for k in at.tolist()}
+            order[at] = sorted(own, key=own.get)
+            for k in at[1:].tolist():
+                x, y = own[order[k - 1]], own[order[k]]
+                agree[k] = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
         return order, agree
 
 
@@ -184,7 +196,7 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
 
     def find(batches: Iterator[pa.RecordBatch]):
         seen: set[int] = set()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = texts(batch.column("text"))
             ids = text_ids(data, offsets)
             at, h, row = find_anchors(data, offsets, width)
@@ -197,7 +209,7 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
             yield h[use], ids[row[use]], (at - offsets[row])[use]
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = texts(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"class": pa.array(text_ids(data, offsets)), "n_bytes": pa.array(np.diff(offsets))})
 
@@ -208,7 +220,7 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
 
     def with_class(test):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 4 << 20):
+            for batch in slices(batches, "text", 1 << 20):
                 data, offsets = texts(batch.column("text"))
                 ids = text_ids(data, offsets)
                 hit = test(ids)
@@ -223,7 +235,7 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
     chosen = texts_once.join(anchors.by_owner(places), F.col("class") == F.col("owner")).drop("owner")
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = texts(batch.column("text"))
             raw, gram = data.tobytes(), width // 2
             p = prefix_hashes(BYTE_VALUES[data])
@@ -235,10 +247,10 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
             row, at = np.concatenate(rows), np.concatenate(at)
             lo, hi = np.maximum(at - most, offsets[row]), np.minimum(at + width, offsets[row + 1])
             h = mixed(span_hashes(p, at, at + gram), 51).view(np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "anchor": pa.array(h), "class": batch.column("class").take(pa.array(row)), "place": pa.array((at - offsets[row]).astype(np.int32)),
-                "left": pa.array((at - lo).astype(np.int32)), "context": pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
-            })
+            contexts = pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()).dictionary_encode()
+            ids = batch.column("class").to_numpy()
+            one, owners, places = anchors.collapsed([h, (at - lo), contexts.indices.to_numpy()], ids[row], at - offsets[row])
+            yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array((at - lo)[one].astype(np.int32)), contexts.dictionary.take(contexts.indices.take(pa.array(one))), pa.array(owners, pa.binary()), pa.array(places, pa.binary())], ["anchor", "left", "context", "owners", "places"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -247,12 +259,22 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
             table = pa.concat_tables(held)
             anchor = table.column("anchor").to_numpy()
             group = np.cumsum(np.append(0, anchor[1:] != anchor[:-1]))
-            data, offsets = texts(table.column("context").combine_chunks())
-            left = table.column("left").to_numpy().astype(np.int64)
-            mid = offsets[:-1] + left
-            low, high = repeated_spans(Strings(data, mid, offsets[1:]), Strings(data[::-1].copy(), len(data) - mid, len(data) - offsets[:-1]), group, width, most)
+            left = table.column("left").to_pylist()
+            # occurrences with equal surroundings are sorted once
+            same: dict[tuple, int] = {}
+            kind = np.array([same.setdefault(x, len(same)) for x in zip(group.tolist(), left, table.column("context").to_pylist(), strict=True)], np.int64)
+            right = Strings([c[n:] for _, n, c in same])
+            low, high = repeated_spans(right, Strings([c[:n][::-1] for _, n, c in same]), np.array([g for g, _, _ in same], np.int64), width, most)
+            owners = table.column("owners").to_pylist()
+            times = np.array([len(x) // 8 for x in owners])
+            copies = np.bincount(kind, times) > 1
+            span_low, span_high = np.maximum(0, width - right.size), np.minimum(np.array([n for _, n, _ in same]), most)
+            copies &= span_low <= span_high
+            low[copies], high[copies] = span_low[copies], span_high[copies]
+            kind = np.repeat(kind, times)
+            low, high = low[kind], high[kind]
             hit = np.flatnonzero(high >= 0)
-            owner, place = table.column("class").to_numpy()[hit], table.column("place").to_numpy()[hit]
+            owner, place = np.frombuffer(b"".join(owners), np.int64)[hit], np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)[hit]
             span = np.stack([place - high[hit], place - low[hit] + width], axis=1).astype(np.int32)
             by = np.argsort(owner, kind="stable")
             owner, span = owner[by], span[by]
@@ -260,7 +282,7 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
             return pa.RecordBatch.from_pydict({"owner": pa.array(owner[cuts[:-1]], pa.int64()), "places": pa.array([span[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
         for table in groups(batches, ["anchor"]):
-            if table.num_rows > 1:
+            if table.num_rows > 1 or len(table.column("owners")[0].as_py()) > 8:
                 held.append(table)
                 size += table.nbytes
             if size > SORT_BYTES:
@@ -270,12 +292,12 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
         if held:
             yield flush()
 
-    dealt = chosen.mapInArrow(surround, "anchor long, class long, place int, left int, context binary").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+    dealt = chosen.mapInArrow(surround, "anchor long, left int, context binary, owners binary, places binary").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     marked = stored(dealt.mapInArrow(sort, "owner long, places binary"))
     touched = bloom_of(marked.select("owner").distinct())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             out = []
             for t, x, twin in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), batch.column("twin").to_pylist(), strict=True):
                 t = t or b""
