@@ -80,3 +80,24 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
         (F.col("slot") + F.col("round") * F.col("h")).alias("slot"),
         (earlier + F.col("rank") - (F.col("block") - 1) * block).alias("position"), *(["carried"] if carry else []),
     )
+
+
+#: The same for the default parameters: a recursive query goes through the slots of one period.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+ n AS (SELECT s, count(*) AS n FROM d GROUP BY s),
+ q AS (SELECT s, n, greatest(1, round(1000 * pow(n, 0.5) / sum(pow(n, 0.5)) OVER ()))::BIGINT AS q, row_number() OVER (ORDER BY s) AS turn FROM n),
+ l AS (SELECT list(q ORDER BY s) AS qs, list(n ORDER BY s) AS ns, sum(q)::BIGINT AS h FROM q),
+ run AS (
+  SELECT 0::BIGINT AS slot, list_transform(qs, lambda x: 0::BIGINT) AS done, 0::BIGINT AS turn FROM l
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda c, k: CASE WHEN k = pick THEN c + 1 ELSE c END), pick FROM (
+    SELECT slot, done, h, list_min(list_filter(list_transform(range(1, len(qs) + 1), lambda k: CASE WHEN done[k] < qs[k] AND floor(done[k] * h / qs[k]) <= slot
+      THEN {'d': ceil((done[k] + 1) * h / qs[k])::BIGINT, 'k': k} END), lambda x: x IS NOT NULL)).k AS pick FROM run, l WHERE slot < h)),
+ period AS (SELECT slot - 1 AS slot, turn, done[turn] AS i, list_transform(done, lambda c, k: CASE WHEN k = turn THEN c - 1 ELSE c END) AS before FROM run WHERE slot > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o, doc_id) - 1 AS rank FROM d),
+ b AS (SELECT r.*, q.q, q.turn, rank // 16 + 1 AS block, rank // 16 // q.q AS round FROM r JOIN q USING (s))
+SELECT doc_id, source, block, floor((block - 1) * h / q)::BIGINT AS release, ceil(block * h / q)::BIGINT AS deadline, p.slot + round * h AS slot,
+  list_sum(list_transform(range(1, len(qs) + 1), lambda k: least(ns[k], (before[k] + round * qs[k]) * 16)))::BIGINT + rank - (block - 1) * 16 AS position
+FROM b JOIN period p ON p.turn = b.turn AND p.i = b.block - b.round * b.q, l
+"""

@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
