@@ -28,18 +28,23 @@ from pyspark.sql import functions as F
 from .common import partitions, slices, stored
 from .tokens import encoder
 
-END, BLOCK_IDS, LANES, LANE_IDS = 2, 1 << 20, 4096, 256
+END, BLOCK_IDS, LANES, LANE_IDS = 2, 1 << 21, 8192, 256
 VOCABULARY = 1 << 16
-_TOTAL, _LEAST, _COUNTS, _RENEW = 1 << 24, 1 << 20, 1 << 17, 32
+_TOTAL, _LEAST, _RENEW = 1 << 24, 1 << 20, 32
+#: Order-0 counts are scaled to add up to 2**18, so that shifts divide by them.
+_BITS = 18
+_HASH = 16
 _U = np.uint64
+#: The next confidence (0 to 3) after a miss, then after a hit.
+_TRUST = np.array([0, 0, 1, 2, 1, 2, 3, 3], np.int64)
 
 
 class Mixer:
     """The model of one block; encoder and decoder feed it the same ids and so see the same intervals."""
 
     def __init__(self, lanes: int):
-        self.next1, self.sure1 = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int8)
-        self.next2, self.sure2 = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int8)
+        self.next1, self.sure1 = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64)
+        self.next2, self.sure2 = np.zeros(1 << _HASH, np.int64), np.zeros(1 << _HASH, np.int64)
         self.held, self.tried = np.full((2, 4), 0.4), np.ones((2, 4))
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
@@ -50,48 +55,57 @@ class Mixer:
         if self.recent:
             self.counts += np.bincount(np.concatenate(self.recent), minlength=VOCABULARY)
             self.recent = []
-        freq = 1 + self.counts * _COUNTS // max(1, int(self.counts.sum()))
-        self.freq, self.cum = freq.astype(_U), np.concatenate([[0], np.cumsum(freq)]).astype(_U)
-        self.all, self.symbols = self.cum[-1], None
+        freq = 1 + self.counts * ((1 << _BITS) - VOCABULARY) // max(1, int(self.counts.sum()))
+        freq[0] += (1 << _BITS) - int(freq.sum())
+        self.freq, self.cum = freq.astype(np.int32), np.append(0, np.cumsum(freq))
+        self.symbols = None
 
     def predict(self) -> None:
         """Order-2 and order-1 guesses of the lanes' next ids, and the widths of their intervals."""
-        self.at2 = (self.one * 40503 + self.two * 61681 + (self.two >> 3)) & 0x3FFFF
+        self.at2 = (self.one * 40503 + self.two * 61681 + (self.two >> 3)) & ((1 << _HASH) - 1)
         self.guess2, self.c2 = self.next2[self.at2], self.sure2[self.at2]
         self.guess1, self.c1 = self.next1[self.one], self.sure1[self.one]
         share = self.held / self.tried
-        a2 = (share[0] * (_TOTAL - 2 * _LEAST)).astype(np.int64)[self.c2]
-        a1 = (share[1][self.c1] * (_TOTAL - _LEAST - a2)).astype(np.int64)
+        wide2 = (share[0] * (_TOTAL - 2 * _LEAST)).astype(np.int64)
+        wide1 = (share[1][:, None] * (_TOTAL - _LEAST - wide2)).astype(np.int64)
+        self.a2 = wide2[self.c2]
+        a1 = wide1.reshape(-1)[self.c1 * 4 + self.c2]
         a1[self.guess1 == self.guess2] = 0
-        self.a2, self.a12 = a2, a2 + a1
-        self.rest = (_TOTAL - self.a12).astype(_U)
+        self.a12 = self.a2 + a1
+        self.rest = _TOTAL - self.a12
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lo = self.rest * self.cum[ids] // self.all
-        size = self.rest * self.cum[ids + 1] // self.all - lo
-        start = lo + self.a12.astype(_U)
-        hit1 = (ids == self.guess1) & (self.a12 > self.a2)
-        start = np.where(hit1, self.a2.astype(_U), start)
-        size = np.where(hit1, (self.a12 - self.a2).astype(_U), size)
-        hit2 = (ids == self.guess2) & (self.a2 > 0)
-        return np.where(hit2, _U(0), start), np.where(hit2, self.a2.astype(_U), size)
+        start = self.rest * self.cum[ids] >> _BITS
+        size = (self.rest * self.cum[ids + 1] >> _BITS) - start
+        start += self.a12
+        self.hit2, self.hit1 = self.guess2 == ids, self.guess1 == ids
+        one = self.hit1 & (self.a12 > self.a2)
+        start[one], size[one] = self.a2[one], (self.a12 - self.a2)[one]
+        two = self.hit2 & (self.a2 > 0)
+        start[two], size[two] = 0, self.a2[two]
+        return start.astype(_U), size.astype(_U)
 
     def symbol(self, point: np.ndarray) -> np.ndarray:
         if self.symbols is None:
-            self.symbols = np.repeat(np.arange(VOCABULARY), self.freq.astype(np.int64))
-        x = np.maximum(point.astype(np.int64) - self.a12, 0).astype(_U)
-        target = ((x + _U(1)) * self.all - _U(1)) // self.rest
-        out = self.symbols[target.astype(np.int64)]
-        point = point.astype(np.int64)
-        return np.where(point < self.a2, self.guess2, np.where(point < self.a12, self.guess1, out))
+            self.symbols = np.repeat(np.arange(VOCABULARY), self.freq)
+        x = np.maximum(point - self.a12, 0)
+        # below 2**42 over 2**24, so the double quotient is floored rightly
+        target = ((((x + 1) << _BITS) - 1) / self.rest).astype(np.int64)
+        out = self.symbols[target]
+        one, two = point < self.a12, point < self.a2
+        out[one] = self.guess1[one]
+        out[two] = self.guess2[two]
+        return out
 
     def learn(self, ids: np.ndarray) -> None:
-        for k, guess, sure, table, trust, at in ((0, self.guess2, self.c2, self.next2, self.sure2, self.at2), (1, self.guess1, self.c1, self.next1, self.sure1, self.one)):
-            hit = guess == ids
-            self.held[k] += np.bincount(sure[hit], minlength=4)
-            self.tried[k] += np.bincount(sure, minlength=4)
-            table[at] = np.where(hit | (sure > 0), guess, ids)
-            trust[at] = np.where(hit, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0))
+        """After interval(ids), which tells the hits."""
+        for k, hit, guess, sure, table, trust, at in ((0, self.hit2, self.guess2, self.c2, self.next2, self.sure2, self.at2), (1, self.hit1, self.guess1, self.c1, self.next1, self.sure1, self.one)):
+            state = sure + 4 * hit
+            seen = np.bincount(state, minlength=8).reshape(2, 4)
+            self.held[k] += seen[1]
+            self.tried[k] += seen[0] + seen[1]
+            table[at] = np.where(sure > 0, guess, ids)
+            trust[at] = _TRUST[state]
         self.two, self.one = self.one, ids
         self.recent.append(ids)
         if len(self.recent) == _RENEW:
@@ -107,18 +121,18 @@ def encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
     lanes, steps = _lanes(len(ids))
     grid = np.zeros(lanes * steps, np.int64)
     grid[: len(ids)] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     mixer = Mixer(lanes)
     low, width = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    digits = np.zeros((lanes, steps + 3), np.int64)
+    digits = np.zeros((steps + 3, lanes), np.int64)
     used = np.zeros(lanes, np.int64)
     every = np.arange(lanes)
 
     def carry(which: np.ndarray) -> None:
-        digits[which, used[which] - 1] += 1
+        digits[used[which] - 1, which] += 1
 
     for t in range(steps):
-        now = grid[:, t]
+        now = grid[t]
         mixer.predict()
         start, size = mixer.interval(now)
         unit = width >> _U(24)
@@ -128,21 +142,22 @@ def encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
         low, width = more, unit * size
         if (short := width < _U(1 << 32)).any():
             k = every[short]
-            digits[k, used[k]] = (low[k] >> _U(32)).astype(np.int64)
+            digits[used[k], k] = (low[k] >> _U(32)).astype(np.int64)
             used[k] += 1
             low[k] <<= _U(32)
             width[k] <<= _U(32)
         mixer.learn(now)
     for _ in range(2):
-        digits[every, used] = (low >> _U(32)).astype(np.int64)
+        digits[used, every] = (low >> _U(32)).astype(np.int64)
         used += 1
         low <<= _U(32)
-    for k in range(digits.shape[1] - 1, 0, -1):  # carries that reached a full digit go on to the one before
-        full = digits[:, k] >> 32
-        digits[:, k] &= 0xFFFFFFFF
-        digits[:, k - 1] += full
-    kept = np.arange(digits.shape[1]) < used[:, None]
-    return lanes, used.astype("<u4").tobytes() + digits[kept].astype("<u4").tobytes()
+    for k in range(len(digits) - 1, 0, -1):  # carries that reached a full digit go on to the one before
+        full = digits[k] >> 32
+        digits[k] &= 0xFFFFFFFF
+        digits[k - 1] += full
+    by_lane = digits.astype("<u4").T
+    kept = np.arange(len(digits)) < used[:, None]
+    return lanes, used.astype("<u4").tobytes() + by_lane[kept].tobytes()
 
 
 def decode_ids(n: int, lanes: int, data: bytes) -> np.ndarray:
@@ -155,11 +170,11 @@ def decode_ids(n: int, lanes: int, data: bytes) -> np.ndarray:
     at = at + 2
     mixer = Mixer(lanes)
     width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    out, every = np.zeros((lanes, steps), np.int64), np.arange(lanes)
+    out, every = np.zeros((steps, lanes), np.int64), np.arange(lanes)
     for t in range(steps):
         mixer.predict()
         unit = width >> _U(24)
-        now = mixer.symbol(np.minimum(code // unit, _U(_TOTAL - 1)))
+        now = mixer.symbol(np.minimum(code // unit, _U(_TOTAL - 1)).astype(np.int64))
         start, size = mixer.interval(now)
         code, width = code - unit * start, unit * size
         if (short := width < _U(1 << 32)).any():
@@ -169,8 +184,8 @@ def decode_ids(n: int, lanes: int, data: bytes) -> np.ndarray:
             at[k] += 1
             width[k] <<= _U(32)
         mixer.learn(now)
-        out[:, t] = now
-    return out.reshape(-1)[:n]
+        out[t] = now
+    return out.T.reshape(-1)[:n]
 
 
 def to_block(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from itertools import chain, filterfalse
+import struct
 
 import numpy as np
 import pyarrow as pa
 
 #: Pieces of text whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
-
+REMEMBERED = 1_000_000
 
 
 
@@ -24,6 +23,20 @@ def _byte_characters() -> dict[int, str]:
 BYTE_CHARACTERS = _byte_characters()
 
 
+class _Known(dict):
+    """Pieces with their ids; one that is missing is encoded as it is looked up."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        e = self.encoder
+        ids = self[piece] = e.word(piece) if e.word and e.latin(piece) else e.whole(piece)
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts to little-endian uint32 ids, piece by piece.
 
@@ -33,7 +46,7 @@ class PieceEncoder:
     characters there, are encoded whole.
     """
 
-    def __init__(self, path: str, special: str = "<|endoftext|>"):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,10 +55,7 @@ class PieceEncoder:
         self.pieces = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!#$%&*,.:;? \n])|[ \n]?[^ \n]+").findall
         #: One word of Latin letters is one pre-token (with the gap before it, or without).
         self.latin = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-        self.known: dict[str, bytes] = {}
-        #: Another tokenizer, for which the special token between pieces is a boundary and one id.
-        self.joined, self.special = Tokenizer.from_file(path), special
-        self.boundary = self.joined.token_to_id(special)
+        self.known = _Known(self)
         self.model, self.word = self.tokenizer.model, None
         probe = [" hello", "Zusammenhänge", " ÉCLAIRÉE", "\nAnother", " it"]
         for way in (self.with_gap, self.lowered):  # how this vocabulary sees one word of Latin letters, if in either way
@@ -58,46 +68,22 @@ class PieceEncoder:
 
     def with_gap(self, piece: str) -> bytes:
         ids = self.ids_of("\n") + self.ids_of(piece[1:]) if piece[0] == "\n" else self.ids_of(piece)
-        return np.asarray(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def lowered(self, piece: str) -> bytes:
-        return np.asarray(self.ids_of(piece.lstrip(" \n").lower()), "<u4").tobytes()
+        ids = self.ids_of(piece.lstrip(" \n").lower())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        plain = []
-        for x in new:
-            if self.word and self.latin(x):
-                self.known[x] = self.word(x)
-            elif "<|" in x:
-                self.known[x] = self.whole(x)
-            else:
-                plain.append(x)
-        for k in range(0, len(plain), 5000):
-            part = plain[k : k + 5000]
-            ids = np.asarray(self.joined.encode(self.special.join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.boundary)
-            data, ends = ids.tobytes(), [*(ends * 4).tolist(), len(ids) * 4]
-            start = 0
-            for x, end in zip(part, ends, strict=True):
-                self.known[x] = data[start:end]
-                start = end + 4
-
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        cut = [None if not t or self.rare(t) else self.pieces(t) for t in texts]
-        known = self.known
-        new = set(filterfalse(known.__contains__, chain.from_iterable(x for x in cut if x)))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*(x for x in cut if x))
-        self.learn(list(new))
-        return [b"".join(map(known.__getitem__, x)) if x else self.whole(t) if t else b"" for t, x in zip(texts, cut, strict=True)]
+        known, pieces, rare, whole = self.known.__getitem__, self.pieces, self.rare, self.whole
+        return [b"" if not t else whole(t) if rare(t) else b"".join(map(known, pieces(t))) for t in texts]
 
 
 _encoders: dict[str, PieceEncoder] = {}
