@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What stands for a null key among longs.
+NULL_KEY = -(1 << 63)
 #: Odd multiplier of the polynomial hashes (mod 2**64) and its inverse.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -224,21 +226,6 @@ def bloom_places(values: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mixed(x, 11 + k) >> np.uint64(64 - bits)).astype(np.int64) for k in range(4)]
 
 
-def only_keys(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs that may have a key of keys: by a Bloom filter where its size is within the bound, else all."""
-    test = bloom_of(keys)
-    if test is None:
-        return docs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = test(pc.fill_null(batch.column(key), -1).to_numpy(zero_copy_only=False))
-            if hit.any():
-                yield batch.filter(pa.array(hit))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys in sorted batches, each as one table; a run may cross batches."""
     held: list[pa.RecordBatch] = []

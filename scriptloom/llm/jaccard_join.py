@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, components, groups, mixed, partitions, slices, stored, summed_slices, texts, word_hashes, words_of
+from .common import NULL_KEY, bloom_of, components, groups, mixed, partitions, slices, stored, summed_slices, texts, word_hashes, words_of
 
 ORDERS = 3
 #: Hash cells of the frequency count; two rows of them, 8 MB in all as sent. The size doesn't follow the input: what matters
@@ -251,7 +251,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 3, per_cent: int = 90, key: st
 
     Two documents link when their sets' Jaccard similarity is per_cent / 100 or more; no link between different sets is
     lost. Null, empty and wordless texts have no tokens and link with nothing. Rows that repeat a key are reported each;
-    they share the key's component. Extra columns are ignored; no rows give no rows. Sets are identified by 64-bit
+    they share the key's component. A row with a null key gets its component's smallest key, null if there is none. Extra columns are ignored; no rows give no rows. Sets are identified by 64-bit
     hashes of n-grams and of whole sets.
     """
     spark = docs.sparkSession
@@ -276,7 +276,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 3, per_cent: int = 90, key: st
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             if test is not None:
-                batch = batch.filter(pa.array(test(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))))
+                batch = batch.filter(pa.array(test(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "tokens": pa.array([x.tobytes() for x in token_sets(batch.column("text"), words)], pa.binary())})
 
     blocks = F.ceil(F.col("members") * 2 / BLOCK).cast("int")

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import bloom_of, groups, mixed, partitions, slices, stored, texts, word_hashes, words_of
+from .common import NULL_KEY, bloom_of, groups, mixed, partitions, slices, stored, texts, word_hashes, words_of
 
 WIDTH, GRAM = 13, 4
 #: Fragments that one automaton is compiled for, about; a shard with more words than characters is split.
-SHARD_FRAGMENTS = 30_000
+SHARD_FRAGMENTS = 8_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -49,7 +49,8 @@ def window_anchors(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
 def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space).
 
-    Null, empty and wordless texts have no words and keep the empty text. Rows that repeat a key are one document in
+    Null, empty and wordless texts have no words and keep the empty text. A row with a null
+    key keeps all, and no other row is judged by it. Rows that repeat a key are one document in
     that none has a smaller key than the other; each is reported. Windows are judged on the input. Extra columns are
     ignored; no rows give no rows.
     """
@@ -62,12 +63,12 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
         return data, start, end, first, word_hashes(data, start, end)
 
     def find(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             _, _, _, first, words = parsed(batch.column("text"))
             _, at, h = window_anchors(words, first, width)
             at = np.unique(at)
             row = np.searchsorted(first, at, side="right") - 1
-            yield h[at], batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)[row], at - first[row]
+            yield h[at], batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False)[row], at - first[row]
 
     places = stored(anchors.repeated(base, find, within=False))
     maybe = bloom_of(places.select("owner").distinct())
@@ -75,7 +76,7 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if maybe is not None:
-                batch = batch.filter(pa.array(maybe(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))))
+                batch = batch.filter(pa.array(maybe(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))))
             if batch.num_rows:
                 yield batch
 
@@ -83,7 +84,7 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
     per_shard = max(1, int(places.agg(F.sum(F.length("places"))).first()[0] or 0) // 4 // SHARD_FRAGMENTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, start, end, first, words = parsed(batch.column("text"))
             windows, at, h = window_anchors(words, first, width)
             wanted = np.zeros(len(words) + 1, bool)
@@ -98,16 +99,19 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
             row = np.searchsorted(first, lo, side="right") - 1
             raw = data.tobytes()
             frags = [raw[s:e] for s, e in zip(start[lo].tolist(), end[hi - 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({
-                "deal": pa.array((mixed(h[a], 42) % np.uint64(per_shard)).astype(np.int64)), "doc_id": batch.column("doc_id").take(pa.array(row)),
-                "place": pa.array((lo - first[row]).astype(np.int32)), "frag": pa.array(frags, pa.binary()),
-            })
+            frags = pa.array(frags, pa.binary()).dictionary_encode()
+            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            one, owners, places = anchors.collapsed([h[a].view(np.int64), frags.indices.to_numpy()], keys[row], lo - first[row])
+            deal = (mixed(h[a[one]], 42) % np.uint64(per_shard)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(deal), frags.dictionary.take(frags.indices.take(pa.array(one))), pa.array(owners, pa.binary()), pa.array(places, pa.binary())], ["deal", "frag", "owners", "places"])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["deal"]):
-            owner = table.column("doc_id").to_numpy()
-            place = table.column("place").to_numpy()
-            where, starts = occurrences(table.column("frag").combine_chunks(), owner, width)
+            owners = table.column("owners").to_pylist()
+            owner = np.frombuffer(b"".join(owners), np.int64)
+            place = np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)
+            of = np.repeat(np.arange(len(owners)), [len(x) // 8 for x in owners])
+            where, starts = occurrences(table.column("frag").combine_chunks(), of, owner, width)
             if len(where):
                 got, at = owner[where], place[where] + starts
                 by = np.lexsort((at, got))
@@ -115,19 +119,19 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
                 cuts = np.flatnonzero(np.append(True, got[1:] != got[:-1])).tolist() + [len(got)]
                 yield pa.RecordBatch.from_pydict({"owner": pa.array(got[cuts[:-1]]), "places": pa.array([at[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
-    shards = chosen.mapInArrow(cut, "deal long, doc_id long, place int, frag binary").repartition(partitions(spark), "deal").sortWithinPartitions("deal")
+    shards = chosen.mapInArrow(cut, "deal long, frag binary, owners binary, places binary").repartition(partitions(spark), "deal").sortWithinPartitions("deal")
     marked = stored(shards.mapInArrow(locate, "owner long, places binary"))
     hit = bloom_of(marked.select("owner").distinct())
 
     def known(batches: Iterator[pa.RecordBatch], of: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = hit(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False))
+            mine = hit(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array(mine if of else ~mine))
             if batch.num_rows:
                 yield batch
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, start, end, first, _ = parsed(batch.column("text"))
             gone = np.zeros(len(start) + 1, np.int64)
             for row, x in enumerate(batch.column("places").to_pylist()):
@@ -153,11 +157,14 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
     return inside.mapInArrow(finish, schema).union(outside.mapInArrow(finish, schema))
 
 
-def occurrences(frags: pa.Array, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fragment numbers and word offsets of the windows that a smaller owner has too."""
+def occurrences(frags: pa.Array, of: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence k is of fragment of[k], in document owner[k]. Returns the numbers of occurrences and the word offsets of
+    the windows in them that a smaller owner has too."""
     import ahocorasick
 
-    data, offsets = texts(frags)
+    frags = frags.dictionary_encode()
+    data, offsets = texts(frags.dictionary)
+    of = frags.indices.to_numpy()[of]
     start, end, first = words_of(data, offsets, _SPACE)
     distinct, code = np.unique(word_hashes(data, start, end), return_inverse=True)
     if len(distinct) > 1_100_000:
@@ -166,13 +173,18 @@ def occurrences(frags: pa.Array, owner: np.ndarray, width: int) -> tuple[np.ndar
     code[code >= 0xD800] += 0x800
     line = code.astype("<u4").tobytes().decode("utf-32-le")
     frag = [line[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    by = np.argsort(owner, kind="stable")  # owners ascend: the first to bring a fragment or window is its least
+    same: dict[str, int] = {}
+    kind = np.array([same.setdefault(frag[k], len(same)) for k in of[by].tolist()], np.int64)
+    sorted_owner = owner[by]
+    first_owner, last_owner = np.zeros(len(same), np.int64), np.zeros(len(same), np.int64)
+    first_owner[kind[::-1]], last_owner[kind] = sorted_owner[::-1], sorted_owner
     least: dict[str, int] = {}
     several: dict[str, int] = {}
-    for k in np.argsort(owner, kind="stable").tolist():  # owners ascend: the first to bring a window is its least
-        mine, x = int(owner[k]), frag[k]
+    for x, low, high in zip(same, first_owner.tolist(), last_owner.tolist(), strict=True):
         for i in range(len(x) - width + 1):
             w = x[i : i + width]
-            if least.setdefault(w, mine) < mine:
+            if least.setdefault(w, low) < high:
                 several[w] = least[w]
     if not several:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -180,11 +192,12 @@ def occurrences(frags: pa.Array, owner: np.ndarray, width: int) -> tuple[np.ndar
     for w, low in several.items():
         automaton.add_word(w, low)
     automaton.make_automaton()
-    where, at = [], []
-    for k, x in enumerate(frag):
-        mine = int(owner[k])
-        for last, low in automaton.iter(x):
-            if low < mine:
-                where.append(k)
-                at.append(last - width + 1)
-    return np.array(where, np.int64), np.array(at, np.int64)
+    del least, several
+    found = [(k, last - width + 1, low) for k, x in enumerate(same) for last, low in automaton.iter(x)]
+    which, at, low = (np.array(c, np.int64) for c in zip(*found, strict=True))
+    members = np.argsort(kind, kind="stable")  # each fragment's owners, ascending
+    start, n = np.searchsorted(kind[members], which), np.bincount(kind, minlength=len(same))[which]
+    each = np.repeat(np.arange(len(which)), n)
+    member = members[start[each] + np.arange(len(each)) - (np.cumsum(n) - n)[each]]
+    late = sorted_owner[member] > low[each]
+    return by[member[late]], at[each[late]]
