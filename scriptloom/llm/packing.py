@@ -53,8 +53,9 @@ def global_offsets(coded: DataFrame) -> DataFrame:
     return totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("ahead"))
 
 
-def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end: int = END, order: list[Column] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (uint32 bytes).
+def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end: int = END, order: list[Column] | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and, unless told not to, ids
+    (uint32 bytes).
 
     Documents go by `order` (the key alone if not given; null keys first). A null or empty text is the end id alone.
     All sequences but the last are full; the last is shorter. Repeated rows are packed once each. Extra columns are
@@ -71,10 +72,10 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end:
                     offset = (at + start) % length
                     m = min(n - start, length - offset)
                     piece = ids[4 * start : 4 * (start + m)]
-                    rows.append((doc, start, m, zlib.crc32(piece), n, (at + start) // length, offset, piece))
+                    rows.append((doc, start, m, zlib.crc32(piece), n, (at + start) // length, offset, piece)[: 8 if with_ids else 7])
                     start += m
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 8 if with_ids else 7]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if c == "ids" else pa.int64()) for c, x in zip(names, zip(*rows, strict=True), strict=True)], names)
 
     ahead = F.broadcast(global_offsets(coded))  # one row for each partition
-    return coded.join(ahead, "part").select("doc_id", (F.col("ahead") + F.col("place")).alias("at"), "n", "ids").mapInArrow(cut, f"{_PIECES}, ids binary")
+    return coded.join(ahead, "part").select("doc_id", (F.col("ahead") + F.col("place")).alias("at"), "n", "ids").mapInArrow(cut, _PIECES + ", ids binary" * with_ids)

@@ -28,12 +28,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = token_output.read_tokens(token_output.write_tokens(documents(spark, sf_dir)))
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_output.read_tokens(token_output.write_tokens(documents(spark, sf_dir)), with_ids=False)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir)).drop("ids")
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,19 +237,19 @@ def write_tokens(docs: DataFrame, *, path: str | None = None, end: int = END, ke
     return stored(dealt.mapInArrow(run, "part long, block long, first long, n long, data binary"))
 
 
-def read_tokens(blocks: DataFrame) -> DataFrame:
-    """From written blocks, for each document: doc_id, start (ids of all documents before it), n_tokens, ids (uint32)."""
+def read_tokens(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
+    """From written blocks, for each document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the
+    ids as little-endian uint32) and, unless told not to, the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", 1):
             docs, lengths, ids = from_block(batch.column("data")[0].as_py())
             ends = np.cumsum(lengths)
             data = ids.tobytes()
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(docs, pa.int64()), "start": pa.array(batch.column("at")[0].as_py() + ends - lengths), "n_tokens": pa.array(lengths),
-                "ids": pa.array([data[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary()),
-            })
+            own = [data[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
+            columns = [pa.array(docs, pa.int64()), pa.array(batch.column("at")[0].as_py() + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.binary())] if with_ids else columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if with_ids else 4])
 
     totals = blocks.groupBy("part").agg(F.sum("n").alias("total"))
     ahead = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("ahead"))  # one row for each written part
-    return blocks.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("first")).alias("at"), "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("first")).alias("at"), "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
