@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SECURITY_WORDS
+from ..functions.text import BOOSTED_WORDS, words_in
 
 # Least scores by mode.
 THRESHOLDS = {"default": 0.30, "strict": 0.45, "lenient": 0.15}
@@ -75,7 +75,8 @@ def with_content(hits: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def boosted(hits: DataFrame, code: str = "code", factor: float = 1.2) -> DataFrame:
-    hit = F.coalesce(F.col(code), F.lit("")).rlike(SECURITY_WORDS)
+    """Scores times factor where the code has one of the words, in any case."""
+    hit = F.size(words_in(F.coalesce(F.col(code), F.lit("")), BOOSTED_WORDS)) > 0
     return hits.withColumn("boosted", hit).withColumn("original_score", F.col("score")).withColumn("score", F.when(hit, F.col("score") * factor).otherwise(F.col("score")))
 
 

@@ -14,8 +14,8 @@ from ..operators import chunking, code, quality, sampling, store
 from ..operators import vectors as v
 from ..registry import query
 from ..sources import samples as src
-from ..sources.samples import SAMPLES_SQL, SCRIPTS_SQL, knowledge, samples, scripts, table
-from .search import _HITS, _hits
+from ..sources.samples import SAMPLES_SQL, SCRIPTS_SQL, samples, scripts, table
+from .search import _BOOSTED, _HITS, _hits
 from .texts import BASE64_SHARE, CLEAN, CODE, CONTROL, DOCS, ENTROPY, share_sql, strip
 
 _SEED = "('0x' || substr(md5('42:' || {}), 1, 7))::BIGINT"
@@ -150,7 +150,7 @@ def _(spark, d):
     return chunking.sliding(clean).select("id", "label", "chunk_index", F.md5(F.substring("content", 1, 200)).alias("preview"), F.col("chunk_id").alias("point_id"))
 
 
-_BOOST = r"CASE WHEN regexp_matches(code, '(?i)\b(eval|exec|subprocess|os\.system|socket|pickle|base64|requests|urllib|ctypes|winreg|shellcode|payload|reverse_shell|keylog|inject|exploit)\b') THEN 1.2 ELSE 1 END"
+_BOOST = f"CASE WHEN {_BOOSTED} THEN 1.2 ELSE 1 END"
 
 
 @query("vec_21_reranked", f"{_HITS} SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score * {_BOOST} DESC, vec_id) AS rank FROM hits) WHERE rank <= 5")
@@ -158,11 +158,12 @@ def _(spark, d):
     return v.reranked(_hits(spark, d), 5).select("query_id", "vec_id", "rank")
 
 
-@query("txt_11_knowledge_samples", DOCS + "SELECT id, count(*) AS patterns FROM samples, (VALUES ('eval('), ('exec('), ('os.system('), ('pickle.loads('), ('socket.connect(')) k(p) WHERE contains(content, p) GROUP BY id")
+@query("src_23_pattern_severity", f"WITH {SCRIPTS_SQL} SELECT id, count(*) AS patterns, count(*) FILTER (severity = 'HIGH') AS high FROM scripts, (VALUES " + ", ".join(f"('{p}', '{s}')" for p, _, s, _ in src.EXPLOIT_PATTERNS) + ") k(pattern, severity) WHERE contains(content, pattern) GROUP BY id")
 def _(spark, d):
-    words = [r.pattern for r in knowledge(spark).collect()]
-    n = F.size(F.filter(F.array(*map(F.lit, words)), lambda p: F.contains("content", p)))
-    return samples(spark, d).select("id", n.cast("long").alias("patterns")).filter("patterns > 0")
+    """How many exploit patterns a script has, and how many of high severity: the patterns are a small table, broadcast."""
+    k = F.broadcast(src.exploit_patterns(spark).select("pattern", "severity"))
+    hits = scripts(spark, d).select("id", "content").join(k, F.contains("content", F.col("pattern")))
+    return hits.groupBy("id").agg(F.count(F.lit(1)).alias("patterns"), F.count_if(F.col("severity") == "HIGH").alias("high"))
 
 
 @query("smp_01_parsed_variants")

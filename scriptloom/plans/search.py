@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import code, dedup, metrics, store
 from ..operators import vectors as v
 from ..registry import query
-from ..sources.samples import SAMPLES_SQL, VECTORS_SQL, knowledge, samples, table, vectors
+from ..functions.text import BOOSTED_WORDS
+from ..sources.samples import EXPLOIT_PATTERNS, SAMPLES_SQL, SCRIPTS_SQL, VECTORS_SQL, samples, scripts, table, vectors
 
 DOCS = f"WITH {SAMPLES_SQL} "
 
@@ -70,11 +71,17 @@ def _(spark, d):
     return table(spark, d, "labels").filter("quality = 1").groupBy(F.col("toxic").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("vec_07_knowledge_hits", DOCS + "SELECT id, pattern FROM samples, (VALUES ('eval('), ('exec('), ('os.system('), ('pickle.loads('), ('socket.connect(')) k(pattern) WHERE contains(content, pattern)")
+def values_sql(texts: list[str]) -> str:
+    return "(VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in texts) + ")"
+
+
+_PATTERNS = [row[0] for row in EXPLOIT_PATTERNS]
+
+
+@query("vec_07_knowledge_hits", f"WITH {SCRIPTS_SQL} SELECT id, pattern FROM scripts, {values_sql(_PATTERNS)} k(pattern) WHERE contains(content, pattern)")
 def _(spark, d):
-    """Documents that hold a knowledge row's pattern; the knowledge base is a handful of rows in an array."""
-    patterns = [r.pattern for r in knowledge(spark).collect()]
-    return samples(spark, d).select("id", F.explode(F.filter(F.array(*map(F.lit, patterns)), lambda p: F.contains("content", p))).alias("pattern"))
+    """Scripts that hold an exploit pattern; the patterns are a fixed array."""
+    return scripts(spark, d).select("id", F.explode(F.filter(F.array(*map(F.lit, _PATTERNS)), lambda p: F.contains("content", p))).alias("pattern"))
 
 
 _CHUNKS = _rank("scored", 30)
@@ -92,7 +99,7 @@ def _(spark, d):
     return v.with_content(hits, samples(spark, d)).select("query_id", "db_id", "content_fetch_failed", F.md5("content").alias("digest"))
 
 
-_WORDS = r"(?i)\b(eval|exec|subprocess|os\.system|socket|pickle|base64|requests|urllib|ctypes|winreg|shellcode|payload|reverse_shell|keylog|inject|exploit)\b"
+_BOOSTED = f"len(list_filter({BOOSTED_WORDS!r}, lambda w: contains(lower(code), w))) > 0"
 _HITS = f"{_SCORED}, {SAMPLES_SQL}, hits AS (SELECT h.query_id, h.vec_id, h.score, coalesce(s.content, '') AS code FROM {_CHUNKS} h LEFT JOIN samples s ON s.id = h.db_id)"
 
 
@@ -101,7 +108,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     return v.top_k(scored(spark, d), 30).select("query_id", "vec_id", "db_id", "score").join(code_of, "db_id", "left").select("query_id", "vec_id", "score", F.coalesce("code", F.lit("")).alias("code"))
 
 
-@query("vec_10_boosted", f"{_HITS} SELECT query_id, vec_id, regexp_matches(code, '{_WORDS}') AS boosted, round(score * CASE WHEN regexp_matches(code, '{_WORDS}') THEN 1.2 ELSE 1 END, 6) AS score FROM hits")
+@query("vec_10_boosted", f"{_HITS} SELECT query_id, vec_id, {_BOOSTED} AS boosted, round(score * CASE WHEN {_BOOSTED} THEN 1.2 ELSE 1 END, 6) AS score FROM hits")
 def _(spark, d):
     return _rounded(v.boosted(_hits(spark, d)).select("query_id", "vec_id", "boosted", "score"), "score")
 

@@ -140,18 +140,42 @@ def published_between(rows: DataFrame, now: Column, days: int, column: str = "pu
     return rows.filter((at >= start) & (at < end))
 
 
-# The knowledge base's starting rows, as (description, severity, type, pattern).
+# The knowledge base's starting rows (cve_id, description, severity, pattern, type), and exploit patterns
+# (pattern, description, severity, cve_examples).
 KNOWLEDGE = [
-    ("Dynamic evaluation of untrusted input", "HIGH", "malware_pattern", "eval("),
-    ("Execution of decoded payloads", "CRITICAL", "malware_pattern", "exec("),
-    ("Shell commands built from input", "HIGH", "malware_pattern", "os.system("),
-    ("Unsafe deserialisation", "CRITICAL", "vulnerability", "pickle.loads("),
-    ("Reverse connection to a remote host", "CRITICAL", "malware_pattern", "socket.connect("),
+    ("CVE-2021-44228", "Log4Shell Remote Code Execution via JNDI LDAP injection in Log4j", "CRITICAL", "${jndi:ldap://", "vulnerability"),
+    ("CVE-2014-6271", "Shellshock Bash command injection vulnerability", "HIGH", "() { :; };", "vulnerability"),
+    (None, "Python code execution via eval() with user input", "HIGH", "eval(input(", "malware_pattern"),
+    (None, "Python reverse shell using socket module", "HIGH", "socket.socket()...connect(", "malware_pattern"),
+    (None, "Command injection via os.system with user input", "HIGH", "os.system(input(", "malware_pattern"),
+    (None, "Unsafe pickle deserialization leading to RCE", "HIGH", "pickle.loads(", "malware_pattern"),
+    (None, "Base64 encoded malicious payload", "MEDIUM", "base64.b64decode(", "malware_pattern"),
+]
+EXPLOIT_PATTERNS = [
+    ("eval(", "Dynamic code execution - commonly used in code injection attacks", "HIGH", ["CVE-2014-6271", "CVE-2019-11510"]),
+    ("exec(", "Direct code execution - high risk for arbitrary command execution", "HIGH", ["CVE-2021-44228", "CVE-2017-5638"]),
+    ("os.system(", "Shell command execution - can lead to command injection", "HIGH", ["CVE-2016-10033"]),
+    ("subprocess.call(", "Process execution - potential command injection vector", "MEDIUM", ["CVE-2018-1000001"]),
+    ("__import__(", "Dynamic module import - can load malicious code", "MEDIUM", []),
+    ("pickle.loads(", "Unsafe deserialization - remote code execution risk", "HIGH", ["CVE-2019-16785"]),
+    ("yaml.load(", "Unsafe YAML deserialization - code execution risk", "HIGH", ["CVE-2020-1747"]),
+    ("input(", "User input (Python 2) - evaluates as code", "HIGH", []),
+    ("compile(", "Dynamic code compilation - can execute arbitrary code", "MEDIUM", []),
+    ("open(", "File operations - potential path traversal", "LOW", ["CVE-2019-5418"]),
+    ("socket.", "Network operations - potential backdoor or data exfiltration", "MEDIUM", []),
+    ("base64.b64decode(", "Base64 decoding - often used to obfuscate malicious code", "LOW", []),
+    ("requests.get(", "HTTP requests - potential C2 communication or data exfiltration", "LOW", []),
+    ("ctypes.", "Direct memory access - can bypass security controls", "MEDIUM", []),
+    ("__builtins__", "Access to built-in functions - sandbox escape technique", "HIGH", []),
 ]
 
 
 def knowledge(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWLEDGE, "description string, severity string, type string, pattern string").withColumn("point_id", F.md5("description"))
+    return spark.createDataFrame(KNOWLEDGE, "cve_id string, description string, severity string, pattern string, type string").withColumn("point_id", F.md5("description"))
+
+
+def exploit_patterns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(EXPLOIT_PATTERNS, "pattern string, description string, severity string, cve_examples array<string>")
 
 
 def first_sdist(urls: Column) -> Column:
