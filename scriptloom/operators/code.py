@@ -9,6 +9,7 @@ import re
 import tarfile
 import warnings
 import zipfile
+import zlib
 from collections import Counter
 
 import pandas as pd
@@ -256,8 +257,21 @@ def hierarchical(rows: DataFrame, *, most: int = 512, size: int = 128, overlap:
     return fits.select(*columns).unionByName(long.select(*columns)).unionByName(none.select(*columns)).withColumn("chunk_id", t.chunk_id(F.col("content"), F.col("part") * 1000 + F.col("piece")))
 
 
-# Suffixes of members that are taken from archives.
-MEMBER_SUFFIXES = (".py", ".ps1", ".js", ".vbs", ".sh", ".bat", ".cmd", ".rb", ".pl", ".txt")
+# Suffixes of members that are taken from archives, and passwords that are tried on encrypted ones.
+MEMBER_SUFFIXES = (".py", ".ps1", ".js", ".vbs", ".bat", ".sh", ".cmd")
+PASSWORDS = (b"infected", b"malware", b"virus", b"password", b"")
+
+
+def _opened(z: zipfile.ZipFile, i: zipfile.ZipInfo) -> bytes:
+    """A member's bytes; empty if none of the passwords fits (AES is not supported)."""
+    if not i.flag_bits & 1:
+        return z.read(i)
+    for p in PASSWORDS:
+        try:
+            return z.read(i, p or None)
+        except (RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error):
+            continue
+    return b""
 
 
 def members(raw: bytes | None, most: int = 10 << 20) -> list[dict]:
@@ -266,7 +280,7 @@ def members(raw: bytes | None, most: int = 10 << 20) -> list[dict]:
     try:
         if raw and zipfile.is_zipfile(io.BytesIO(raw)):
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                found = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and not i.flag_bits & 1 and i.file_size <= most]
+                found = [(i.filename, _opened(z, i)) for i in z.infolist() if not i.is_dir() and i.file_size <= most]
         elif raw:
             with tarfile.open(fileobj=io.BytesIO(raw)) as z:
                 found = [(i.name, z.extractfile(i).read()) for i in z if i.isfile() and i.size <= most]

@@ -78,6 +78,19 @@ def archive_bytes(raw: Column) -> Column:
     return F.startswith(head, F.lit("504B0304")) | F.startswith(head, F.lit("1F8B")) | F.startswith(head, F.lit("425A68")) | F.startswith(head, F.lit("FD377A585A00")) | F.startswith(head, F.lit("377ABCAF271C")) | (F.hex(F.substring(raw, 258, 5)) == "7573746172")
 
 
+# Beginnings of files that are not scripts, as members of archives have them.
+MEMBER_MAGIC = ["4D5A", "504B0304", "504B0506", "7F454C46", "CFFAEDFE", "52617221", "377ABCAF271C", "1F8B", "425A68"]
+
+
+def member_binary(raw: Column) -> Column:
+    """A member of an archive that begins like a binary file, or has more than ten NULs in its first 1,024 bytes."""
+    head = F.decode(F.substring(raw, 1, 1024), "ISO-8859-1")
+    out = F.length(head) - F.length(F.replace(head, F.lit("\x00"), F.lit(""))) > 10
+    for m in MEMBER_MAGIC:
+        out = out | F.startswith(F.hex(F.substring(raw, 1, 6)), F.lit(m))
+    return out
+
+
 def sanitizer_binary(content: Column) -> Column:
     return F.contains(content, F.lit("\x00")) | (t.share(content, t.CONTROL) > 0.1) | (t.matched_share(content, t.BASE64_40) > 0.4)
 

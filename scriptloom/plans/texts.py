@@ -232,9 +232,10 @@ def _(spark, d):
     return scripts(spark, d).select("id", quality.binary_bytes(F.encode("content", "UTF-8")).alias("is_binary"))
 
 
-@query("flt_14_archive_bytes", CODE + "SELECT id, FALSE AS is_archive FROM scripts")
+@query("flt_14_archive_bytes", CODE + "SELECT id, content LIKE 'MZ%' OR content LIKE 'BZh%' OR content LIKE 'Rar!%' AS is_binary, FALSE AS is_archive FROM scripts")
 def _(spark, d):
-    return scripts(spark, d).select("id", quality.archive_bytes(F.encode("content", "UTF-8")).alias("is_archive"))
+    raw = F.encode("content", "UTF-8")
+    return scripts(spark, d).select("id", quality.member_binary(raw).alias("is_binary"), quality.archive_bytes(raw).alias("is_archive"))
 
 
 @query("flt_15_top_reasons", CODE + f"SELECT reason, count(*) AS n FROM (SELECT {_VALID} AS reason FROM scripts) WHERE reason IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 5")

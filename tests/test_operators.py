@@ -155,6 +155,7 @@ def test_archives():
 def test_archive_bytes(spark):
     assert one(spark, quality.archive_bytes(F.col("x")), x=bytearray(b"\x1f\x8b\x08aaaaaaa")) is True
     assert one(spark, quality.binary_bytes(F.col("x")), x=bytearray(b"GIF89aaaaaaaaaa")) is True
+    assert [one(spark, quality.member_binary(F.col("x")), x=bytearray(b)) for b in (b"Rar!xx", b"a\0" * 11, b"a\0" * 10, b"print(1)")] == [True, True, False, False]
     assert one(spark, quality.binary_bytes(F.col("x")), x=bytearray(b"plain text here")) is False
 
 
