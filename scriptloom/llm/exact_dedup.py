@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: A chunk ends at the first of these characters after 1,024 others, or after 4,096.
 CHUNK = r"(?s).{1023,4094}?[.!?\n]|.{1,4096}"
 
@@ -42,7 +44,8 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ide
         whole = base.join(marked, "doc_id").select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.col("t").alias("whole")).distinct()
         rows = rows.join(whole, ["doc_id", "text_sha256"], "left").select("doc_id", "text_sha256", F.concat("recipe", F.coalesce(F.concat(F.lit(" "), "whole"), F.lit(""))).alias("recipe"))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    out = rows.join(groups, "recipe", "left")
+    # written, so that the join's sides are plain exchanges and Spark can split a group with very many copies
+    out = rows.join(stored(groups), "recipe", "left")
     keep = F.coalesce("keep_id", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
 
