@@ -23,7 +23,11 @@ _PLACE_BITS = 24
 
 
 def least_in_windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` neighbouring hashes the place of the least (the first of equals, by 40 bits)."""
+    """For each run of `width` neighbouring hashes the place of the least (the first of equals, by 40 bits). More hashes
+    than places have numbers are taken in stretches that overlap by a run less one, so every run lies in one stretch."""
+    stretch = 1 << _PLACE_BITS
+    if len(hashes) > stretch:
+        return np.concatenate([least_in_windows(hashes[a : a + stretch], width) + a for a in range(0, len(hashes) - width + 1, stretch - width + 1)])
     low = (mixed(hashes, 40) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(hashes), dtype=np.uint64)
     have = 1
     while have < width:

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from scriptloom.llm import common, exact_dedup, jaccard_join, langid, license_scan, media, mixing, packing, substring_dedup, suffix_dedup, token_output
+from scriptloom.llm import anchors, common, exact_dedup, jaccard_join, langid, license_scan, media, mixing, packing, substring_dedup, suffix_dedup, token_output
 from scriptloom.llm.tokens import PieceEncoder
 from tokenizers import Tokenizer
 
@@ -151,6 +151,20 @@ def test_suffixes(docs, none, width):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_anchors_of_long_texts(monkeypatch):
+    """Beyond the places that one stretch can number, anchors are still found where they are."""
+    r = np.random.default_rng(3)
+    whole = r.integers(0, 1 << 63, (1 << 24) + 1000).astype(np.uint64)
+    whole[-300:] = whole[100:400]
+    at = anchors.least_in_windows(whole, 200)
+    assert len(at) == len(whole) - 199 and (at[-101:] - (len(whole) - 300)).tolist() == (at[100:201] - 100).tolist()
+    monkeypatch.setattr(anchors, "_PLACE_BITS", 6)
+    for n in (7, 63, 64, 65, 121, 122, 123, 1000):
+        h = r.integers(0, 50, n).astype(np.uint64)
+        order = common.mixed(h, 40)
+        assert anchors.least_in_windows(h, 7).tolist() == [i + int(np.argmin(order[i : i + 7])) for i in range(n - 6)]
+
+
 def test_suffix_sort():
     r = random.Random(5)
     strings = ["".join(r.choice("ab") for _ in range(r.randint(0, 12))).encode() for _ in range(300)]
