@@ -74,10 +74,15 @@ def pack(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: in
         yield flush()
 
 
-def repeated(docs: DataFrame, find: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], *, within: bool) -> DataFrame:
-    """(owner, places): the places of anchors that repeat; in one owner too if `within`. places: int32 arrays as bytes."""
+def repeated(docs: DataFrame, find: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], *, within: bool, hot: int | None = None) -> DataFrame:
+    """(owner, places): the places of anchors that repeat; in one owner too if `within`. places: int32 arrays as bytes.
+
+    With `hot` there is a third column, null in these rows, and rows with that column alone: the hashes that have more
+    than so many places in one bucket and the numbers of places, int64 pairs as bytes. A hash is in two buckets at most
+    (of known repeats and of others), so one that is never told has 2 * hot places at most."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
+    schema = "owner long, places binary" + ("" if hot is None else ", hot binary")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack(find(batches), buckets)
@@ -94,15 +99,21 @@ def repeated(docs: DataFrame, find: Callable[[Iterator[pa.RecordBatch]], Iterato
                 step[first] = False
                 many = np.add.reduceat(step.astype(np.int64), first) > 0
                 keep = np.repeat(many, np.diff(np.append(first, len(h))))
-                owner, place = owner[keep], place[keep]
+                h, owner, place = h[keep], owner[keep], place[keep]
+            if hot is not None:
+                often, n = np.unique(h, return_counts=True)
+                if (n > hot).any():
+                    told = np.stack([often[n > hot].view(np.int64), n[n > hot]], axis=1)
+                    yield pa.RecordBatch.from_pydict({"owner": pa.array([None], pa.int64()), "places": pa.array([None], pa.binary()), "hot": pa.array([told.tobytes()], pa.binary())})
             by = np.lexsort((place, owner))
             owner, place = owner[by], place[by]
             cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])).tolist() + [len(owner)] if len(owner) else []
             if cuts:
-                yield pa.RecordBatch.from_pydict({"owner": pa.array(owner[cuts[:-1]]), "places": pa.array([place[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+                rest = {} if hot is None else {"hot": pa.nulls(len(cuts) - 1, pa.binary())}
+                yield pa.RecordBatch.from_pydict({"owner": pa.array(owner[cuts[:-1]]), "places": pa.array([place[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())} | rest)
 
     sent = docs.mapInArrow(send, "deal long, hash binary, owner binary, place binary")
-    return sent.repartition(partitions(spark), "deal").sortWithinPartitions("deal").mapInArrow(receive, "owner long, places binary")
+    return sent.repartition(partitions(spark), "deal").sortWithinPartitions("deal").mapInArrow(receive, schema)
 
 
 def by_owner(places: DataFrame) -> DataFrame:

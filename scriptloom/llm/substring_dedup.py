@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import NULL_KEY, bloom_of, groups, mixed, partitions, slices, stored, texts, word_hashes, words_of
+from .common import NULL_KEY, bloom_of, groups, mixed, partitions, prefix_hashes, slices, span_hashes, stored, texts, word_hashes, words_of
 
 WIDTH, GRAM = 13, 4
-#: Fragments that one automaton is compiled for, about; a shard with more words than characters is split.
+#: Fragments that one automaton is compiled for, about. An anchor with more has its windows dealt one by one, by their words.
 SHARD_FRAGMENTS = 8_000
+#: Different words that one character each can stand for; in a shard with more, a word is two characters.
+CHARACTERS = 1_100_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -70,7 +72,11 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
             row = np.searchsorted(first, at, side="right") - 1
             yield h[at], batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False)[row], at - first[row]
 
-    places = stored(anchors.repeated(base, find, within=False))
+    found = stored(anchors.repeated(base, find, within=False, hot=SHARD_FRAGMENTS))
+    places = found.filter("hot is null").select("owner", "places")
+    told = np.frombuffer(b"".join(bytes(r["hot"]) for r in found.filter("hot is not null").select("hot").collect()), np.int64).reshape(-1, 2)
+    hot = spark.sparkContext.broadcast(np.unique(told[:, 0].view(np.uint64)))
+    hot_shards = max(1, int(told[:, 1].sum()) * (width - GRAM + 1) // SHARD_FRAGMENTS)
     maybe = bloom_of(places.select("owner").distinct())
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +100,8 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
             windows, at = windows[hit], at[hit]
             if not len(windows):
                 continue
-            new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)))
+            alone = np.isin(h[at], hot.value)
+            new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)) | alone)
             lo, hi, a = windows[new], windows[np.append(new[1:], len(windows)) - 1] + width, at[new]
             row = np.searchsorted(first, lo, side="right") - 1
             raw = data.tobytes()
@@ -103,6 +110,10 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
             keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
             one, owners, places = anchors.collapsed([h[a].view(np.int64), frags.indices.to_numpy()], keys[row], lo - first[row])
             deal = (mixed(h[a[one]], 42) % np.uint64(per_shard)).astype(np.int64)
+            by_words = alone[new][one]
+            if by_words.any():  # equal windows meet wherever they stand
+                begin = lo[one][by_words]
+                deal[by_words] = -1 - (mixed(span_hashes(prefix_hashes(words), begin, begin + width), 43) % np.uint64(hot_shards)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(deal), frags.dictionary.take(frags.indices.take(pa.array(one))), pa.array(owners, pa.binary()), pa.array(places, pa.binary())], ["deal", "frag", "owners", "places"])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +178,15 @@ def occurrences(frags: pa.Array, of: np.ndarray, owner: np.ndarray, width: int)
     of = frags.indices.to_numpy()[of]
     start, end, first = words_of(data, offsets, _SPACE)
     distinct, code = np.unique(word_hashes(data, start, end), return_inverse=True)
-    if len(distinct) > 1_100_000:
-        raise ValueError("a shard has more different words than there are characters: lower SHARD_FRAGMENTS")
+    each = 1
+    if len(distinct) > CHARACTERS:  # first and second characters differ, so a match begins where a word does
+        each, half = 2, CHARACTERS // 2
+        code = np.stack([code // half, half + code % half], axis=1).reshape(-1)
     code = code.astype(np.uint32) + 1
     code[code >= 0xD800] += 0x800
     line = code.astype("<u4").tobytes().decode("utf-32-le")
-    frag = [line[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    frag = [line[a:b] for a, b in zip((each * first[:-1]).tolist(), (each * first[1:]).tolist(), strict=True)]
+    span = each * width
     by = np.argsort(owner, kind="stable")  # owners ascend: the first to bring a fragment or window is its least
     same: dict[str, int] = {}
     kind = np.array([same.setdefault(frag[k], len(same)) for k in of[by].tolist()], np.int64)
@@ -182,8 +196,8 @@ def occurrences(frags: pa.Array, of: np.ndarray, owner: np.ndarray, width: int)
     least: dict[str, int] = {}
     several: dict[str, int] = {}
     for x, low, high in zip(same, first_owner.tolist(), last_owner.tolist(), strict=True):
-        for i in range(len(x) - width + 1):
-            w = x[i : i + width]
+        for i in range(0, len(x) - span + 1, each):
+            w = x[i : i + span]
             if least.setdefault(w, low) < high:
                 several[w] = least[w]
     if not several:
@@ -193,11 +207,11 @@ def occurrences(frags: pa.Array, of: np.ndarray, owner: np.ndarray, width: int)
         automaton.add_word(w, low)
     automaton.make_automaton()
     del least, several
-    found = [(k, last - width + 1, low) for k, x in enumerate(same) for last, low in automaton.iter(x)]
+    found = [(k, (last - span + 1) // each, low) for k, x in enumerate(same) for last, low in automaton.iter(x)]
     which, at, low = (np.array(c, np.int64) for c in zip(*found, strict=True))
     members = np.argsort(kind, kind="stable")  # each fragment's owners, ascending
     start, n = np.searchsorted(kind[members], which), np.bincount(kind, minlength=len(same))[which]
-    each = np.repeat(np.arange(len(which)), n)
-    member = members[start[each] + np.arange(len(each)) - (np.cumsum(n) - n)[each]]
-    late = sorted_owner[member] > low[each]
-    return by[member[late]], at[each[late]]
+    hit = np.repeat(np.arange(len(which)), n)
+    member = members[start[hit] + np.arange(len(hit)) - (np.cumsum(n) - n)[hit]]
+    late = sorted_owner[member] > low[hit]
+    return by[member[late]], at[hit[late]]

@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -201,6 +202,46 @@ def test_phrases(docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_phrases_around_one_anchor(spark, monkeypatch):
+    """An anchor that very many documents have, in differing surroundings, is no shard of its own."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
+    grams = [[word() for _ in range(4)] for _ in range(3000)]
+    data, offsets = common.texts(pa.array([" ".join(g) for g in grams]))
+    start, end, first = common.words_of(data, offsets, substring_dedup._SPACE)
+    hashes = substring_dedup.gram_hashes(common.word_hashes(data, start, end))[first[:-1]]
+    gram = grams[int(np.argmin(common.mixed(hashes, 40)))]
+    rows = [(k, [word() for _ in range(9)] + gram + [word() for _ in range(9)]) for k in range(300)]
+    rows += [(k + 1000, w[:2] + [word()] + w[3:] if k % 2 else w[:12] + [word()]) for k, w in rows[:20]]
+    least = {}
+    for d, w in rows:
+        for i in range(len(w) - 12):
+            least.setdefault(tuple(w[i : i + 13]), d)
+    want = []
+    for d, w in rows:
+        gone = {i + j for i in range(len(w) - 12) for j in range(13) if least[tuple(w[i : i + 13])] < d}
+        want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    assert sum(n for _, _, n, _ in want)
+    whole = substring_dedup.occurrences
+
+    def bounded(frags, of, owner, width):
+        assert len(frags) < 100
+        return whole(frags, of, owner, width)
+
+    monkeypatch.setattr(substring_dedup, "SHARD_FRAGMENTS", 20)
+    monkeypatch.setattr(substring_dedup, "occurrences", bounded)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+    assert result(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_text") == sorted(want, key=repr)
+
+
+def test_more_words_than_characters():
+    n = 1_100_100 // 13 + 1
+    line = [" ".join(f"{13 * k + i:x}" for i in range(13)) for k in range(n)]
+    line.append(f"{line[5]} more {line[7]}")
+    where, at = substring_dedup.occurrences(pa.array([x.encode() for x in line]), np.append(np.arange(n + 1), 9), np.append(np.arange(n + 1), n + 5), 13)
+    assert sorted(zip(where.tolist(), at.tolist(), strict=True)) == [(n, 0), (n, 14), (n + 1, 0)]
+
+
 def test_licenses(docs, none):
     want = []
     for d, t in KEYED:
