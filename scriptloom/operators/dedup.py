@@ -44,11 +44,12 @@ def near_pairs(rows: DataFrame, threshold: float, *, id: str = "id", content: st
     return pairs.join(left, "i").join(right, "j").filter(jaccard(F.col("ti"), F.col("tj")) >= threshold).select("i", "j")
 
 
-def greedy_dropped(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def greedy_dropped(pairs: DataFrame) -> DataFrame:
     """The ids that a scan in order drops: j goes if an i before it, near to it, has been kept.
 
     Each round keeps all undecided ids without an undecided or kept one before them, and drops their later neighbours;
-    edges of dropped ids go. Rounds are written to the shared folder, so that plans stay short and survive lost executors.
+    edges of dropped ids go. Each round decides the first of all ids with edges at least, so rounds go on until no edges
+    are left. Rounds are written to the shared folder, so that plans stay short and survive lost executors.
     """
     spark = pairs.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -60,13 +61,14 @@ def greedy_dropped(pairs: DataFrame, rounds: int = 100) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    edges, gone = stored(pairs.select("i", "j").distinct()), None
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    edges, gone, done = stored(pairs.select("i", "j").distinct()), None, 0
+    while not edges.isEmpty():
         firsts = edges.select("i").distinct().join(edges.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
         out = stored(edges.join(firsts, "i", "left_semi").select(F.col("j").alias("id")).distinct())
         gone = out if gone is None else gone.union(out)
+        done += 1
+        if done % 50 == 0:  # a long chain's union would make a long plan
+            gone = stored(gone)
         rest = edges.join(firsts, "i", "left_anti")
         edges = stored(rest.join(out.withColumnRenamed("id", "i"), "i", "left_anti").join(out.withColumnRenamed("id", "j"), "j", "left_anti"))
     return gone if gone is not None else spark.createDataFrame([], "id long")

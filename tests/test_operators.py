@@ -96,6 +96,12 @@ def test_greedy_is_not_components(spark):
     assert {r.id for r in dedup.greedy_dropped(pairs).collect()} == {2, 5, 6}
 
 
+def test_greedy_follows_long_chains(spark):
+    # each version is near to the next alone: every second one is dropped, however long the chain
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 210)], "i long, j long").coalesce(1)
+    assert {r.id for r in dedup.greedy_dropped(pairs).collect()} == set(range(2, 211, 2))
+
+
 def test_exact_keeps_the_first(spark):
     rows = src.merged(spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, "")], "id long, content string"))
     got = dedup.exact(store.cleaned(rows))
