@@ -246,58 +246,77 @@ def connect(sets: list[np.ndarray], levels: np.ndarray, per_cent: int) -> list[i
     return [union.root(x) for x in range(m)]
 
 
-def jaccard_join(docs: DataFrame, *, words: int = 3, per_cent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each document: doc_id, n_shingles, and component_id: the smallest doc_id that links reach, its own included.
-
-    Two documents link when their sets' Jaccard similarity is per_cent / 100 or more; no link between different sets is
-    lost. Null, empty and wordless texts have no tokens and link with nothing. Rows that repeat a key are reported each;
-    they share the key's component. A row with a null key gets its component's smallest key, null if there is none. Extra columns are ignored; no rows give no rows. Sets are identified by 64-bit
-    hashes of n-grams and of whole sets.
-    """
-    spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def linked_classes(base: DataFrame, *, words: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """base has doc_id, text and columns that are carried. Returns its rows as doc_id, carried columns, n_shingles and class
+    (null without tokens), and each class's smallest key (rep, null if it has none) and root: the smallest class that links
+    reach, its own included. Classes are vertices, so keys may be null or repeat."""
+    spark = base.sparkSession
     buckets = partitions(spark)
     levels = frequency_levels(base, words)
     sent = spark.sparkContext.broadcast(levels)
+    carried = [f for f in base.schema if f.name not in ("doc_id", "text")]
+    names = [f.name for f in carried]
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             sets = token_sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {c: batch.column(c) for c in names} | {"n_shingles": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())})
 
-    told = stored(base.mapInArrow(tell, "doc_id long, n_shingles long, class long"))
+    told = stored(base.mapInArrow(tell, ", ".join(["doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in carried), "n_shingles long", "class long"])))
     classes = told.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     pairs = stored(near_pairs(postings(base, levels, words, per_cent, buckets), per_cent, buckets))
     survive = pairs.filter("kind >= 0").groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("orders")).filter(F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
-    clusters = stored(components(survive.union(pairs.filter("kind < 0").select("a", "b"))).join(classes.withColumnRenamed("class", "id"), "id").select("rep", "root"))
+    # rep says which row brings the set of a class; any row without a key may
+    filled = F.coalesce("rep", F.lit(NULL_KEY).cast("long")).alias("rep")
+    clusters = stored(components(survive.union(pairs.filter("kind < 0").select("a", "b"))).withColumnRenamed("id", "class").join(classes, "class").select("class", filled, "root"))
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     test = bloom_of(clusters.select("rep"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in slices(batches, "text", 1 << 20):
             if test is not None:
                 batch = batch.filter(pa.array(test(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "tokens": pa.array([x.tobytes() for x in token_sets(batch.column("text"), words)], pa.binary())})
+            out = []
+            for rep, tokens in zip(batch.column("doc_id").fill_null(NULL_KEY).to_pylist(), token_sets(batch.column("text"), words), strict=True):
+                if len(tokens) and (one := (set_id(tokens), rep)) not in seen:
+                    seen.add(one)
+                    out.append((*one, tokens.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_pydict({name: pa.array(list(c), t) for name, c, t in zip(("class", "rep", "tokens"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
     blocks = F.ceil(F.col("members") * 2 / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    sets = base.mapInArrow(fetch, "rep long, tokens binary").join(clusters.join(sizes, "root"), "rep").withColumn("blocks", F.when(F.col("members") <= BLOCK, 1).otherwise(blocks))
-    spread = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "rep", "tokens", (F.col("blocks") > 1).alias("cut"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    sets = base.select("doc_id", "text").mapInArrow(fetch, "class long, rep long, tokens binary").join(clusters.join(sizes, "root"), ["class", "rep"]).withColumn("blocks", F.when(F.col("members") <= BLOCK, 1).otherwise(blocks))
+    spread = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "class", "tokens", (F.col("blocks") > 1).alias("cut"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["root", "i", "j"]):
-            reps = table.column("rep").to_numpy()
-            by = np.unique(reps, return_index=True)[1]
+            ids = table.column("class").to_numpy()
+            by = np.unique(ids, return_index=True)[1]
             data = table.column("tokens").to_pylist()
             if len(by) > 1:
                 roots = connect([np.frombuffer(data[k], np.uint64) for k in by.tolist()], sent.value, per_cent)
-                linked = [(int(reps[by[k]]), int(reps[by[r]])) for k, r in enumerate(roots) if r != k]
+                linked = [(int(ids[by[k]]), int(ids[by[r]])) for k, r in enumerate(roots) if r != k]
                 if linked:
                     a, b = zip(*linked, strict=True)
-                    yield pa.RecordBatch.from_pydict({"rep": pa.array(a, pa.int64()), "root": pa.array(b, pa.int64()), "cut": pa.array([table.column("cut")[0].as_py()] * len(a))})
+                    yield pa.RecordBatch.from_pydict({"class": pa.array(a, pa.int64()), "root": pa.array(b, pa.int64()), "cut": pa.array([table.column("cut")[0].as_py()] * len(a))})
+
+    links = stored(spread.repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verify, "class long, root long, cut boolean"))
+    joined = components(links.filter("cut").select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("class"), "root")
+    roots = links.filter("not cut").select("class", "root").union(joined)
+    return told, classes.join(roots, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
 
-    links = stored(spread.repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verify, "rep long, root long, cut boolean"))
-    joined = components(links.filter("cut").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("rep"), "root")
-    roots = links.filter("not cut").select("rep", "root").union(joined)
-    ids = classes.join(roots, "rep", "left").select("class", F.coalesce("root", "rep").alias("component"))
-    return told.join(ids, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+def jaccard_join(docs: DataFrame, *, words: int = 3, per_cent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each document: doc_id, n_shingles, and component_id: the smallest doc_id that links reach, its own included.
+
+    Two documents link when their sets' Jaccard similarity is per_cent / 100 or more; no link between different sets is
+    lost. Null, empty and wordless texts have no tokens and link with nothing. Rows that repeat a key are reported each,
+    by their own texts' links. A row with a null key links as others do; it gets its component's smallest key, null if
+    there is none. Extra columns are ignored; no rows give no rows. Sets are identified by 64-bit hashes of n-grams and
+    of whole sets.
+    """
+    told, ids = linked_classes(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), words=words, per_cent=per_cent)
+    least = ids.groupBy("root").agg(F.min("rep").alias("component"))
+    return told.join(ids.join(least, "root").select("class", "component"), "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -111,6 +111,20 @@ def test_jaccard(docs, none, n, per_cent):
     assert jaccard_join.jaccard_join(docs, words=n, per_cent=per_cent).count() == len(ROWS)
 
 
+def odd_keys():
+    """Documents that only a row without a key connects, and two texts of one key with a near copy each."""
+    w = [f"word{i}" for i in range(60)]
+    rows = [(50, w[:10]), (None, w[3:13]), (51, w[6:16]), (60, w[20:30]), (60, w[40:50]), (61, w[20:31]), (62, w[40:51]), (None, w[52:56]), (None, w[52:57])]
+    return [(d, " ".join(t)) for d, t in rows]
+
+
+def test_jaccard_of_null_and_repeated_keys(spark, docs):
+    rows = [(d, t) for d, t in KEYED] + odd_keys()
+    want = brute_components(rows, 1, 50)
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=1, per_cent=50)
+    assert result(found, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+
+
 def test_jaccard_in_blocks(docs, monkeypatch):
     """Families are tied and clusters cut into blocks: the same components."""
     want = brute_components([(d, t) for d, t in KEYED if d is not None], 3, 80)

@@ -48,6 +48,20 @@ def test_near(stages):
     assert ids(stages[3]) == {c for _, _, c in brute_components(rows, 5, 80)}
 
 
+def test_one_of_each_group_stays(spark):
+    """Null and repeated keys: exactly one row of each group, and no row of another."""
+    rows = [(1, "x"), (1, "y"), (2, "x"), (None, "z"), (None, "z"), (3, "w"), (3, "w"), (4, None), (4, ""), (None, "v"), (5, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.exact(spark, docs, DIR).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "y"), (2, "x"), (None, "z"), (3, "w"), (4, ""), (5, "v")], key=repr)
+    w = [f"word{i}" for i in range(400)]
+    t = lambda a, b: " ".join(w[a:b])
+    rows = [(7, t(0, 50)), (7, t(100, 150)), (8, t(0, 52)), (6, t(100, 152)), (None, t(200, 250)), (None, t(200, 252)), (9, t(300, 350)), (9, t(300, 350)), (10, ""), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text[:7]) for r in corpus_pipeline.near(spark, docs, DIR).collect()), key=repr)
+    assert got == sorted([(7, "word0 w"), (6, "word100"), (None, "word200"), (9, "word300"), (10, ""), (10, "")], key=repr)
+
+
 def test_mixing_keeps_all(stages):
     assert collections.Counter(map(tuple, stages[3].collect())) == collections.Counter(map(tuple, stages[4].collect()))
 
