@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import partitions, slices, stored
-from .tokens import encoder
+from .tokens import as_binary, encoder
 
 LENGTH, END = 2048, 1
 _ENCODED = "part long, place long, doc_id long, n long, ids binary"
@@ -33,13 +33,11 @@ def encode_in_order(docs: DataFrame, path: str, end: int, order: list[Column], k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, place = encoder(path), TaskContext.get().partitionId(), 0
-        last = np.asarray([end], "<u4").tobytes()
         for batch in slices(batches, "text", 4 << 20):
-            ids = [x + last for x in encode.many(batch.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, n = encode.with_end(batch.column("text"), end)
             starts = place + np.cumsum(n) - n
-            place += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part)), pa.array(starts), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "n", "ids"])
+            place += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(starts), batch.column("doc_id"), pa.array(n), as_binary(ids, n)], ["part", "place", "doc_id", "n", "ids"])
 
     rows = docs.select(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     by = [*[f"o{k}" for k in range(len(order))], "doc_id", "text"]

@@ -4,7 +4,7 @@ Documents, in order, are encoded by a tokenizer and written in blocks of whole d
 checksummed on its own. Its ids are dealt to lanes of consecutive ids, which numpy codes side by side, one id of each
 lane in a step. What the lanes have seen so far predicts the next ids: orders 2 and 1 (a table each of the id that
 followed this context, with a confidence) and order 0 (counts, renewed every few steps). The three are mixed by how
-often each confidence has held in this block; the mixture is an interval in [0, 2**24) for each lane's range coder.
+often each confidence has held in this block; the mixture is an interval in [0, 2**28) for each lane's range coder.
 
 A block is: "TIDB", crc32 of what follows (4 bytes), counts of ids, documents, lanes and bytes of the document table
 (4 bytes each), the crc32 of the ids, the table (zlib: ids, null flags and lengths of documents), the number of 32-bit
@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 from .common import partitions, slices, stored
 from .tokens import encoder
 
-END, BLOCK_IDS, LANES, LANE_IDS = 2, 1 << 21, 8192, 256
+END, BLOCK_IDS, LANES, LANE_IDS = 2, 1 << 21, 4096, 512
 VOCABULARY = 1 << 16
-_TOTAL, _LEAST, _RENEW = 1 << 24, 1 << 20, 32
-#: Order-0 counts are scaled to add up to 2**18, so that shifts divide by them.
-_BITS = 18
-_HASH = 16
+#: An interval's unit, the least share of it that order 0 has (so that each id's own share is 1 or more), and how often order 0
+#: is renewed after its first steps.
+_UNIT = 28
+_TOTAL, _LEAST, _RENEW = 1 << _UNIT, 1 << 22, 16
+#: Order-0 counts are scaled to add up to 2**22, so that shifts divide by them.
+_BITS = 22
+_HASH = 18
 _U = np.uint64
 #: The next confidence (0 to 3) after a miss, then after a hit.
 _TRUST = np.array([0, 0, 1, 2, 1, 2, 3, 3], np.int64)
@@ -43,13 +46,15 @@ class Mixer:
     """The model of one block; encoder and decoder feed it the same ids and so see the same intervals."""
 
     def __init__(self, lanes: int):
-        self.next1, self.sure1 = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << _HASH, np.int64), np.zeros(1 << _HASH, np.int64)
+        #: For each context of order 1 and 2 the id that followed it, times 4, plus a confidence.
+        self.table1, self.table2 = np.zeros(VOCABULARY, np.int64), np.zeros(1 << _HASH, np.int64)
+        self.seen1, self.seen2 = [], []
         self.held, self.tried = np.full((2, 4), 0.4), np.ones((2, 4))
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
-        self.counts, self.recent = np.zeros(VOCABULARY, np.int64), []
+        self.counts, self.recent, self.steps = np.zeros(VOCABULARY, np.int64), [], 0
         self.renew()
+        self.weigh()
 
     def renew(self) -> None:
         if self.recent:
@@ -57,21 +62,29 @@ class Mixer:
             self.recent = []
         freq = 1 + self.counts * ((1 << _BITS) - VOCABULARY) // max(1, int(self.counts.sum()))
         freq[0] += (1 << _BITS) - int(freq.sum())
-        self.freq, self.cum = freq.astype(np.int32), np.append(0, np.cumsum(freq))
-        self.symbols = None
+        self.cum = np.append(0, np.cumsum(freq))
+
+    def weigh(self) -> None:
+        """The widths of the guesses' intervals, by how often each confidence has held."""
+        for k, seen in enumerate((self.seen2, self.seen1)):
+            if seen:
+                n = np.bincount(np.concatenate(seen), minlength=8).reshape(2, 4)
+                self.held[k] += n[1]
+                self.tried[k] += n[0] + n[1]
+                seen.clear()
+        share = self.held / self.tried
+        self.wide2 = (share[0] * (_TOTAL - 2 * _LEAST)).astype(np.int64)
+        self.wide1 = (share[1][:, None] * (_TOTAL - _LEAST - self.wide2)).astype(np.int64).reshape(-1)
 
     def predict(self) -> None:
-        """Order-2 and order-1 guesses of the lanes' next ids, and the widths of their intervals."""
+        """Order-2 and order-1 guesses of the lanes' next ids, and their intervals."""
         self.at2 = (self.one * 40503 + self.two * 61681 + (self.two >> 3)) & ((1 << _HASH) - 1)
-        self.guess2, self.c2 = self.next2[self.at2], self.sure2[self.at2]
-        self.guess1, self.c1 = self.next1[self.one], self.sure1[self.one]
-        share = self.held / self.tried
-        wide2 = (share[0] * (_TOTAL - 2 * _LEAST)).astype(np.int64)
-        wide1 = (share[1][:, None] * (_TOTAL - _LEAST - wide2)).astype(np.int64)
-        self.a2 = wide2[self.c2]
-        a1 = wide1.reshape(-1)[self.c1 * 4 + self.c2]
-        a1[self.guess1 == self.guess2] = 0
-        self.a12 = self.a2 + a1
+        self.p2, self.p1 = self.table2[self.at2], self.table1[self.one]
+        self.c2, self.c1 = self.p2 & 3, self.p1 & 3
+        self.guess2, self.guess1 = self.p2 >> 2, self.p1 >> 2
+        self.a2 = self.wide2[self.c2]
+        self.a1 = self.wide1[(self.c1 << 2) | self.c2] * (self.guess1 != self.guess2)
+        self.a12 = self.a2 + self.a1
         self.rest = _TOTAL - self.a12
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,37 +92,33 @@ class Mixer:
         size = (self.rest * self.cum[ids + 1] >> _BITS) - start
         start += self.a12
         self.hit2, self.hit1 = self.guess2 == ids, self.guess1 == ids
-        one = self.hit1 & (self.a12 > self.a2)
-        start[one], size[one] = self.a2[one], (self.a12 - self.a2)[one]
-        two = self.hit2 & (self.a2 > 0)
+        one = np.flatnonzero(self.hit1 & (self.a1 > 0))
+        start[one], size[one] = self.a2[one], self.a1[one]
+        two = np.flatnonzero(self.hit2 & (self.a2 > 0))
         start[two], size[two] = 0, self.a2[two]
         return start.astype(_U), size.astype(_U)
 
     def symbol(self, point: np.ndarray) -> np.ndarray:
-        if self.symbols is None:
-            self.symbols = np.repeat(np.arange(VOCABULARY), self.freq)
-        x = np.maximum(point - self.a12, 0)
-        # below 2**42 over 2**24, so the double quotient is floored rightly
-        target = ((((x + 1) << _BITS) - 1) / self.rest).astype(np.int64)
-        out = self.symbols[target]
-        one, two = point < self.a12, point < self.a2
-        out[one] = self.guess1[one]
-        out[two] = self.guess2[two]
+        out = np.where(point < self.a2, self.guess2, self.guess1)
+        far = np.flatnonzero(point >= self.a12)
+        # below 2**50 over 2**28, so the double quotient is floored rightly
+        target = ((((point[far] - self.a12[far] + 1) << _BITS) - 1) / self.rest[far]).astype(np.int64)
+        out[far] = np.searchsorted(self.cum, target, side="right") - 1
         return out
 
     def learn(self, ids: np.ndarray) -> None:
         """After interval(ids), which tells the hits."""
-        for k, hit, guess, sure, table, trust, at in ((0, self.hit2, self.guess2, self.c2, self.next2, self.sure2, self.at2), (1, self.hit1, self.guess1, self.c1, self.next1, self.sure1, self.one)):
-            state = sure + 4 * hit
-            seen = np.bincount(state, minlength=8).reshape(2, 4)
-            self.held[k] += seen[1]
-            self.tried[k] += seen[0] + seen[1]
-            table[at] = np.where(sure > 0, guess, ids)
-            trust[at] = _TRUST[state]
+        for hit, p, c, table, at, seen in ((self.hit2, self.p2, self.c2, self.table2, self.at2, self.seen2), (self.hit1, self.p1, self.c1, self.table1, self.one, self.seen1)):
+            state = c + 4 * hit
+            seen.append(state)
+            table[at] = np.where(c > 0, p - c, ids << 2) + _TRUST[state]
         self.two, self.one = self.one, ids
         self.recent.append(ids)
-        if len(self.recent) == _RENEW:
+        self.steps += 1
+        if self.steps <= _RENEW or len(self.recent) == _RENEW:  # the first steps have everything to learn
             self.renew()
+        if self.steps <= _RENEW or len(self.seen1) == 4:
+            self.weigh()
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -118,6 +127,8 @@ def _lanes(n: int) -> tuple[int, int]:
 
 
 def encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
+    if len(ids) and int(ids.max()) >= VOCABULARY:
+        raise ValueError(f"ids must be less than {VOCABULARY}")
     lanes, steps = _lanes(len(ids))
     grid = np.zeros(lanes * steps, np.int64)
     grid[: len(ids)] = ids
@@ -135,7 +146,7 @@ def encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
         now = grid[t]
         mixer.predict()
         start, size = mixer.interval(now)
-        unit = width >> _U(24)
+        unit = width >> _U(_UNIT)
         more = low + unit * start
         if (over := more < low).any():
             carry(every[over])
@@ -173,7 +184,7 @@ def decode_ids(n: int, lanes: int, data: bytes) -> np.ndarray:
     out, every = np.zeros((steps, lanes), np.int64), np.arange(lanes)
     for t in range(steps):
         mixer.predict()
-        unit = width >> _U(24)
+        unit = width >> _U(_UNIT)
         now = mixer.symbol(np.minimum(code // unit, _U(_TOTAL - 1)).astype(np.int64))
         start, size = mixer.interval(now)
         code, width = code - unit * start, unit * size
@@ -210,25 +221,31 @@ def from_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 def write_tokens(docs: DataFrame, *, path: str | None = None, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of all documents, in order of the key (then the text; null keys first), in blocks, and returns
-    the written table: part, block, first (ids of the part before it), n, data. A null or empty text is the end id."""
+    the written table: part, block, first (ids of the part before it), n, data. A null or empty text is the end id alone;
+    very long texts are encoded whole, in one block. Repeated rows are written each; extra columns are ignored; no rows
+    give no blocks. Ids of 65,536 and more are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, number, first = encoder(path or public_tokenizers.path("word_bpe_49k.json")), TaskContext.get().partitionId(), 0, 0
-        last = np.asarray([end], "<u4").tobytes()
-        held, keys, size = [], [], 0
+        held, lengths, keys, size = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            data = to_block(keys, [len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4"))
+            data = to_block(keys, lengths, np.concatenate(held))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "block": pa.array([number], pa.int64()), "first": pa.array([first], pa.int64()), "n": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in slices(batches, "text", 2 << 20):
-            for k, x in zip(batch.column("doc_id").to_pylist(), encode.many(batch.column("text").to_pylist()), strict=True):
-                held.append(x + last)
-                keys.append(k)
-                size += len(x) // 4 + 1
+            ids, n = encode.with_end(batch.column("text"), end)
+            rows, names, ends = 0, batch.column("doc_id").to_pylist(), np.cumsum(n)
+            while rows < len(n):  # whole documents up to the one that fills the block
+                done = int(ends[rows - 1]) if rows else 0
+                to = min(len(n), int(np.searchsorted(ends, done + BLOCK_IDS - size)) + 1)
+                held.append(ids[done : ends[to - 1]])
+                lengths += n[rows:to].tolist()
+                keys += names[rows:to]
+                size, rows = size + len(held[-1]), to
                 if size >= BLOCK_IDS:
                     yield block()
-                    number, first, held, keys, size = number + 1, first + size, [], [], 0
+                    number, first, held, lengths, keys, size = number + 1, first + size, [], [], [], 0
         if held:
             yield block()
 
@@ -239,7 +256,8 @@ def write_tokens(docs: DataFrame, *, path: str | None = None, end: int = END, ke
 
 def read_tokens(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
     """From written blocks, for each document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the
-    ids as little-endian uint32) and, unless told not to, the ids."""
+    ids as little-endian uint32) and, unless told not to, the ids. Rows come as they were written: repeated ones each, null
+    keys first; no blocks give no rows; a damaged block is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", 1):
