@@ -8,7 +8,10 @@ verified on the bytes; if a hash has misled, the group is sorted again by its by
 before the anchor is repeated if another occurrence agrees on o bytes to the left and width - o to the right.
 
 Documents with equal texts are one class: if they are as long as a window they go whole, and one text of each class
-stands for them where other documents are judged.
+stands for them where other documents are judged. A class's id is verified by 64 more bits; were two texts to share an
+id, ids are made anew with another salt.
+
+The same sorted orders also tell the bytes in shorter repeats, which are reported and not removed.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ from . import anchors
 from .common import BYTE_VALUES, bloom_of, groups, mixed, partitions, powers, prefix_hashes, slices, span_hashes, stored, texts
 
 WIDTH = 400
+#: Bytes of the shorter repeats that are counted (n_repeated) and not removed.
+REPORTED = 256
 #: Bytes of contexts that are sorted at once; a group is never split.
 SORT_BYTES = 4 << 20
 
 
-def text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit id for each row's bytes."""
-    p = prefix_hashes(BYTE_VALUES[data])
-    return mixed(span_hashes(p, offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64), 50).view(np.int64)
+def text_ids(data: np.ndarray, offsets: np.ndarray, salt: int = 0) -> np.ndarray:
+    """For each row's bytes a 64-bit id and 64 more bits that verify it (a row of two for each)."""
+    raw, salt = memoryview(data.tobytes()), salt.to_bytes(8, "little")
+    made = [hashlib.blake2b(raw[a:b], digest_size=16, salt=salt).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
 def find_anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +134,10 @@ class Strings:
             step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             wrong = self.data[np.repeat(self.start[x], m) + step] != self.data[np.repeat(self.start[y], m) + step]
             misled |= set(group[inner[lo : lo + 1024]][np.repeat(np.arange(len(m)), m)[wrong]].tolist())
+        last = len(self.data) - 1
+        ends_a, ends_b = n == self.size[a], n == self.size[b]
+        turned = np.where(ends_a | ends_b, self.size[a] > self.size[b], self.data[np.minimum(self.start[a] + n, last)] > self.data[np.minimum(self.start[b] + n, last)])
+        misled |= set(group[inner[turned]].tolist())
         for g in misled:
             at = np.flatnonzero(group == g)
             own = {k: self.data[self.start[k] : self.end[k]].tobytes() for k in at.tolist()}
@@ -138,11 +148,11 @@ class Strings:
         return order, agree
 
 
-def repeated_spans(right: Strings, left: Strings, group: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each occurrence the least and largest `o` of its repeated windows (largest -1 if none)."""
+def repeated_spans(right: Strings, left: Strings, group: np.ndarray, width: int, most: int, ranks: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each occurrence the least and largest `o` of its repeated windows (largest -1 if none). ranks: the neighbours of
+    right and left, where they are known."""
     low, high = np.full(len(group), most + 1), np.full(len(group), -1)
-    by_right, agree_right = right.neighbours(group)
-    by_left, agree_left = left.neighbours(group)
+    (by_right, agree_right), (by_left, agree_left) = ranks or (right.neighbours(group), left.neighbours(group))
     size = np.bincount(group)[group]
     two = np.flatnonzero(np.append(False, group[1:] == group[:-1]) & (size == 2))
     lo, hi = width - agree_right[two], np.minimum(agree_left[two], most)
@@ -183,23 +193,40 @@ def repeated_spans(right: Strings, left: Strings, group: np.ndarray, width: int,
     return low, high
 
 
-def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left).
+def bounds(spans: list[bytes] | None) -> list[tuple[int, int]]:
+    """The union of spans (int32 pairs as bytes), as runs in order; spans that touch are one run."""
+    out: list[list[int]] = []
+    for a, b in np.unique(np.frombuffer(b"".join(spans or []), np.int32).reshape(-1, 2), axis=0).tolist():
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, reported: int | None = None, key: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
+    """For each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (the bytes that strings of `reported` bytes
+    cover which also start elsewhere; those shorter than `width` stay in the text) and, unless told not to, kept (the
+    bytes left).
 
     Null counts as empty; texts shorter than a window keep all. Rows that repeat a text (whatever their keys) are
-    repeats of each other. A null key is a document too; its text is looked up by its content. Extra columns are
-    ignored; no rows give no rows.
+    repeats of each other. A null key is a document too; its text is looked up by its content. Very long texts are read
+    whole. Extra columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
-    most = width - width // 2
+    reported = min(width, REPORTED) if reported is None else reported
+    if not 0 < reported <= width:
+        raise ValueError("reported must be between 1 and width")
+    gram = reported // 2
+    most = width - gram
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]):
         seen: set[int] = set()
         for batch in slices(batches, "text", 1 << 20):
             data, offsets = texts(batch.column("text"))
-            ids = text_ids(data, offsets)
-            at, h, row = find_anchors(data, offsets, width)
+            ids = text_ids(data, offsets, salt)[:, 0]
+            at, h, row = find_anchors(data, offsets, reported)
             fresh = np.zeros(len(ids), bool)
             for k, x in enumerate(ids.tolist()):
                 if x not in seen:
@@ -208,13 +235,19 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
             use = fresh[row]
             yield h[use], ids[row[use]], (at - offsets[row])[use]
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            data, offsets = texts(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"class": pa.array(text_ids(data, offsets)), "n_bytes": pa.array(np.diff(offsets))})
+    def classed(salt: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", 1 << 20):
+                ids = text_ids(*texts(batch.column("text")), salt)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["class", "check"])
+
+        rows = base.select("text").mapInArrow(run, "class long, check long")
+        return stored(rows.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("check").alias("least"), F.max("check").alias("most")).filter("copies > 1"))
 
-    classes = base.select("text").mapInArrow(classed, "class long, n_bytes long").groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
-    copied = stored(classes.filter("copies > 1").select("class"))
+    salt = 0
+    while not (classes := classed(salt)).filter("least <> most").isEmpty():  # two texts have one id: other ids
+        salt += 1
+    copied = classes.select("class")
     places = stored(anchors.repeated(base, find, within=True))
     maybe, twins = bloom_of(places.select("owner").distinct()), bloom_of(copied)
 
@@ -222,7 +255,7 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", 1 << 20):
                 data, offsets = texts(batch.column("text"))
-                ids = text_ids(data, offsets)
+                ids = text_ids(data, offsets, salt)[:, 0]
                 hit = test(ids)
                 if hit is not None:
                     batch, ids = batch.filter(pa.array(hit)), ids[hit]
@@ -237,7 +270,7 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             data, offsets = texts(batch.column("text"))
-            raw, gram = data.tobytes(), width // 2
+            raw = data.tobytes()
             p = prefix_hashes(BYTE_VALUES[data])
             rows, at = [], []
             for k, x in enumerate(batch.column("places").to_pylist()):
@@ -263,23 +296,28 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
             # occurrences with equal surroundings are sorted once
             same: dict[tuple, int] = {}
             kind = np.array([same.setdefault(x, len(same)) for x in zip(group.tolist(), left, table.column("context").to_pylist(), strict=True)], np.int64)
-            right = Strings([c[n:] for _, n, c in same])
-            low, high = repeated_spans(right, Strings([c[:n][::-1] for _, n, c in same]), np.array([g for g, _, _ in same], np.int64), width, most)
+            right, left_of = Strings([c[n:] for _, n, c in same]), Strings([c[:n][::-1] for _, n, c in same])
+            of = np.array([g for g, _, _ in same], np.int64)
+            ranks = right.neighbours(of), left_of.neighbours(of)
             owners = table.column("owners").to_pylist()
             times = np.array([len(x) // 8 for x in owners])
-            copies = np.bincount(kind, times) > 1
-            span_low, span_high = np.maximum(0, width - right.size), np.minimum(np.array([n for _, n, _ in same]), most)
-            copies &= span_low <= span_high
-            low[copies], high[copies] = span_low[copies], span_high[copies]
+            copied = np.bincount(kind, times) > 1
             kind = np.repeat(kind, times)
-            low, high = low[kind], high[kind]
-            hit = np.flatnonzero(high >= 0)
-            owner, place = np.frombuffer(b"".join(owners), np.int64)[hit], np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)[hit]
-            span = np.stack([place - high[hit], place - low[hit] + width], axis=1).astype(np.int32)
-            by = np.argsort(owner, kind="stable")
-            owner, span = owner[by], span[by]
-            cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])).tolist() + [len(owner)] if len(owner) else [0]
-            return pa.RecordBatch.from_pydict({"owner": pa.array(owner[cuts[:-1]], pa.int64()), "places": pa.array([span[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+            owner, place = np.frombuffer(b"".join(owners), np.int64), np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)
+            columns = {}
+            for name, wide in (("places", width), ("near", reported)):
+                low, high = repeated_spans(right, left_of, of, wide, wide - gram, ranks)
+                span_low, span_high = np.maximum(0, wide - right.size), np.minimum(left_of.size, wide - gram)
+                copies = copied & (span_low <= span_high)
+                low[copies], high[copies] = span_low[copies], span_high[copies]
+                hit = high[kind] >= 0
+                span = np.stack([place - high[kind], place - low[kind] + wide], axis=1).astype(np.int32)
+                columns[name] = (hit, span)
+            some = columns["near"][0] | columns["places"][0]
+            by = np.flatnonzero(some)[np.argsort(owner[some], kind="stable")]
+            cuts = np.flatnonzero(np.append(True, owner[by][1:] != owner[by][:-1])).tolist() + [len(by)] if len(by) else [0]
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            return pa.RecordBatch.from_pydict({"owner": pa.array(owner[by][cuts[:-1]], pa.int64())} | {name: pa.array([span[by[a:b]][hit[by[a:b]]].tobytes() for a, b in spans], pa.binary()) for name, (hit, span) in columns.items()})
 
         for table in groups(batches, ["anchor"]):
             if table.num_rows > 1 or len(table.column("owners")[0].as_py()) > 8:
@@ -293,41 +331,27 @@ def suffix_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", te
             yield flush()
 
     dealt = chosen.mapInArrow(surround, "anchor long, left int, context binary, owners binary, places binary").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    marked = stored(dealt.mapInArrow(sort, "owner long, places binary"))
+    marked = stored(dealt.mapInArrow(sort, "owner long, places binary, near binary"))
     touched = bloom_of(marked.select("owner").distinct())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             out = []
-            for t, x, twin in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), batch.column("twin").to_pylist(), strict=True):
+            for t, x, near, twin in zip(batch.column("text").cast(pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in ("places", "near", "twin")), strict=True):
                 t = t or b""
-                gone = spans = 0
-                left = t
-                if twin and len(t) >= width:
-                    gone, spans, left = len(t), 1, b""
-                elif x:
-                    kept, last = [], 0
-                    end = -1
-                    for a, b in np.unique(np.frombuffer(b"".join(x), np.int32).reshape(-1, 2), axis=0).tolist():
-                        if a > end:
-                            if end >= 0:
-                                gone, spans = gone + end - begin, spans + 1
-                                kept.append(t[last:begin])
-                                last = end
-                            begin, end = a, b
-                        else:
-                            end = max(end, b)
-                    gone, spans = gone + end - begin, spans + 1
-                    kept += [t[last:begin], t[end:]]
-                    left = b"".join(kept)
-                out.append((len(t), gone, spans, hashlib.sha256(left).hexdigest(), left))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+                runs = [(0, len(t))] if twin and len(t) >= width else bounds(x)
+                part = [(0, len(t))] if twin and len(t) >= reported else bounds(near)
+                left = b"".join(t[a:b] for (_, a), (b, _) in zip([(0, 0), *runs], [*runs, (len(t), len(t))], strict=True)) if runs else t
+                out.append((len(t), len(t) - len(left), len(runs), hashlib.sha256(left).hexdigest(), sum(b - a for a, b in part), left)[: len(kinds)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"][: 7 if with_kept else 6]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names) - 1]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long" + ", kept binary" * with_kept
     twin = F.col("twin").isNotNull()
-    rows = anchors.by_owner(marked).withColumnRenamed("owner", "class").join(copied.withColumn("twin", F.lit(True)), "class", "full")
+    rows = marked.groupBy("owner").agg(F.collect_list("places").alias("places"), F.collect_list("near").alias("near")).withColumnRenamed("owner", "class").join(copied.withColumn("twin", F.lit(True)), "class", "full")
     if touched is None or twins is None:
-        return with_class(lambda ids: None).join(rows, "class", "left").select("doc_id", "text", "places", twin.alias("twin")).mapInArrow(finish, schema)
-    inside = with_class(lambda ids: touched(ids) | twins(ids)).join(rows, "class", "left").select("doc_id", "text", "places", twin.alias("twin"))
-    outside = with_class(lambda ids: ~(touched(ids) | twins(ids))).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("places"), F.lit(False).alias("twin"))
+        return with_class(lambda ids: None).join(rows, "class", "left").select("doc_id", "text", "places", "near", twin.alias("twin")).mapInArrow(finish, schema)
+    inside = with_class(lambda ids: touched(ids) | twins(ids)).join(rows, "class", "left").select("doc_id", "text", "places", "near", twin.alias("twin"))
+    outside = with_class(lambda ids: ~(touched(ids) | twins(ids))).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("near"), F.lit(False).alias("twin"))
     return inside.mapInArrow(finish, schema).union(outside.mapInArrow(finish, schema))
