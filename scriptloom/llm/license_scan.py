@@ -52,7 +52,9 @@ class Phrase:
         spans, last = [], -1
         for start in sorted(windows):
             lo, hi = max(0, start - k), min(len(padded), start + n + k)
-            m = self.match(padded, max(lo - 1, 0, last), hi)
+            # beyond hi, so that the look-ahead sees the rest of a word that hi cuts; no match can end or begin in that rest
+            end = padded.find(b" ", hi, hi + n + k + 1)
+            m = self.match(padded, max(lo - 1, 0, last), end if end >= 0 else min(len(padded), hi + n + k + 1))
             if m and m.end() > m.start() >= last:
                 spans.append((m.start(), m.end(), sum(m.fuzzy_counts)))
                 last = m.end()
@@ -98,7 +100,8 @@ def license_scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, key:
     normalised UTF-8 text) with the fuzzy search for `phrases`.
 
     A null, empty or wordless text has no words, no places, empty labels and score 0. Spans of one phrase do not
-    overlap; ties go to the earlier place. Extra columns are ignored; repeated rows are scanned alike.
+    overlap, begin and end with words, and ties go to the earlier place. Very long texts are scanned whole. Extra columns
+    are ignored; repeated rows are scanned alike; no rows give no rows.
     """
     wanted = phrases if phrases is not None else BASE_PHRASES | MORE_PHRASES
 
