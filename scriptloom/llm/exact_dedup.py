@@ -32,7 +32,8 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ide
     """For each row: keep_id (the largest key of the rows with the same text), group_size, kept, text_sha256.
 
     A null text counts as empty; all empty texts are equal. Rows that repeat a key and its text are told apart by
-    nothing, and are all kept if their key is the largest. Extra columns of docs are ignored. No rows give no rows.
+    nothing, and are all kept if their key is the largest. A row with a null key is kept only where no row with its text
+    has a key; kept is never null. Very long texts are read whole. Extra columns of docs are ignored. No rows give no rows.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     cut = base.select("doc_id", "t", F.regexp_extract_all("t", F.lit(CHUNK), F.lit(0)).alias("chunks"))
@@ -40,17 +41,18 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ide
     clash = collisions(cut.select(F.explode("chunks").alias("chunk")).select(identify(F.col("chunk")).alias("id"), "chunk"))
     rows = rows.drop("t")
     if not clash.isEmpty():
-        marked = cut.select("doc_id", F.explode(F.transform("chunks", identify)).alias("id")).join(clash, "id", "left_semi").select("doc_id").distinct()
-        whole = base.join(marked, "doc_id").select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.col("t").alias("whole")).distinct()
-        rows = rows.join(whole, ["doc_id", "text_sha256"], "left").select("doc_id", "text_sha256", F.concat("recipe", F.coalesce(F.concat(F.lit(" "), "whole"), F.lit(""))).alias("recipe"))
+        sha = F.sha2("t", 256).alias("text_sha256")
+        marked = cut.select(sha, F.explode(F.transform("chunks", identify)).alias("id")).join(clash, "id", "left_semi").select("text_sha256").distinct()
+        whole = base.select(sha, F.col("t").alias("whole")).join(marked, "text_sha256", "left_semi").distinct()
+        rows = rows.join(whole, "text_sha256", "left").select("doc_id", "text_sha256", F.concat("recipe", F.coalesce(F.concat(F.lit(" "), "whole"), F.lit(""))).alias("recipe"))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     # written, so that the join's sides are plain exchanges and Spark can split a group with very many copies
     out = rows.join(stored(groups), "recipe", "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 ORACLE = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)
 """
