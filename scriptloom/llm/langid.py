@@ -42,7 +42,8 @@ def lowered(batch: pa.RecordBatch) -> pa.Array:
 
 
 def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> list[Row]:
-    """Trigram counts (lang, bucket, n) of all rows with a text and a language; at most 32,768 rows a language are returned to the driver."""
+    """Trigram counts (lang, bucket, n) of all rows with a text and a language; at most 32,768 rows a language are returned
+    to the driver. Rows with a null text or language teach nothing; repeated rows count each; no rows give no counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -133,15 +134,18 @@ def infer(lower: pa.Array, langs: list[str], p: np.ndarray) -> tuple[np.ndarray,
     return has, best, score, size
 
 
-def identify(docs: DataFrame, counts: list[Row], *, keep: list[str], text: str = "text") -> DataFrame:
-    """docs' columns `keep` with lang_pred, score and n_langs (languages in the selected set).
+def identify(docs: DataFrame, counts: list[Row], *, keep: list[str], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "n_langs")) -> DataFrame:
+    """docs' columns `keep` with lang_pred, score and n_langs (languages in the selected set), or as `names` calls them.
 
     `und` with score 0 where the text is null, has no letters, or nothing has been learnt. Text is all that a prediction
-    reads; equal texts get equal predictions, and ties go to the first language by name. Whole texts are read.
+    reads; equal texts and repeated rows get equal predictions, and ties go to the first language by name. Whole texts
+    are read, however long. No rows give no rows. A kept column with one of the new names is an error; others may have any name.
     """
+    if clash := set(keep) & set(names):
+        raise ValueError(f"columns of the results' names: {sorted(clash)}")
     langs, p = model(counts)
     kinds = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "lang_pred string, score double, n_langs int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -149,8 +153,8 @@ def identify(docs: DataFrame, counts: list[Row], *, keep: list[str], text: str =
             letters = np.array([next((True for c in t if c.isalpha()), False) for t in low.to_pylist()], bool)
             has, best, score, size = infer(low, langs, p)
             has &= letters
-            names = [langs[b] if h else UNKNOWN for h, b in zip(has, best, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, size, 0).astype(np.int32))], [*keep, "lang_pred", "score", "n_langs"])
+            found = [langs[b] if h else UNKNOWN for h, b in zip(has, best, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, size, 0).astype(np.int32))], [*keep, *names])
 
     columns = [F.col(c) for c in keep] + ([] if "text" in keep and text == "text" else [F.col(text).alias("text")])
     return docs.select(*columns).mapInArrow(run, schema)
