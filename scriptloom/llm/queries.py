@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, langid, license_scan, media, mixing, packing, substring_dedup, suffix_dedup, token_output
-from .common import documents
+from .common import documents, stored
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("kept")
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), with_kept=False)
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored_audio = media.store_text_audio(documents(spark, sf_dir))
-    return media.audio_digests(stored_audio)
+    written = stored(media.store_text_audio(documents(spark, sf_dir)))
+    return media.audio_digests(written)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
