@@ -120,8 +120,8 @@ def _(spark, d):
 
 @query("vec_11_similar")
 def _(spark, d):
-    """The same by the ratio of matching blocks of the first 500 characters, within each query's ten best hits."""
-    hits = v.top_k(_hits(spark, d).withColumn("code", F.substring("code", 1, 500)), 10).drop("rank")
+    """The same by the ratio of matching blocks of the whole codes, within each query's ten best hits."""
+    hits = v.top_k(_hits(spark, d), 10).drop("rank")
     ranked = hits.withColumn("rank", F.row_number().over(_window()))
     pairs = ranked.alias("a").join(ranked.alias("b"), "query_id").filter("b.rank < a.rank").select("query_id", F.col("a.vec_id").alias("vec_id"), F.round(code.similarity("a.code", "b.code"), 6).alias("ratio"))
     return pairs.groupBy("query_id", "vec_id").agg(F.max("ratio").alias("ratio"), (F.max("ratio") >= 0.95).alias("diversity_penalized"))
@@ -261,7 +261,12 @@ def _(spark, d):
     return dedup.near_pairs(dedup.exact(samples(spark, d)), 0.85)
 
 
-@query("ded_05_greedy")
+@query("ded_05_greedy", f"""{_NEAR.replace("WITH ", "WITH RECURSIVE ", 1)},
+ node AS (SELECT j AS id, list(i) AS earlier, row_number() OVER (ORDER BY j) AS k FROM near GROUP BY j),
+ walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+  SELECT w.k + 1, CASE WHEN len(list_filter(n.earlier, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, n.id) ELSE w.gone END
+  FROM walk w JOIN node n ON n.k = w.k + 1)
+ SELECT id FROM x WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1))""")
 def _(spark, d):
     return dedup.greedy_jaccard(samples(spark, d)).select("id")
 
@@ -286,15 +291,15 @@ def _(spark, d):
     return v.last_wins(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("snk_05_knowledge_points", "SELECT md5(description) AS point_id, any_value(description) AS description, max_by(severity, item_id) AS severity, 'vulnerability' AS type FROM (SELECT item_id, substr(text, 1, 40) AS description, CASE WHEN item_id % 2 = 0 THEN 'HIGH' ELSE 'UNKNOWN' END AS severity FROM benchmark) WHERE trim(description) <> '' GROUP BY md5(description)")
+@query("snk_05_knowledge_points", "SELECT md5(description) AS point_id, any_value(description) AS description, max_by(severity, item_id) AS severity, 'vulnerability' AS type FROM (SELECT item_id, text AS description, CASE WHEN item_id % 2 = 0 THEN 'HIGH' ELSE 'UNKNOWN' END AS severity FROM benchmark) WHERE trim(description) <> '' GROUP BY md5(description)")
 def _(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), F.substring("text", 1, 40).alias("description"), F.when(F.col("item_id") % 2 == 0, "HIGH").alias("severity"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("point_id"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), F.col("text").alias("description"), F.when(F.col("item_id") % 2 == 0, "HIGH").alias("severity"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("point_id"))
     return store.knowledge_points(b)
 
 
-@query("snk_06_patterns", "SELECT md5(substr(text, 1, 40)) AS point_id, 'malware_pattern' AS type FROM benchmark WHERE trim(substr(text, 1, 40)) <> '' GROUP BY 1")
+@query("snk_06_patterns", "SELECT md5(text) AS point_id, 'malware_pattern' AS type FROM benchmark WHERE trim(text) <> '' GROUP BY 1")
 def _(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), F.substring("text", 1, 40).alias("description"), F.lit("HIGH").alias("severity"), F.lit("x").alias("type"), F.lit(None).cast("string").alias("point_id"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), F.col("text").alias("description"), F.lit("HIGH").alias("severity"), F.lit("x").alias("type"), F.lit(None).cast("string").alias("point_id"))
     return store.knowledge_points(b, "malware_pattern").select("point_id", "type")
 
 

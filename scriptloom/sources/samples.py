@@ -31,23 +31,24 @@ SAMPLES_SQL = """samples AS (
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, content, label, source, path: each document wrapped as a script of one of six kinds, so that what looks at
-    code has code to look at: a module, a comment block, a configuration, prose, one base64 line, or blanks."""
+    code has code to look at: a module, a comment block, a configuration, prose, one base64 line, or as many blanks. Each
+    holds its document's whole text."""
     c, one = F.col("content"), F.regexp_replace("content", "[\n\"'\\\\]", " ")
     comments = F.concat(F.lit("# "), F.replace("content", F.lit("\n"), F.lit("\n# ")))
-    module = F.concat(F.lit("import os\nimport base64\n\n\ndef run(x):\n    value = eval(x)\n    return value\n\n\nclass Store:\n    pass\n\n\nNOTE = '"), F.substring(one, 1, 200), F.lit("'\n"))
-    config = F.concat(F.lit("# MIT License\n# Copyright of the authors\nurl = 'https://"), "source", F.lit(".example.org/"), F.col("id").cast("string"), F.lit("'\nhost = '10.0.0.7'\nkey = 0x1F\nresponse = requests.get(url)\nsubprocess.run(response)\nAPI_TOKEN=abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\ntext = '"), F.substring(one, 1, 400), F.lit("'   \n"))
+    module = F.concat(F.lit("import os\nimport base64\n\n\ndef run(x):\n    value = eval(x)\n    return value\n\n\nclass Store:\n    pass\n\n\nNOTE = '"), one, F.lit("'\n"))
+    config = F.concat(F.lit("# MIT License\n# Copyright of the authors\nurl = 'https://"), "source", F.lit(".example.org/"), F.col("id").cast("string"), F.lit("'\nhost = '10.0.0.7'\nkey = 0x1F\nresponse = requests.get(url)\nsubprocess.run(response)\nAPI_TOKEN=abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\ntext = '"), one, F.lit("'   \n"))
     kind = F.pmod("id", F.lit(6))
-    body = F.when(kind == 0, module).when(kind == 1, comments).when(kind == 2, config).when(kind == 3, c).when(kind == 4, F.replace(F.base64(F.encode("content", "UTF-8")), F.lit("\r\n"), F.lit(""))).otherwise(F.lit("  \n   "))
+    body = F.when(kind == 0, module).when(kind == 1, comments).when(kind == 2, config).when(kind == 3, c).when(kind == 4, F.replace(F.base64(F.encode("content", "UTF-8")), F.lit("\r\n"), F.lit(""))).otherwise(F.regexp_replace("content", "[^\n]", " "))
     path = F.concat("source", F.lit("/"), F.element_at(F.array(*map(F.lit, ("tool.py", "notes.js", "setup.ps1", "run.sh", "blob.bin", "python/x.py"))), (kind + 1).cast("int")))
     return samples(spark, sf_dir).select("id", body.alias("content"), "label", "source", path.alias("path"))
 
 
 SCRIPTS_SQL = SAMPLES_SQL + """, scripts AS (
   SELECT id, CASE id % 6
-    WHEN 0 THEN 'import os\nimport base64\n\n\ndef run(x):\n    value = eval(x)\n    return value\n\n\nclass Store:\n    pass\n\n\nNOTE = ''' || substr(one, 1, 200) || '''\n'
+    WHEN 0 THEN 'import os\nimport base64\n\n\ndef run(x):\n    value = eval(x)\n    return value\n\n\nclass Store:\n    pass\n\n\nNOTE = ''' || one || '''\n'
     WHEN 1 THEN '# ' || replace(content, chr(10), chr(10) || '# ')
-    WHEN 2 THEN '# MIT License\n# Copyright of the authors\nurl = ''https://' || source || '.example.org/' || id || '''\nhost = ''10.0.0.7''\nkey = 0x1F\nresponse = requests.get(url)\nsubprocess.run(response)\nAPI_TOKEN=abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\ntext = ''' || substr(one, 1, 400) || '''   \n'
-    WHEN 3 THEN content WHEN 4 THEN to_base64(encode(content)) ELSE '  \n   ' END AS content, label, source,
+    WHEN 2 THEN '# MIT License\n# Copyright of the authors\nurl = ''https://' || source || '.example.org/' || id || '''\nhost = ''10.0.0.7''\nkey = 0x1F\nresponse = requests.get(url)\nsubprocess.run(response)\nAPI_TOKEN=abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\ntext = ''' || one || '''   \n'
+    WHEN 3 THEN content WHEN 4 THEN to_base64(encode(content)) ELSE regexp_replace(content, '[^\n]', ' ', 'g') END AS content, label, source,
     source || '/' || (['tool.py', 'notes.js', 'setup.ps1', 'run.sh', 'blob.bin', 'python/x.py'])[(id % 6 + 1)::INT] AS path
   FROM (SELECT *, regexp_replace(content, '[\n"''\\\\]', ' ', 'g') AS one FROM samples))"""
 

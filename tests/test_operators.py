@@ -245,3 +245,17 @@ def test_rerank_strategies(spark):
     hits = spark.createDataFrame([(0, 1, 0.5, "eval(x)"), (0, 2, 0.55, "plain")], "query_id long, vec_id long, score double, code string")
     first = lambda **how: v.reranked(hits, 1, **how).first().vec_id
     assert first() == 1 and first(strategy="none") == 2 and first(strategy="cross_encoder", cross=F.lit(1.0) - F.col("vec_id") / 10) == 1
+
+
+def test_minhash_finds_near_pairs(spark):
+    """Of all pairs as similar as 0.85, MinHash finds nine of ten at least, and none that isn't; permutations differ."""
+    from pyspark.sql import functions as F
+
+    from scriptloom.sources.samples import samples
+
+    once = dedup.exact(samples(spark, "/root/testdata/sf0.01"))
+    want = {tuple(r) for r in dedup.near_pairs(once, 0.85).collect()}
+    got = {tuple(r) for r in dedup.minhash_pairs(once, 0.85).collect()}
+    assert want and got <= want and len(got) >= 0.9 * len(want)
+    bands = dedup.minhash(once.limit(5)).groupBy("id").agg(F.countDistinct("value").alias("n")).collect()
+    assert all(r.n == 16 for r in bands)
