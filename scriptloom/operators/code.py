@@ -257,9 +257,11 @@ def hierarchical(rows: DataFrame, *, most: int = 512, size: int = 128, overlap:
     return fits.select(*columns).unionByName(long.select(*columns)).unionByName(none.select(*columns)).withColumn("chunk_id", t.chunk_id(F.col("content"), F.col("part") * 1000 + F.col("piece")))
 
 
-# Suffixes of members that are taken from archives, and passwords that are tried on encrypted ones.
+# Suffixes of members that are taken from archives, passwords that are tried on encrypted ones, and
+# suffixes of archives.
 MEMBER_SUFFIXES = (".py", ".ps1", ".js", ".vbs", ".bat", ".sh", ".cmd")
 PASSWORDS = (b"infected", b"malware", b"virus", b"password", b"")
+ARCHIVE_SUFFIXES = (".zip", ".tar", ".gz", ".7z", ".rar")
 
 
 def _opened(z: zipfile.ZipFile, i: zipfile.ZipInfo) -> bytes:
@@ -295,6 +297,23 @@ def archive_members(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: members(bytes(x)) if x is not None else [])
 
 
+@F.pandas_udf(_MEMBERS)
+def downloads(name: pd.Series, raw: pd.Series) -> pd.Series:
+    """The scripts (name, text) in a downloaded file of 50 bytes or more: an archive's script members, none if an archive
+    has none, else the file itself if its text has more than 50 characters and no NUL. Bytes that aren't UTF-8 are left out."""
+
+    def one(n: str | None, x: bytes | None) -> list[dict]:
+        if x is None or len(x) < 50:
+            return []
+        x, n = bytes(x), n or ""
+        if found := members(x):
+            return found
+        text = "" if n.lower().endswith(ARCHIVE_SUFFIXES) else x.decode("utf-8", "ignore")
+        return [{"name": n, "content": text}] if len(text) > 50 and "\0" not in text else []
+
+    return pd.Series([one(*r) for r in zip(name, raw, strict=True)])
+
+
 @F.pandas_udf(T.StringType())
 def smart_cut(code: pd.Series, imports: pd.Series, functions: pd.Series, most: pd.Series) -> pd.Series:
     """A long text in parts: imports, functions with security words, the beginning, and the end (three tenths)."""

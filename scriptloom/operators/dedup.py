@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK
+from ..storage import stored
 
 
 def exact(rows: DataFrame, *, key: str = "content_hash", order: str = "id", content: str = "content") -> DataFrame:
@@ -52,15 +51,6 @@ def greedy_dropped(pairs: DataFrame) -> DataFrame:
     are left. Rounds are written to the shared folder, so that plans stay short and survive lost executors.
     """
     spark = pairs.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-
-    def stored(df: DataFrame) -> DataFrame:
-        if not base:
-            return df.persist()
-        path = f"{base}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     edges, gone, done = stored(pairs.select("i", "j").distinct()), None, 0
     while not edges.isEmpty():
         firsts = edges.select("i").distinct().join(edges.select(F.col("j").alias("i")).distinct(), "i", "left_anti")

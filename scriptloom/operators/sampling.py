@@ -95,8 +95,9 @@ def variants(rows: DataFrame, n: int = 2, techniques: list[str] = NATIVE, seed:
     """n variants of each malicious row: id null, source and metadata tell the technique and the parent."""
     bad = rows.filter(F.col("label") == "malicious").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
     pick = F.element_at(F.array(*map(F.lit, techniques)), (t.seeded(F.col("id").cast("string"), F.col("copy").cast("string"), seed=seed) % len(techniques) + 1).cast("int"))
-    bad = bad.withColumn("technique", pick)
-    return bad.select(F.lit(None).cast("long").alias("id"), encoded(F.col("content"), F.col("technique"), F.col("id"), seed).alias("content"), "label", F.concat("source", F.lit("_augmented")).alias("source"), "technique", F.col("id").alias("parent_id"), "copy")
+    # Texts first: next to a null named id, the lambdas of add_junk would take that one for the parent's id.
+    bad = bad.withColumn("technique", pick).withColumn("content", encoded(F.col("content"), F.col("technique"), F.col("id"), seed)).withColumnRenamed("id", "parent_id")
+    return bad.select(F.lit(None).cast("long").alias("id"), "content", "label", F.concat("source", F.lit("_augmented")).alias("source"), "technique", "parent_id", "copy")
 
 
 def augmented(rows: DataFrame, n: int = 2, seed: int = 42) -> DataFrame:

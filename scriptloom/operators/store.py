@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +55,47 @@ def write_jsonl(rows: DataFrame, path: str, label: str | None = None) -> None:
     (rows.filter(F.col("label") == label) if label else rows).select("content", "label", "source").write.mode("overwrite").json(path)
 
 
+def write_files(rows: DataFrame, folder: str, stamp: str, name: str = "file_name") -> DataFrame:
+    """Writes each row's content to a file of its own and returns the files' paths. folder must be shared by all executors.
+
+    A file is written under another name and then renamed, so a task that runs again leaves whole files; rows of the same
+    source and name end as one file. A null source is `unknown`, a null name sample_<id>, a null content an empty file.
+    """
+    named = rows.select(file_name(F.coalesce("source", F.lit("unknown")), F.lit(stamp), F.coalesce(name, F.concat(F.lit("sample_"), F.col("id").cast("string")))).alias("path"), F.coalesce("content", F.lit("")).alias("content"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        for b in batches:
+            paths = [f"{folder}/{n}" for n in b.path]
+            for path, content in zip(paths, b.content, strict=True):
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                Path(part).write_bytes(content.encode("utf-8", "ignore"))
+                os.replace(part, path)
+            yield pd.DataFrame({"path": paths})
+
+    return named.mapInPandas(write, "path string")
+
+
+def write_report(rows: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small result as a file of YAML in its JSON form: a list of named values. More than `most` rows are an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in found], indent=2, default=str) + "\n", encoding="utf-8")
+
+
+def refresh(stats: DataFrame, folder: str) -> None:
+    """Writes the statistics anew beside the older ones, so that readers of those are not disturbed."""
+    stats.write.parquet(f"{folder}/refresh={time.time_ns()}")
+
+
+def refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of the last refresh."""
+    all_ = spark.read.option("basePath", folder).parquet(folder)
+    last = all_.agg(F.max("refresh")).first()[0]
+    return all_.filter(F.col("refresh") == last).drop("refresh")
+
+
 def save_artifact(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 

@@ -86,6 +86,27 @@ def _(spark, d):
     return raw.filter(quality.archive_bytes(F.col("raw"))).select("id", F.explode(code.archive_members("raw")).alias("m")).select("id", F.md5("m.content").alias("digest"))
 
 
+@query("src_34_downloads", CODE + "SELECT id, path LIKE '%.py' AS packed, md5(content) AS digest FROM scripts WHERE length(content) > 50 AND NOT path LIKE '%.sh'")
+def _(spark, d):
+    """Python scripts come packed, shell scripts under an archive's name, and the others as they are."""
+    rows, path = scripts(spark, d), F.col("path")
+    packed = rows.filter(path.endswith(".py")).select("id", F.concat("path", F.lit(".zip")).alias("name"), _zipped("path", "content").alias("raw"))
+    plain = rows.filter(~path.endswith(".py")).select("id", F.when(path.endswith(".sh"), F.concat("path", F.lit(".gz"))).otherwise(path).alias("name"), F.encode("content", "UTF-8").alias("raw"))
+    both = packed.union(plain).select("id", F.endswith("name", F.lit(".zip")).alias("packed"), F.explode(code.downloads("name", "raw")).alias("m"))
+    return both.select("id", "packed", F.md5("m.content").alias("digest"))
+
+
+_LITERALS = " UNION ALL ".join("SELECT " + "'" + c.replace("'", "''") + "' AS content" for c, _, _ in src.EXPLOIT_SAMPLES)
+
+
+@query("src_24_exploit_samples", f"""{DOCS}, merged AS (SELECT content, label, source FROM samples UNION ALL SELECT content, 'malicious', 'cve_patterns' FROM ({_LITERALS}))
+ SELECT label, source, count(*) AS n, sum(length(content))::BIGINT AS characters, min(sha256(content)) AS first_hash FROM merged GROUP BY label, source""")
+def _(spark, d):
+    """The fixed scripts among the samples, by label and source."""
+    both = src.merged(samples(spark, d).select("content", "label", "source", "content_hash"), src.exploit_samples(spark))
+    return both.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("characters"), F.min("content_hash").alias("first_hash"))
+
+
 @query("src_32_extra_feeds", f"{DOCS} SELECT feed, count(*) AS n FROM (SELECT 'a' AS feed FROM samples WHERE lang = 'en' UNION ALL SELECT 'b' FROM samples WHERE lang = 'de' UNION ALL SELECT 'c' FROM samples WHERE lang = 'es') GROUP BY feed")
 def _(spark, d):
     s = samples(spark, d)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import text as t
 from ..operators import chunking, dedup, metrics, quality, sampling
 from ..registry import query
 from ..sources.samples import SAMPLES_SQL, samples, table
-from .texts import _VALID, ENTROPY, strip
+from .texts import _CUT, _HEAD, _TAIL, _TOKENS, _VALID, ENTROPY, strip
 
 
 @dataclass
@@ -32,6 +35,15 @@ class Settings:
     steps: dict[str, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        kinds = {"int": int, "float": (int, float), "str": str}
+        for f in dataclasses.fields(self):
+            value, kind = getattr(self, f.name), kinds.get(f.type, dict)
+            if not isinstance(value, kind) or isinstance(value, bool):
+                raise TypeError(f"{f.name} is {value!r}, not of type {f.type}")
+        if not 0 <= self.max_comments <= 1 or self.variants < 0 or not 0 <= self.overlap < self.chunk_size:
+            raise ValueError("max_comments, variants, overlap or chunk_size is out of range")
+        if self.near_method not in ("auto", "jaccard", "lsh", "exact"):
+            raise ValueError(f"no such method: {self.near_method}")
         if not 0 < self.min_length <= self.max_length:
             raise ValueError("min_length must lie between 1 and max_length")
         if not 0 < self.near_threshold <= 1 or not 0 < self.test_fraction < 1 or self.balance_ratio <= 0:
@@ -39,6 +51,18 @@ class Settings:
         if self.balance not in ("undersample", "oversample", "hybrid", "none"):
             raise ValueError(f"no such balance: {self.balance}")
 
+    @classmethod
+    def of(cls, values: dict[str, Any]) -> Settings:
+        """Settings from named values; names that are no settings are an error."""
+        if unknown := set(values) - {f.name for f in dataclasses.fields(cls)}:
+            raise ValueError(f"no such settings: {sorted(unknown)}")
+        return cls(**values)
+
+    @classmethod
+    def load(cls, path: str | None = None, section: str = "curation") -> Settings:
+        """Settings from a section of a configuration file (see config.load); without the section, the defaults."""
+        return cls.of(config.load(path).get(section) or {})
+
     def on(self, step: str) -> bool:
         """A step's own setting, else the one for all, else yes."""
         return self.steps.get(step, self.steps.get("all", True))
@@ -60,7 +84,7 @@ def training_rows(spark: SparkSession, sf_dir: str, s: Settings | None = None) -
     parts = sampling.split(curated(spark, sf_dir, s).select("id", "content", "label", "source"), s.test_fraction)
     train = parts.filter("part = 'train'").drop("part")
     if s.on("augment"):
-        train = sampling.augmented(train, s.variants).withColumn("id", F.coalesce("id", F.xxhash64("parent_id", "copy"))).select("id", "content", "label", "source")
+        train = sampling.augmented(train, s.variants).withColumn("id", F.coalesce("id", t.chunk_id(F.col("parent_id").cast("string"), F.col("copy")))).select("id", "content", "label", "source")
     if s.on("balance") and s.balance != "none":
         train = {"undersample": sampling.undersample, "oversample": sampling.oversample, "hybrid": sampling.hybrid}[s.balance](train, s.balance_ratio)
     both = train.select("id", "content", "label", F.lit("train").alias("part")).unionByName(parts.filter("part = 'test'").select("id", "content", "label", "part"))
@@ -83,7 +107,22 @@ def _(spark, d):
     return curated(spark, d).groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("entropy"), 6).alias("avg_entropy"))
 
 
-@query("flow_training_rows")
+_TRAINING = f"""{_CURATED}, r AS (SELECT id, content, label, row_number() OVER (ORDER BY md5('42:' || id), id) AS rank, ceil(count(*) OVER () * 0.1) AS k FROM once),
+ train AS (SELECT id, content, label FROM r WHERE rank > k),
+ lines AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i FROM train WHERE label = 'malicious'),
+ seeds AS (SELECT *, ('0x' || substr(md5('42:' || id || ':' || i), 1, 7))::BIGINT AS s FROM lines),
+ junked AS (SELECT id, string_agg(CASE WHEN s % 10 = 0 THEN line || chr(10) || (['_ = 1 + 1', '__ = ''junk''', '___ = [1, 2, 3]', '____ = {{''a'': 1}}', '_____ = None'])[(s // 10 % 5 + 1)::INT] ELSE line END, chr(10) ORDER BY i) AS junk FROM seeds GROUP BY id),
+ v AS (SELECT id, content, c, (['base64', 'hex', 'rot13', 'add_junk'])[(('0x' || substr(md5('42:' || id || ':' || c), 1, 7))::BIGINT % 4 + 1)::INT] AS technique FROM train, (SELECT unnest([1, 2]) AS c) WHERE label = 'malicious'),
+ a AS (SELECT id, content, label FROM train UNION ALL
+  SELECT (('0x' || substr(md5(id || '_' || c), 1, 16))::HUGEINT % 9223372036854775807)::BIGINT, CASE technique WHEN 'base64' THEN 'data = ''' || to_base64(encode(content)) || '''  # base64' WHEN 'hex' THEN 'data = ''' || lower(hex(encode(content))) || '''  # hex'
+   WHEN 'rot13' THEN 'data = ''''''' || translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm') || '''''''  # rot13' ELSE junk END, 'malicious' FROM v JOIN junked USING (id)),
+ n AS (SELECT least(count(*) FILTER (label = 'malicious'), count(*) FILTER (label = 'benign')) AS k FROM a),
+ b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id), id) AS place FROM a WHERE label IN ('malicious', 'benign')),
+ parts AS (SELECT id, 'train' AS part, label, content FROM b, n WHERE place <= n.k UNION ALL SELECT id, 'test', label, content FROM r WHERE rank <= k)
+ SELECT id, part, label, md5({_HEAD} || 'Target Script:' || chr(10) || {_CUT} || {_TAIL} || ' ' || upper(label)) AS digest FROM parts"""
+
+
+@query("flow_training_rows", _TRAINING)
 def _(spark, d):
     return training_rows(spark, d).select("id", "part", "label", F.md5("text").alias("digest"))
 
@@ -100,7 +139,11 @@ def _(spark, d):
     return analysed(requests, examples).select("id", "accepted")
 
 
-@query("flow_source_report")
+@query("flow_source_report", f"""{_CURATED}, k AS (SELECT source, len({_TOKENS}) AS n FROM once WHERE {strip('content')} <> ''),
+ c AS (SELECT source, n, unnest(range(0, greatest(0, ceil((n - 128) / 112))::BIGINT + 1)) AS i FROM k),
+ chunks AS (SELECT source, count(*) AS chunks, sum(least(n, i * 112 + 128) - i * 112)::BIGINT AS tokens FROM c GROUP BY source),
+ labels AS (SELECT source, count(*) FILTER (label = 'malicious') AS malicious, count(*) FILTER (label = 'benign') AS benign FROM once GROUP BY source)
+ SELECT source, chunks, tokens, malicious, benign, round(coalesce(malicious / nullif(malicious + benign, 0), 0), 6) AS malicious_share FROM chunks JOIN labels USING (source)""")
 def _(spark, d):
     """Chunks, tokens and balance by source of what curation keeps."""
     rows = curated(spark, d).select("id", "content", "label", "source")

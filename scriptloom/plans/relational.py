@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import text as t
 from ..operators import metrics, sampling, store
 from ..registry import query
 from ..sources.samples import SAMPLES_SQL, SCANS_SQL, label_of, samples, scans, table
+from ..storage import shared_dir
 
 WITH = f"WITH {SAMPLES_SQL} "
 LABELLED = "label IN ('malicious', 'benign')"
@@ -55,6 +58,16 @@ def _(spark, d):
     return metrics.statistics(samples(spark, d)).withColumn("avg_content_length", F.round("avg_content_length", 6))
 
 
+@query("sql_09_refreshed", WITH + "SELECT label, source, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM samples GROUP BY label, source")
+def _(spark, d):
+    """Statistics by label and source, written twice and read as of the last refresh."""
+    folder = f"{shared_dir(spark)}/statistics-{uuid.uuid4().hex}"
+    s = samples(spark, d)
+    for rows in (s.filter("label <> 'unknown'"), s):
+        store.refresh(rows.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")), folder)
+    return store.refreshed(spark, folder)
+
+
 @query("sql_10_balance_and_sources", WITH + "SELECT source, count(*) AS n, coalesce(max(g.m) / nullif(max(g.b), 0), 0) AS balance_ratio FROM samples, (SELECT count(*) FILTER (label = 'malicious') AS m, count(*) FILTER (label = 'benign') AS b FROM samples) g GROUP BY source")
 def _(spark, d):
     s = samples(spark, d)

