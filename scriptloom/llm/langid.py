@@ -30,10 +30,12 @@ def trigrams(lowered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each byte trigram with a letter in its middle, and its row."""
     data, offsets = texts(lowered)
     x = _FOLD[data].astype(np.uint32)
-    x = np.concatenate([[np.uint32(32)], x, [np.uint32(32)]]).astype(np.uint32)
-    bucket = ((x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761)) >> np.uint32(17)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    use = x[1:-1] != 32
+    edge = row[1:] != row[:-1]  # next to a text's ends stand spaces, not its neighbours in the batch
+    before, after = np.full_like(x, 32), np.full_like(x, 32)
+    before[1:], after[:-1] = np.where(edge, 32, x[:-1]), np.where(edge, 32, x[1:])
+    bucket = ((before << np.uint32(16) | x << np.uint32(8) | after) * np.uint32(2654435761)) >> np.uint32(17)
+    use = x != 32
     return bucket[use].astype(np.int64), row[use]
 
 
@@ -79,14 +81,14 @@ def proportions(n: np.ndarray, p: np.ndarray, first: np.ndarray, allowed: np.nda
     Returns proportions and log-likelihoods."""
     sizes = np.diff(np.append(first, len(n)))
     doc = np.repeat(np.arange(len(first)), sizes)
-    total = np.add.reduceat(n, first)[:, None]
+    total = np.add.reduceat(n, first, dtype=np.float64)[:, None]
     share = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(ROUNDS):
         r = p * share.astype(np.float32)[doc]
         r *= (n / r.sum(axis=1))[:, None]
-        share = np.add.reduceat(r, first, axis=0) / total
+        share = np.add.reduceat(r, first, axis=0, dtype=np.float64) / total
     likely = np.log((p * share.astype(np.float32)[doc]).sum(axis=1) + np.float32(1e-30))
-    return share, np.add.reduceat(n * likely, first)
+    return share, np.add.reduceat(n * likely, first, dtype=np.float64)
 
 
 def infer(lower: pa.Array, langs: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +107,7 @@ def infer(lower: pa.Array, langs: list[str], p: np.ndarray) -> tuple[np.ndarray,
     share, whole = proportions(n, likely, first, np.ones((len(first), len(langs))))
     order = np.argsort(-share, axis=1, kind="stable")
     cost = PENALTY * np.log(np.add.reduceat(n, first) + 1)
-    each = np.add.reduceat(n[:, None] * np.log(likely), first, axis=0)
+    each = np.add.reduceat(n[:, None] * np.log(likely), first, axis=0, dtype=np.float64)
     top = order[:, 0].copy()
     before = each[np.arange(len(first)), top]
     single = each.argmax(axis=1)
@@ -128,7 +130,7 @@ def infer(lower: pa.Array, langs: list[str], p: np.ndarray) -> tuple[np.ndarray,
         open_[win] &= whole[win] - before[win] > cost[win]
     top = np.where(took == 1, single, top)
     best[known], size[known] = top, took
-    score[known] = np.clip(share[np.arange(len(first)), top], 0, 1)
+    score[known] = np.clip(np.round(share[np.arange(len(first)), top], 5), 0, 1)
     has = np.zeros(rows, bool)
     has[known] = True
     return has, best, score, size
@@ -138,7 +140,7 @@ def identify(docs: DataFrame, counts: list[Row], *, keep: list[str], text: str =
     """docs' columns `keep` with lang_pred, score and n_langs (languages in the selected set), or as `names` calls them.
 
     `und` with score 0 where the text is null, has no letters, or nothing has been learnt. Text is all that a prediction
-    reads; equal texts and repeated rows get equal predictions, and ties go to the first language by name. Whole texts
+    reads; equal texts and repeated rows get equal predictions (scores have five decimals), and ties go to the first language by name. Whole texts
     are read, however long. No rows give no rows. A kept column with one of the new names is an error; others may have any name.
     """
     if clash := set(keep) & set(names):

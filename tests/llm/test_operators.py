@@ -2,6 +2,7 @@
 ties, repeated rows, and extra columns whose names clash with the operators' own."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -238,6 +239,10 @@ def test_phrases(docs, none):
                 gone[i : i + 13] = [True] * 13
         want.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
     assert result(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    kept = {r.kept_sha256: r.kept_text for r in substring_dedup.substring_dedup(docs).collect()}
+    assert all(hashlib.sha256(x.encode()).hexdigest() == h for h, x in kept.items())
+    short = substring_dedup.substring_dedup(docs, with_kept=False)
+    assert short.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"] and result(short, *short.columns) == sorted(want, key=repr)
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
@@ -455,6 +460,49 @@ def test_mixtures(spark):
     assert r.n_langs == 2 and r.lang_pred in ("en", "de") and 0.3 < r.score < 0.7
 
 
+def plain_language(text, langs, p):
+    """(language, score, size of the set) by the plain definition, in loops and double precision."""
+    low = [32, *(b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").lower().encode()), 32]
+    grams = Counter(((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 17 for a, b, c in zip(low, low[1:], low[2:]) if b != 32)
+    if not grams:
+        return "und", 0.0, 0
+    n, like = np.array(list(grams.values()), float), p[list(grams)].astype(float)
+
+    def fit(members):
+        share = np.array([1 / len(members) if k in members else 0.0 for k in range(len(langs))])
+        for _ in range(langid.ROUNDS):
+            mine = like * share
+            share = (mine / mine.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) / n.sum()
+        return share, float(n @ np.log(like @ share))
+
+    share, best = fit(range(len(langs)))
+    order = sorted(range(len(langs)), key=lambda k: (-share[k], k))
+    cost, value, size, top = langid.PENALTY * math.log(n.sum() + 1), float(n @ np.log(like[:, order[0]])), 1, None
+    while size < len(langs) and best - value > cost:
+        now, more = fit(order[: size + 1])
+        if more - value <= cost:
+            break
+        value, size, top = more, size + 1, int(now.argmax())
+    if top is None:
+        top = int((n @ np.log(like)).argmax())
+    return langs[top], float(share[top]), size
+
+
+def test_languages_by_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = langid.learn(rows.filter(~langid.held_out()))
+    langs, p = langid.model(counts)
+    picked = [r.text for r in rows.orderBy("doc_id").limit(60).collect()]
+    mixed = [f"{a[: 200 + 40 * k]} {b[:600]}" for k, (a, b) in enumerate(zip(picked[:20], picked[20:40], strict=True))]
+    texts = [*picked, *mixed, "", None, "123 !!", "a", "ÀÉ", picked[0]]
+    found = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), counts, keep=["doc_id"]).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(texts) and got[0][1:] == got[len(texts) - 1][1:] and len({r.n_langs for r in found}) > 2  # equal texts, equal rows
+    for k, text in enumerate(texts):
+        lang, score, size = plain_language(text, langs, p)
+        assert (got[k].lang_pred, got[k].n_langs) == (lang, size) and abs(got[k].score - score) < 1e-3
+
+
 def scalar_adpcm(block):
     value, index, out = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88), []
     out.append(value)
