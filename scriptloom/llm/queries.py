@@ -36,7 +36,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup.substring_dedup(documents(spark, sf_dir), with_kept=False)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

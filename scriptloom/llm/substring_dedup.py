@@ -48,8 +48,8 @@ def window_anchors(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     return start, at[start], h
 
 
-def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space).
+def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
+    """For each row: doc_id, n_words, n_removed, kept_sha256 and, unless told not to, kept_text (kept words joined by one space).
 
     Null, empty and wordless texts have no words and keep the empty text. A row with a null
     key keeps all, and no other row is judged by it. Rows that repeat a key are one document in
@@ -156,10 +156,12 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 mine = keep[a:b]
                 left = b" ".join(words[a:b] if mine.all() else [words[a + k] for k in np.flatnonzero(mine).tolist()])
-                out.append((b - a, b - a - int(mine.sum()), hashlib.sha256(left).hexdigest(), left.decode()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                out.append((b - a, b - a - int(mine.sum()), hashlib.sha256(left).hexdigest(), *([left.decode()] if with_kept else [])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if with_kept else 4]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names) - 1]
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_kept
     rows = anchors.by_owner(marked)
     if hit is None:
         return base.join(rows, F.col("doc_id") == F.col("owner"), "left").drop("owner").mapInArrow(finish, schema)
