@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1 to op10, each over its whole table."""
+"""The registered queries of this subpackage: op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, license_scan, media, mixing, packing, substring_dedup, suffix_dedup, token_output
+from . import alignment, bpe, exact_dedup, filter_audit, jaccard_join, langid, license_scan, media, mixing, packing, substring_dedup, suffix_dedup, token_output
 from .common import documents, stored
 
 
@@ -56,6 +56,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digests(written)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir)))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of the five filters over all documents, by language."""
+    return filter_audit.filter_audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the two tokenizers in every document."""
+    return alignment.align(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,7 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_exact_dedup,
         op10_media,
+        op11_bpe,
+        op12_filter_audit,
+        op13_alignment,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
