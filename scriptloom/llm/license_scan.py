@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -79,10 +80,10 @@ _SCHEMA = pa.schema(
 
 def scan_text(text: str | None, fuzzy: list[Phrase]) -> tuple:
     words = normalised(text)
-    starts, base = [], set()
+    gaps, starts, base = np.flatnonzero(np.frombuffer(words, np.uint8) == 32), [], set()
     for phrase, label in BASE_PHRASES.items():
-        for at in places(words, phrase.encode()):
-            starts.append(words.count(b" ", 0, at))
+        if at := places(words, phrase.encode()):
+            starts += np.searchsorted(gaps, at).tolist()  # words before a place, from the gaps before it
             base.add(label)
     spans, score = [], 1.0 if base else 0.0
     for p in fuzzy:
@@ -91,7 +92,7 @@ def scan_text(text: str | None, fuzzy: list[Phrase]) -> tuple:
                 spans.append({"label": p.label, "start": start, "end": end, "edits": edits, "matched": words[start:end].decode(errors="replace")})
                 score = max(score, 1 - edits / len(p.phrase))
     labels = base | {s["label"] for s in spans}
-    return (words.count(b" ") + 1 if words else 0, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, len(spans), spans)
+    return (len(gaps) + 1 if words else 0, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, len(spans), spans)
 
 
 def license_scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
