@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -119,8 +120,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray) -> tup
     return start, end, np.searchsorted(start, offsets)
 
 
+#: Longer words are hashed by blake2b: polynomials mod 2**64 agree on some pairs of different words from about 1,000 bytes on.
+LONG_WORD = 128
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mixed(span_hashes(prefix_hashes(BYTE_VALUES[data]), start, end) + (end - start).astype(np.uint64))
+    out = mixed(span_hashes(prefix_hashes(BYTE_VALUES[data]), start, end) + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -128,7 +136,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates hooking to the smallest neighbour and pointer jumping; a vertex sends one row per edge, groups are
     reduced before they are shuffled, and each round is written to the shared folder. Loops and repeated edges do
-    no harm; no edges give no rows.
+    no harm; no edges give no rows. More rounds than given (each at least halves a component's roots) are an error.
     """
     spark = edges.sparkSession
     live = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -153,6 +161,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         else:
             up = low.select(F.col("id").alias("p"), F.col("p").alias("q"))
             forest = stored(forest.join(up, "p", "left").select("id", F.coalesce("q", "p").alias("p")))
+    if not live.isEmpty():
+        raise RuntimeError(f"components were not found in {rounds} rounds")
     if forest is None:
         return spark.createDataFrame([], "id long, root long")
     least = forest.groupBy("p").agg(F.min("id").alias("root"))
