@@ -124,9 +124,9 @@ def unpacked(rows: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(rows), np.int32)).astype(np.int64)
 
 
-def collapsed(keys: list[np.ndarray], owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Occurrences that agree in all keys as one: the number of the first of each, and the owners (int64) and places
-    (int32) of all, as bytes. What one task has seen many times is sent once."""
+def collapsed(keys: list[np.ndarray], owner: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, list[bytes], ...]:
+    """Occurrences that agree in all keys as one: the number of the first of each, and the owners (int64), places (int32)
+    and more (int64) of all, as bytes. What one task has seen many times is sent once."""
     by = np.lexsort((place, owner, *keys))
     new = np.zeros(len(by), bool)
     new[:1] = True
@@ -134,6 +134,6 @@ def collapsed(keys: list[np.ndarray], owner: np.ndarray, place: np.ndarray) -> t
         x = k[by]
         new[1:] |= x[1:] != x[:-1]
     cuts = np.flatnonzero(new).tolist() + [len(by)]
-    owner, place = owner[by].astype(np.int64), place[by].astype(np.int32)
     spans = list(zip(cuts, cuts[1:], strict=False))
-    return by[cuts[:-1]], [owner[a:b].tobytes() for a, b in spans], [place[a:b].tobytes() for a, b in spans]
+    values = [owner[by].astype(np.int64), place[by].astype(np.int32), *(x[by].astype(np.int64) for x in more)]
+    return by[cuts[:-1]], *([x[a:b].tobytes() for a, b in spans] for x in values)

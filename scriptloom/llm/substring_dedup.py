@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import NULL_KEY, bloom_of, groups, mixed, partitions, prefix_hashes, slices, span_hashes, stored, texts, word_hashes, words_of
+from .common import bloom_of, groups, mixed, partitions, prefix_hashes, slices, span_hashes, stored, texts, word_hashes, words_of
 
 WIDTH, GRAM = 13, 4
 #: Fragments that one automaton is compiled for, about. An anchor with more has its windows dealt one by one, by their words.
@@ -52,12 +52,14 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
     """For each row: doc_id, n_words, n_removed, kept_sha256 and, unless told not to, kept_text (kept words joined by one space).
 
     Null, empty and wordless texts have no words and keep the empty text. A row with a null
-    key keeps all, and no other row is judged by it. Rows that repeat a key are one document in
-    that none has a smaller key than the other; each is reported. Windows are judged on the input. Extra columns are
-    ignored; no rows give no rows.
+    key keeps all, and no other row is judged by it. Rows that repeat a key, with one text or with several, don't judge
+    each other, as none has a smaller key; each is judged by the smaller keys and reported. Windows are judged on the
+    input. Very long texts are taken whole. Extra columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # a row is known by its key and text (row), and judged by its key
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("row"))
+    keyed = base.filter("doc_id is not null")
 
     def parsed(column: pa.Array):
         data, offsets = texts(column)
@@ -70,9 +72,9 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
             _, at, h = window_anchors(words, first, width)
             at = np.unique(at)
             row = np.searchsorted(first, at, side="right") - 1
-            yield h[at], batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False)[row], at - first[row]
+            yield h[at], batch.column("row").to_numpy(zero_copy_only=False)[row], at - first[row]
 
-    found = stored(anchors.repeated(base, find, within=False, hot=SHARD_FRAGMENTS))
+    found = stored(anchors.repeated(keyed, find, within=False, hot=SHARD_FRAGMENTS))
     places = found.filter("hot is null").select("owner", "places")
     told = np.frombuffer(b"".join(bytes(r["hot"]) for r in found.filter("hot is not null").select("hot").collect()), np.int64).reshape(-1, 2)
     hot = spark.sparkContext.broadcast(np.unique(told[:, 0].view(np.uint64)))
@@ -82,11 +84,11 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if maybe is not None:
-                batch = batch.filter(pa.array(maybe(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))))
+                batch = batch.filter(pa.array(maybe(batch.column("row").to_numpy(zero_copy_only=False))))
             if batch.num_rows:
                 yield batch
 
-    chosen = base.mapInArrow(some, "doc_id long, text string").join(anchors.by_owner(places), F.col("doc_id") == F.col("owner")).drop("owner")
+    chosen = keyed.mapInArrow(some, "doc_id long, text string, row long").join(anchors.by_owner(places), F.col("row") == F.col("owner")).drop("owner")
     per_shard = max(1, int(places.agg(F.sum(F.length("places"))).first()[0] or 0) // 4 // SHARD_FRAGMENTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +97,8 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
             windows, at, h = window_anchors(words, first, width)
             wanted = np.zeros(len(words) + 1, bool)
             for row, x in enumerate(batch.column("places").to_pylist()):
-                wanted[first[row] + anchors.unpacked(x)] = True
+                here = first[row] + anchors.unpacked(x)
+                wanted[here[here < first[row + 1]]] = True
             hit = wanted[at]
             windows, at = windows[hit], at[hit]
             if not len(windows):
@@ -107,36 +110,36 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
             raw = data.tobytes()
             frags = [raw[s:e] for s, e in zip(start[lo].tolist(), end[hi - 1].tolist(), strict=True)]
             frags = pa.array(frags, pa.binary()).dictionary_encode()
-            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            one, owners, places = anchors.collapsed([h[a].view(np.int64), frags.indices.to_numpy()], keys[row], lo - first[row])
+            owner, judged = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("row", "doc_id"))
+            one, owners, places, keys = anchors.collapsed([h[a].view(np.int64), frags.indices.to_numpy()], owner, lo - first[row], judged)
             deal = (mixed(h[a[one]], 42) % np.uint64(per_shard)).astype(np.int64)
             by_words = alone[new][one]
             if by_words.any():  # equal windows meet wherever they stand
                 begin = lo[one][by_words]
                 deal[by_words] = -1 - (mixed(span_hashes(prefix_hashes(words), begin, begin + width), 43) % np.uint64(hot_shards)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(deal), frags.dictionary.take(frags.indices.take(pa.array(one))), pa.array(owners, pa.binary()), pa.array(places, pa.binary())], ["deal", "frag", "owners", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(deal), frags.dictionary.take(frags.indices.take(pa.array(one))), *(pa.array(x, pa.binary()) for x in (owners, places, keys))], ["deal", "frag", "owners", "places", "keys"])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["deal"]):
             owners = table.column("owners").to_pylist()
-            owner = np.frombuffer(b"".join(owners), np.int64)
+            owner, judged = (np.frombuffer(b"".join(x), np.int64) for x in (owners, table.column("keys").to_pylist()))
             place = np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)
             of = np.repeat(np.arange(len(owners)), [len(x) // 8 for x in owners])
-            where, starts = occurrences(table.column("frag").combine_chunks(), of, owner, width)
+            where, starts = occurrences(table.column("frag").combine_chunks(), of, judged, width)
             if len(where):
-                got, at = owner[where], place[where] + starts
-                by = np.lexsort((at, got))
-                got, at = got[by], at[by]
-                cuts = np.flatnonzero(np.append(True, got[1:] != got[:-1])).tolist() + [len(got)]
-                yield pa.RecordBatch.from_pydict({"owner": pa.array(got[cuts[:-1]]), "places": pa.array([at[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
-
-    shards = chosen.mapInArrow(cut, "deal long, frag binary, owners binary, places binary").repartition(partitions(spark), "deal").sortWithinPartitions("deal")
-    marked = stored(shards.mapInArrow(locate, "owner long, places binary"))
+                got, of_key, at = owner[where], judged[where], place[where] + starts
+                by = np.lexsort((at, of_key, got))
+                got, of_key, at = got[by], of_key[by], at[by]
+                cuts = np.flatnonzero(np.append(True, (got[1:] != got[:-1]) | (of_key[1:] != of_key[:-1]))).tolist() + [len(got)]
+                yield pa.RecordBatch.from_pydict({"owner": pa.array(got[cuts[:-1]]), "key": pa.array(of_key[cuts[:-1]]), "places": pa.array([at[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+
+    shards = chosen.mapInArrow(cut, "deal long, frag binary, owners binary, places binary, keys binary").repartition(partitions(spark), "deal").sortWithinPartitions("deal")
+    marked = stored(shards.mapInArrow(locate, "owner long, key long, places binary"))
     hit = bloom_of(marked.select("owner").distinct())
 
     def known(batches: Iterator[pa.RecordBatch], of: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = hit(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
+            mine = hit(batch.column("row").to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array(mine if of else ~mine))
             if batch.num_rows:
                 yield batch
@@ -162,16 +165,18 @@ def substring_dedup(docs: DataFrame, *, width: int = WIDTH, key: str = "doc_id",
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if with_kept else 4]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names) - 1]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_kept
-    rows = anchors.by_owner(marked)
+    rows = marked.groupBy("owner", "key").agg(F.collect_list("places").alias("places"))
+    mine = (F.col("row") == F.col("owner")) & (F.col("doc_id") == F.col("key"))
     if hit is None:
-        return base.join(rows, F.col("doc_id") == F.col("owner"), "left").drop("owner").mapInArrow(finish, schema)
-    inside = base.mapInArrow(lambda b: known(b, True), "doc_id long, text string").join(rows, F.col("doc_id") == F.col("owner"), "left").drop("owner")
-    outside = base.mapInArrow(lambda b: known(b, False), "doc_id long, text string").withColumn("places", F.lit(None).cast("array<binary>"))
+        return base.join(rows, mine, "left").drop("owner", "key").mapInArrow(finish, schema)
+    columns = "doc_id long, text string, row long"
+    inside = base.mapInArrow(lambda b: known(b, True), columns).join(rows, mine, "left").drop("owner", "key")
+    outside = base.mapInArrow(lambda b: known(b, False), columns).withColumn("places", F.lit(None).cast("array<binary>"))
     return inside.mapInArrow(finish, schema).union(outside.mapInArrow(finish, schema))
 
 
 def occurrences(frags: pa.Array, of: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence k is of fragment of[k], in document owner[k]. Returns the numbers of occurrences and the word offsets of
+    """Occurrence k is of fragment of[k], in a document of key owner[k]. Returns the numbers of occurrences and the word offsets of
     the windows in them that a smaller owner has too."""
     import ahocorasick
 
