@@ -14,7 +14,8 @@ compared block against block, so no task holds more than two blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +63,21 @@ def token_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A class id from the whole sorted set."""
+#: Class ids that stand for several sets; about three in 10**10 sets. More than this are an error.
+MOST_CLASHES = 100_000
+
+
+def set_ids(tokens: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of the whole sorted set: its class id, and another that verifies it."""
     x = np.concatenate([tokens, np.array([len(tokens)], np.uint64)])
-    return int(mixed(np.bitwise_xor.reduce(mixed(x + np.arange(len(x), dtype=np.uint64), 5), keepdims=True) + np.add.reduce(mixed(x, 6), keepdims=True), 7).view(np.int64)[0])
+    at = np.arange(len(x), dtype=np.uint64)
+    return tuple(int(mixed(np.bitwise_xor.reduce(mixed(x + at, k), keepdims=True) + np.add.reduce(mixed(x, k + 1), keepdims=True), k + 2).view(np.int64)[0]) for k in (5, 55))
+
+
+def set_id(tokens: np.ndarray, clashes: frozenset[int] = frozenset(), identify: Callable = set_ids) -> int:
+    """The class id; the other hash where several sets have the first."""
+    first, other = identify(tokens)
+    return other if first in clashes else first
 
 
 def cells(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +124,7 @@ def prefixes(tokens: np.ndarray, levels: np.ndarray, per_cent: int) -> list[np.n
     return out
 
 
-def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets: int, name: Callable[[np.ndarray], int] = set_id) -> DataFrame:
     """For each order and bucket of tokens: arrays of (token, class, size), once for each class and task."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -138,7 +150,7 @@ def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets
 
         for batch in slices(batches, "text", 1 << 20):
             for tokens in token_sets(batch.column("text"), n):
-                if len(tokens) and (owner := set_id(tokens)) not in seen:
+                if len(tokens) and (owner := name(tokens)) not in seen:
                     seen.add(owner)
                     for rows, p in zip(held, prefixes(tokens, sent.value, per_cent), strict=True):
                         rows.append((p, owner, len(tokens)))
@@ -246,7 +258,7 @@ def connect(sets: list[np.ndarray], levels: np.ndarray, per_cent: int) -> list[i
     return [union.root(x) for x in range(m)]
 
 
-def linked_classes(base: DataFrame, *, words: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+def linked_classes(base: DataFrame, *, words: int, per_cent: int, identify: Callable = set_ids) -> tuple[DataFrame, DataFrame]:
     """base has doc_id, text and columns that are carried. Returns its rows as doc_id, carried columns, n_shingles and class
     (null without tokens), and each class's smallest key (rep, null if it has none) and root: the smallest class that links
     reach, its own included. Classes are vertices, so keys may be null or repeat."""
@@ -260,11 +272,20 @@ def linked_classes(base: DataFrame, *, words: int, per_cent: int) -> tuple[DataF
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             sets = token_sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {c: batch.column(c) for c in names} | {"n_shingles": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())})
-
-    told = stored(base.mapInArrow(tell, ", ".join(["doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in carried), "n_shingles long", "class long"])))
-    classes = told.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    pairs = stored(near_pairs(postings(base, levels, words, per_cent, buckets), per_cent, buckets))
+            one, two = zip(*(identify(x) if len(x) else (None, None) for x in sets), strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {c: batch.column(c) for c in names} | {"n_shingles": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array(one, pa.int64()), "check": pa.array(two, pa.int64())})
+
+    told = stored(base.mapInArrow(tell, ", ".join(["doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in carried), "n_shingles long", "class long", "check long"])))
+    classes = stored(told.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), (F.min("check") < F.max("check")).alias("clash")))
+    found = classes.filter("clash").select("class").limit(MOST_CLASHES + 1).collect()
+    if len(found) > MOST_CLASHES:
+        raise RuntimeError("too many sets share a class id")
+    clashes = frozenset(r[0] for r in found)
+    if clashes:
+        told = told.withColumn("class", F.when(F.col("class").isin(list(clashes)), F.col("check")).otherwise(F.col("class")))
+        classes = stored(told.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
+    told, classes, name = told.drop("check"), classes.select("class", "rep"), functools.partial(set_id, clashes=clashes, identify=identify)
+    pairs = stored(near_pairs(postings(base, levels, words, per_cent, buckets, name), per_cent, buckets))
     survive = pairs.filter("kind >= 0").groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("orders")).filter(F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
     # rep says which row brings the set of a class; any row without a key may
     filled = F.coalesce("rep", F.lit(NULL_KEY).cast("long")).alias("rep")
@@ -279,7 +300,7 @@ def linked_classes(base: DataFrame, *, words: int, per_cent: int) -> tuple[DataF
                 batch = batch.filter(pa.array(test(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))))
             out = []
             for rep, tokens in zip(batch.column("doc_id").fill_null(NULL_KEY).to_pylist(), token_sets(batch.column("text"), words), strict=True):
-                if len(tokens) and (one := (set_id(tokens), rep)) not in seen:
+                if len(tokens) and (one := (name(tokens), rep)) not in seen:
                     seen.add(one)
                     out.append((*one, tokens.tobytes()))
             if out:
@@ -308,15 +329,15 @@ def linked_classes(base: DataFrame, *, words: int, per_cent: int) -> tuple[DataF
     return told, classes.join(roots, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
 
 
-def jaccard_join(docs: DataFrame, *, words: int = 3, per_cent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, *, words: int = 3, per_cent: int = 90, key: str = "doc_id", text: str = "text", identify: Callable = set_ids) -> DataFrame:
     """For each document: doc_id, n_shingles, and component_id: the smallest doc_id that links reach, its own included.
 
     Two documents link when their sets' Jaccard similarity is per_cent / 100 or more; no link between different sets is
     lost. Null, empty and wordless texts have no tokens and link with nothing. Rows that repeat a key are reported each,
     by their own texts' links. A row with a null key links as others do; it gets its component's smallest key, null if
-    there is none. Extra columns are ignored; no rows give no rows. Sets are identified by 64-bit hashes of n-grams and
-    of whole sets.
+    there is none. Very long texts are taken whole. Extra columns are ignored; no rows give no rows. Sets are identified
+    by 64-bit hashes of n-grams (words of over 128 bytes by blake2b) and 128 bits of whole sets.
     """
-    told, ids = linked_classes(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), words=words, per_cent=per_cent)
+    told, ids = linked_classes(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), words=words, per_cent=per_cent, identify=identify)
     least = ids.groupBy("root").agg(F.min("rep").alias("component"))
     return told.join(ids.join(least, "root").select("class", "component"), "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
