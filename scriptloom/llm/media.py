@@ -2,7 +2,7 @@
 
 The two companded forms are expanded by lookup tables of 256 entries, built from their definitions. ADPCM blocks are
 decoded with numpy across blocks: one step for each nibble position, all blocks of a batch at once. PCM is resampled
-to twice the rate by linear interpolation, in whole numbers.
+in whole numbers, to twice the rate by linear interpolation or to half of it by means of two samples, and stored.
 """
 
 from __future__ import annotations
@@ -72,6 +72,12 @@ def doubled(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+def halved(pcm: np.ndarray) -> np.ndarray:
+    """Half the rate: means of two samples each, rounded down (a last single one is itself)."""
+    wide = np.append(pcm, pcm[-1:] if len(pcm) % 2 else pcm[:0]).astype(np.int32)
+    return ((wide[::2] + wide[1::2]) >> 1).astype(np.int16)
+
+
 def to_wav(payload: bytes, codec: str = "mulaw", rate: int = RATE, block: int = UNIT) -> bytes:
     """A RIFF file with the payload as its samples, unchanged."""
     if codec == "ima_adpcm":
@@ -114,19 +120,24 @@ def padded(data: bytes, unit: int = UNIT) -> bytes:
     return data + bytes([PAD]) * ((-len(data)) % unit if data else unit)
 
 
-_STORED = "doc_id long, n_bytes long, media binary"
+_STORED = "doc_id long, n_bytes long, media binary, pcm binary"
 _PCM = "doc_id long, n_bytes long, media binary, payload binary, mulaw binary, alaw binary, adpcm binary"
 
 
 def store_text_audio(docs: DataFrame, *, codec: str = "mulaw", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media: each text's UTF-8 bytes, padded with 255 to a positive multiple of 576, as samples of a
-    RIFF file. A null text counts as empty (576 bytes of padding); very long texts go whole. Repeated rows are stored each;
-    extra columns are ignored; no rows give no rows."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes, padded with 255 to a positive multiple of 576, as samples of a RIFF
+    file; and pcm: these samples expanded by the file's codec, at half the rate, as little-endian int16. A null text counts
+    as empty (576 bytes of padding); very long texts go whole. Null and repeated keys and repeated rows are stored each; extra
+    columns are ignored; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(padded(x), codec) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+            payload = [padded(x) for x in raw]
+            ends = np.cumsum([len(x) for x in payload])
+            pcm = decode(codec, UNIT, b"".join(payload))  # whole blocks, so all texts at once
+            own = [halved(x).astype("<i2").tobytes() for x in np.split(pcm, ends[:-1] * len(pcm) // ends[-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(x, codec) for x in payload], pa.binary()), pa.array(own, pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _STORED)
 
@@ -147,7 +158,7 @@ def resampled(media: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray, n
 
 def audio_columns(stored: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media, its sample bytes as read back (payload), and PCM at twice the rate as little-endian int16:
-    mulaw, alaw and adpcm (the samples read as each codec)."""
+    mulaw, alaw and adpcm (the samples read as each codec). Rows that repeat come each; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 2 << 20):
@@ -166,14 +177,15 @@ def features(pcm: np.ndarray) -> str:
 
 
 def audio_digests(stored: DataFrame) -> DataFrame:
-    """Of each stored file: payload and media sizes and hashes, and a feature string of its PCM by the three codecs. The
-    same as digesting audio_columns(), without carrying the PCM through Spark."""
+    """Of each stored file: payload and media sizes and hashes, and a feature string of the stored PCM and of the samples'
+    PCM at twice the rate by the three codecs. The latter is the same as digesting audio_columns(), without carrying it
+    through Spark. Rows that repeat come each; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 2 << 20):
             media, rows = batch.column("media").to_pylist(), []
-            for doc, n, x, (payload, *pcm) in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), media, resampled(media), strict=True):
-                told = " ".join(f"{k}={features(p)}" for k, p in zip(("mulaw", "alaw", "adpcm"), pcm, strict=True))
+            for doc, n, x, kept, (payload, *pcm) in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), media, batch.column("pcm").to_pylist(), resampled(media), strict=True):
+                told = " ".join(f"{k}={features(p)}" for k, p in zip(("stored", "mulaw", "alaw", "adpcm"), (np.frombuffer(kept, "<i2"), *pcm), strict=True))
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(x), hashlib.sha256(x).hexdigest(), told))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
