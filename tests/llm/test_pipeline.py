@@ -105,3 +105,17 @@ def test_clashing_names_and_empty_tables(spark, stages):
         for docs in (odd, odd.limit(0)):
             out = stage(spark, docs, DIR)
             assert out.columns == odd.columns and bool(out.count()) == bool(docs.count())
+
+
+def test_map_columns_go_through_every_stage(spark):
+    """Columns without an order, with kinds that repeat."""
+    w = [f"word{i}" for i in range(400)]
+    rows = [(1, " ".join(w[:60]), "en", "a", 1, {"k": 1}), (1, " ".join(w[:60]), "en", "a", 1, {"k": 0}), (2, " ".join(w[:61]), "en", "b", 2, None), (3, " ".join(w[100:160]), "de", "a", 3, {}), (None, " ".join(w[200:260]), None, None, None, {"x": 2})] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>").repartition(3)
+    exact = corpus_pipeline.exact(spark, docs, DIR)
+    assert sorted(((r.doc_id, r.m) for r in exact.collect()), key=repr) == sorted([(1, {"k": 0}), (2, None), (3, {}), (None, {"x": 2})], key=repr)
+    near = corpus_pipeline.near(spark, docs, DIR)
+    assert sorted(((r.doc_id, r.m) for r in near.collect()), key=repr) == sorted([(1, {"k": 0}), (3, {}), (None, {"x": 2})], key=repr)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, DIR))
+        assert docs.count() > 0
