@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import BYTE_CHARACTERS, LONGEST, REMEMBERED, PieceEncoder, as_binary
+from .tokens import BYTE_CHARACTERS, LONGEST, PieceEncoder, as_binary
 
 VOCABULARY = "word_bpe_49k.json"
+#: Fragments of each kind whose ids a task remembers, besides the pieces that the base class remembers.
+FRAGMENTS = 100_000
 _BYTES = {c: b for b, c in BYTE_CHARACTERS.items()}
 _CHARACTERS = [BYTE_CHARACTERS[b] for b in range(256)]
 
@@ -81,7 +83,7 @@ class ForcedEncoder(PieceEncoder):
     def encode_fragments(self, fragments: list[bytes], end: bool) -> None:
         """Learns the ids of fragments; `end` if they end words."""
         known = self.fragments[end]
-        if len(known) + len(fragments) > REMEMBERED:
+        if len(known) + len(fragments) > FRAGMENTS:
             known.clear()
         line = " ".join("".join(map(_CHARACTERS.__getitem__, f)) for f in fragments)
         coded = (self.by_word if end else self.inner).encode(line, add_special_tokens=False)
@@ -109,7 +111,7 @@ class ForcedEncoder(PieceEncoder):
             known = self.fragments[end]
             new = {frags[k] for k in mine} - known.keys()
             if new:
-                if len(known) + len(new) > REMEMBERED:  # what this call needs stays
+                if len(known) + len(new) > FRAGMENTS:  # what this call needs stays
                     new = {frags[k] for k in mine}
                 self.encode_fragments(list(new), end)
             for k in mine:
@@ -138,6 +140,26 @@ def forced_encoder(path: str) -> ForcedEncoder:
     return _encoders[path]
 
 
+_decoders: dict[str, tuple] = {}
+
+
+def decoder(path: str) -> tuple:
+    """The names of all ids, where a text is its tokens joined by spaces; else the tokenizer. One for each vocabulary and worker."""
+    if path not in _decoders:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        names = [tokenizer.id_to_token(k) for k in range(1 + max(tokenizer.get_vocab(with_added_tokens=True).values()))]
+        _decoders[path] = (names, None) if tokenizer.decoder is None and None not in names else (None, tokenizer)
+    return _decoders[path]
+
+
+def decode_ids(ids: np.ndarray, names: list[str] | None, tokenizer) -> str:
+    if names is None:
+        return tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+    return " ".join(map(names.__getitem__, ids[ids < len(names)].tolist()))
+
+
 def encode(docs: DataFrame, *, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_tokens, ids (little-endian uint32 bytes), as the tokenizers library encodes the
     whole text without adding special tokens, truncation or padding.
@@ -148,7 +170,7 @@ def encode(docs: DataFrame, *, path: str | None = None, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = forced_encoder(path or public_tokenizers.path(VOCABULARY))
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             ids, n = coder.many(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), as_binary(ids, n)], ["doc_id", "n_tokens", "ids"])
 
@@ -160,18 +182,9 @@ def decode(coded: DataFrame, *, path: str | None = None) -> DataFrame:
     gives it. No ids or null give the empty text; ids that the vocabulary hasn't got give nothing; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = forced_encoder(path or public_tokenizers.path(VOCABULARY)).tokenizer
-        size = 1 + max(tokenizer.get_vocab(with_added_tokens=True).values())
-        names = [tokenizer.id_to_token(k) for k in range(size)]
-        whole = None not in names
-        for batch in slices(batches, "ids", 2 << 20):
-            texts = []
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_py() or b"", "<u4")
-                if tokenizer.decoder is None and whole and (not len(ids) or int(ids.max()) < size):  # tokens joined by spaces
-                    texts.append(" ".join(map(names.__getitem__, ids.tolist())))
-                else:
-                    texts.append(tokenizer.decode(ids.tolist(), skip_special_tokens=False))
+        how = decoder(path or public_tokenizers.path(VOCABULARY))
+        for batch in slices(batches, "ids", 1 << 20):
+            texts = [decode_ids(np.frombuffer(x.as_py() or b"", "<u4"), *how) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return coded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
