@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keyed import KeyedTable, Rules
+
 SAMPLES = "id long, content_hash string, content string, label string, source string, url string, metadata map<string,string>, created_at timestamp_ntz, updated_at timestamp_ntz"
 VERSIONS = "id long, version string, total_samples long, malicious_count long, benign_count long, sources map<string,long>, metadata map<string,string>, created_at timestamp_ntz"
 SCANS = "id long, request_id string, timestamp timestamp, script_hash string, is_malicious boolean, confidence double, model_version string, api_key_prefix string, processing_time_ms double"
@@ -14,6 +16,18 @@ KNOWLEDGE = "point_id string, description string, cve_id string, severity string
 TABLES = {"samples": SAMPLES, "dataset_versions": VERSIONS, "scan_history": SCANS, "chunks": CHUNKS, "points": POINTS, "knowledge": KNOWLEDGE}
 
 
+#: What the samples table holds of its rows when they are written.
+SAMPLE_RULES = Rules(
+    checks={"label": "label IN ('malicious', 'benign')", "hash": "length(content_hash) <= 64", "source": "length(source) <= 100"},
+    unique=("content_hash",), required=("content_hash", "content", "label", "source"), created="created_at", updated="updated_at",
+)
+
+
+def samples_table(spark: SparkSession, folder: str, buckets: int = 16) -> KeyedTable:
+    """The samples as a keyed table with its rules, made where there is none."""
+    return KeyedTable.create(spark, folder, SAMPLES, "id", buckets, SAMPLE_RULES)
+
+
 def create(spark: SparkSession, folder: str) -> None:
     """An empty table of each relation under folder, where there is none yet; samples by label, as queries filter on it."""
     for name, schema in TABLES.items():

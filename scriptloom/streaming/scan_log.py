@@ -1,10 +1,13 @@
-"""The scan log as a stream: append, deduplication within a watermark, and windowed alerts."""
+"""The scan log as a stream: append, also exactly once into a keyed table, deduplication within a watermark, windowed
+alerts, and alerts of single scripts from state."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keyed import KeyedTable
+
 
 def read(spark: SparkSession, path: str, schema, **options) -> DataFrame:
     """Parquet files as they arrive; ts as a timestamp with zone, as watermarks need it."""
@@ -15,6 +18,16 @@ def append(log: DataFrame, path: str, checkpoint: str):
     return log.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
+def append_once(log: DataFrame, table: KeyedTable, checkpoint: str, writer: str = "scan_log"):
+    """Appends to a keyed table whose manifest counts the stream's batches: a batch that ran before its checkpoint was
+    written runs again after a restart, finds itself counted and adds nothing. One writer name for each checkpoint."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        table.append(batch, writer=writer, batch=number)
+
+    return log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def deduplicated(log: DataFrame, key: str = "script_hash", delay: str = "1 hour") -> DataFrame:
     return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
