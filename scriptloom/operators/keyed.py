@@ -179,6 +179,12 @@ class KeyedTable:
         found = {str(r[0]) for r in asked.select(self._bucket(m)).distinct().collect()}
         return self._folders(m, m.of(found)).drop(BUCKET).filter(F.col(m.key).isin(keys))
 
+    def fetch(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """Rows of any number of keys (a column of the key's name): their buckets' files, joined on the key."""
+        m = self.manifest(version)
+        asked = stored(keys.select(m.key).distinct().withColumn(BUCKET, self._bucket(m)))
+        return self._folders(m, m.of(self._touched(m, asked))).drop(BUCKET).join(asked.select(m.key), m.key, "left_semi")
+
     def expire(self, keep: int = 10) -> list[int]:
         """Forgets all versions but the last `keep` and the named ones, with the folders that no other version has. Readers
         of a forgotten version fail, so keep as many as the longest query needs."""

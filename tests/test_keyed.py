@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from scriptloom.operators.keyed import KeyedTable, Rules
 from scriptloom.sources import schemas
+from scriptloom.streaming import scan_log
 
 SCHEMA = "k long, v string"
 
@@ -159,6 +160,29 @@ def test_appends_and_compaction(spark, make):
     assert rows(t) == [(k, "b" if k == 5 else "a") for k in range(40)] and {len(f) for f in t.manifest().folders.values()} == {1}
 
 
+def test_a_stream_that_stops_between_commit_and_checkpoint(spark, make, tmp_path):
+    """The batch's manifest is there, the checkpoint's commit isn't: the batch runs again and adds nothing."""
+    t, source = make(), tmp_path / "in"
+    spark.range(100).selectExpr("id as k", "'a' as v").repartition(2).write.parquet(str(source))
+    log = spark.readStream.schema(SCHEMA).parquet(str(source))
+    real = t.append
+
+    def stop(*a, **b):
+        real(*a, **b)
+        raise RuntimeError("stopped before the checkpoint")
+
+    t.append = stop
+    with pytest.raises(Exception, match="stopped"):
+        scan_log.append_once(log, t, str(tmp_path / "c")).awaitTermination()
+    assert len(rows(t)) == 100 and t.manifest().batches == {"scan_log": 0}
+    again = KeyedTable(spark, t.folder)
+    scan_log.append_once(log, again, str(tmp_path / "c")).awaitTermination()
+    assert rows(again) == [(k, "a") for k in range(100)]
+    spark.range(100, 120).selectExpr("id as k", "'b' as v").write.mode("append").parquet(str(source))
+    scan_log.append_once(log, again, str(tmp_path / "c")).awaitTermination()
+    assert len(rows(again)) == 120
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["upsert", "insert", "delete"]), st.lists(st.integers(0, 12), max_size=6)), max_size=4))
 def test_like_a_dictionary(spark, tmp_path_factory, steps):
