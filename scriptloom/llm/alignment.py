@@ -10,6 +10,7 @@ counts of its different pairs, each once, and its documents look them up by numb
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, partitions, slices, stored, summed_slices, texts
-from .tokens import BYTE_CHARACTERS, PieceEncoder
+from .tokens import BYTE_CHARACTERS, LONGEST, PieceEncoder
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a chunk, about; a longer document is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
+#: Pieces of text whose ids a task remembers, for each tokenizer.
+REMEMBERED = 250_000
 _CODED = "kind int, chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, same binary, odd binary, slice long, salt long, data binary, pairs array<long>, times array<long>"
 _NAMES = [c.split(" ")[0] for c in _CODED.split(", ")]
 _TYPES = [pa.int32(), *[pa.int64()] * 6, pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -34,35 +37,78 @@ _TYPES = [pa.int32(), *[pa.int64()] * 6, pa.string(), pa.binary(), pa.binary(),
 PAIRS, DOCUMENT, VECTOR = 0, 1, 2
 
 
+class SpacedPieces:
+    """Ids of a sentencepiece model for texts that begin with the space it adds, piece by piece.
+
+    No piece of the vocabulary has a space after another character, so a text may be cut before each run of spaces (a
+    vocabulary with such pieces gets its texts whole); each different fragment is encoded once."""
+
+    def __init__(self, path: str, remembered: int):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model, self.remembered, self.known = SentencePieceProcessor(model_file=path), remembered, {}
+        self.cuts = not any("▁" in self.model.id_to_piece(k).lstrip("▁") for k in range(self.model.get_piece_size()))
+
+    def many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (int64) of all rows, and the number of each row's; rows are empty or begin with a space."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        first = np.zeros(len(data), bool)
+        if self.cuts:
+            space = data == 32
+            first[1:] = space[1:] & ~space[:-1]
+        full = np.diff(offsets) > 0
+        first[offsets[1:][full] - 1] = False  # a space alone at the end would be an empty text to the model
+        first[offsets[:-1][full]] = True
+        at = np.flatnonzero(first)
+        ends = np.append(at, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        names, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        found = [self.known.get(p) for p in names]
+        new = [k for k, x in enumerate(found) if x is None]
+        for k, ids in zip(new, self.model.encode([names[k][1:].decode() for k in new], num_threads=1), strict=True):
+            found[k] = np.array(ids, "<u4").tobytes()
+            if len(names[k]) <= LONGEST:
+                self.known[names[k]] = found[k]
+        if len(self.known) > self.remembered:
+            self.known = {p: x for p, x in zip(names, found, strict=True) if len(p) <= LONGEST}
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, begin, n = np.frombuffer(b"".join(found), "<u4").astype(np.int64), np.cumsum(size) - size, size[which]
+        total = np.append(0, np.cumsum(n))
+        return ids[np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])], np.diff(total[np.searchsorted(at, offsets)])
+
+
 class Aligner:
     """Both tokenizers, the bytes of all their tokens, and same_id: for each A id the B id of the same bytes, or -1."""
 
     def __init__(self, a_path: str, b_path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self.a = PieceEncoder(a_path, special_as_text=True)
-        self.b = SentencePieceProcessor(model_file=b_path)
-        inverse = {c: bytes([b]) for b, c in BYTE_CHARACTERS.items()}
+        self.a = PieceEncoder(a_path, special_as_text=True, remembered=REMEMBERED)
+        self.b = SpacedPieces(b_path, REMEMBERED)
+        inverse, model = {c: bytes([b]) for b, c in BYTE_CHARACTERS.items()}, self.b.model
         vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=True)
         added = {t["content"] for t in json.loads(self.a.tokenizer.to_str())["added_tokens"]}
         a_bytes = [b""] * (1 + max(vocabulary.values()))
-        names = [""] * len(a_bytes)
         for token, k in vocabulary.items():
-            names[k], a_bytes[k] = token, token.encode() if token in added else b"".join(map(inverse.__getitem__, token))
+            a_bytes[k] = token.encode() if token in added else b"".join(map(inverse.__getitem__, token))
         b_bytes, pieces = [], {}
-        for k in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(k)
-            b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode())
-            if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k)):
+        for k in range(model.get_piece_size()):
+            piece = model.id_to_piece(k)
+            b_bytes.append(bytes([int(piece[3:5], 16)]) if model.is_byte(k) else piece.replace("▁", " ").encode())
+            if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k)):
                 pieces[b_bytes[k]] = k
         for k, raw in enumerate(b_bytes):  # bytes that no piece has are written by the byte's own token
-            if self.b.is_byte(k):
+            if model.is_byte(k):
                 pieces.setdefault(raw, k)
-        self.same_id = np.array([-1 if a in added else pieces.get(raw, -1) for a, raw in zip(names, a_bytes, strict=True)], np.int64)
+        self.same_id = np.array([pieces.get(raw, -1) for raw in a_bytes], np.int64)
+        self.same_id[[vocabulary[t] for t in added]] = -1
+        #: Ids of A as they are stored.
+        self.id_type = "<u2" if len(a_bytes) <= 1 << 16 else "<u4"
         self.tables = [self._table(a_bytes), self._table(b_bytes)]
         most = max(len(a_bytes), len(b_bytes))
-        #: An id's decimal digits with what follows it: a comma, a bar, a semicolon or nothing.
-        self.digits = [str(k).encode() + s for k in range(most) for s in (b",", b"|", b";", b"")]
+        #: An id's decimal digits with what follows it (a comma, a bar or a semicolon), and whole groups of an A id and its same-bytes id.
+        self.digits = [str(k).encode() + s for k in range(most) for s in (b",", b"|", b";")]
+        self.groups_from = len(self.digits)
+        self.digits += [f"{k}|{x};".encode() for k, x in enumerate(self.same_id.tolist())]
 
     @staticmethod
     def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,17 +125,15 @@ class Aligner:
         full = pc.if_else(pc.greater(pc.fill_null(pc.binary_length(column), 0), 0), pc.binary_join_element_wise(pa.scalar(" "), pc.fill_null(column, ""), ""), "")
         data, offsets = texts(full)
         a, n_a = self.a.many(full)
-        lists = self.b.encode(pc.fill_null(column, "").to_pylist(), num_threads=1)
-        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
-        b = np.fromiter((x for ids in lists for x in ids), np.int64, int(n_b.sum()))
         a = a.astype(np.int64)
+        b, n_b = self.b.many(data, offsets)
         good = np.ones(len(n_a), bool)
         for which, ids, n in ((0, a, n_a), (1, b, n_b)):
-            joined, size = self._joined(which, ids), self.tables[which][2][ids]
-            ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))]
-            good &= np.diff(ends) == np.diff(offsets)
+            ends = np.append(0, np.cumsum(self.tables[which][2][ids]))[np.append(0, np.cumsum(n))]
+            joined = self._joined(which, ids)
             if np.array_equal(ends, offsets) and np.array_equal(joined, data):
                 continue
+            good &= np.diff(ends) == np.diff(offsets)
             for r in np.flatnonzero(good).tolist():
                 good[r] = np.array_equal(joined[ends[r] : ends[r + 1]], data[offsets[r] : offsets[r + 1]])
         if not good.all():
@@ -99,27 +143,38 @@ class Aligner:
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of ids of texts one after the other: the A and B token of each link, whether it is an exact one-to-one group of
-        the same-bytes ids, the end of each group in links, and the group of each A and B token."""
-        a_ends, b_ends = np.cumsum(self.tables[0][2][a]), np.cumsum(self.tables[1][2][b])
-        ends = np.union1d(a_ends, b_ends)
-        of_a, of_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        common = (a_ends[of_a] == ends) & (b_ends[of_b] == ends)
+        the same-bytes ids, the end of each group in links, and the group of each link."""
+        a_ends, b_ends = (np.cumsum(self.tables[k][2][x]) - 1 for k, x in ((0, a), (1, b)))  # each token's last byte
+        size = int(a_ends[-1]) + 1 if len(a) else 0
+        in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
+        in_a[a_ends], in_b[b_ends] = True, True
+        ends = np.flatnonzero(in_a | in_b)
+        in_a, in_b = in_a[ends], in_b[ends]
+        common = in_a & in_b
+        of_a, of_b, group = (np.cumsum(x) - x for x in (in_a, in_b, common))
         alone = common.copy()
         alone[1:] &= common[:-1]
-        exact = alone & (self.same_id[a[of_a]] == b[of_b])
-        last = ends[common]
-        return of_a, of_b, exact, np.flatnonzero(common), np.searchsorted(last, a_ends), np.searchsorted(last, b_ends)
-
-    def described(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> np.ndarray:
-        """Places in `digits` for all ids in the order of groups, A's before B's."""
-        n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
+        return of_a, of_b, alone & (self.same_id[a[of_a]] == b[of_b]), np.flatnonzero(common), group
+
+    def described(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, exact: np.ndarray, last: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `digits` for all groups one after the other, A ids before B ids, and the first place of each group (with the end)."""
+        n_groups = len(last)
+        plain = np.ones(n_groups, bool)
+        plain[group[exact]] = False
+        group_a, group_b = np.empty(len(a), np.int64), np.empty(len(b), np.int64)
+        group_a[of_a], group_b[of_b] = group, group
         in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
-        at_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
-        at_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
-        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
-        code = np.empty(len(a) + len(b), np.int64)
-        code[at_a], code[at_b] = 4 * a + last_a, 4 * b + 2 * last_b
-        return code
+        size = np.where(plain, in_a + in_b, 1)
+        start = np.append(0, np.cumsum(size))
+        code = np.empty(start[-1], np.int64)
+        code[start[:-1][~plain]] = self.groups_from + a[of_a[exact]]
+        first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        for ids, of, first, before, mark in ((a, group_a, first_a, np.zeros(n_groups, np.int64), 1), (b, group_b, first_b, in_a, 2)):
+            k = np.flatnonzero(plain[of])
+            g = of[k]
+            at_end = np.append(of[1:] != of[:-1], True)[k]
+            code[start[g] + before[g] + k - first[g]] = 3 * ids[k] + mark * at_end
+        return code, start
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -132,10 +187,11 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _aligners[a_path, b_path]
 
 
-def packed(values: np.ndarray, n: np.ndarray) -> pa.Array:
-    """Runs of values as uint32 bytes."""
-    ends = np.append(0, np.cumsum(4 * n)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values, "<u4"))])
+def packed(values: np.ndarray, n: np.ndarray, kind: str) -> pa.Array:
+    """Runs of values as bytes of so many unsigned integers."""
+    values = np.ascontiguousarray(values, kind)
+    ends = np.append(0, np.cumsum(values.itemsize * n)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(values)])
 
 
 def table_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -154,25 +210,19 @@ def code_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id
             chunk, number = part << 32 | number, number + 1
             a, n_a, b, n_b = both.encode(batch.column("text"))
             rows = len(n_a)
-            of_a, of_b, exact, group_last, group_a, group_b = both.align(a, b) if len(a) else (*[np.zeros(0, np.int64)] * 2, np.zeros(0, bool), *[np.zeros(0, np.int64)] * 3)
-            row_of_a = np.repeat(np.arange(rows), n_a)
-            link_row = row_of_a[of_a]
+            of_a, of_b, exact, last, group = both.align(a, b)
+            link_row = np.repeat(np.arange(rows), n_a)[of_a]
             n_links = np.bincount(link_row, minlength=rows)
-            n_groups = np.bincount(link_row[group_last], minlength=rows)
+            n_groups = np.bincount(link_row[last], minlength=rows)
             same = a[of_a[exact]]
             vector += np.bincount(same, minlength=len(vector))
             pairs, odd, times = np.unique(a[of_a[~exact]] << 32 | b[of_b[~exact]], return_inverse=True, return_counts=True)
-            code = both.described(a, b, group_a, group_b)
-            cuts = np.append(0, np.cumsum(n_a + n_b))
-            digits, hashes = both.digits, []
-            for r in range(rows):
-                lo, hi = int(cuts[r]), int(cuts[r + 1])
-                if lo == hi:
-                    hashes.append("")
-                    continue
-                mine = code[lo:hi].copy()
-                mine[-1] |= 3
-                hashes.append(hashlib.sha256(b"".join(map(digits.__getitem__, mine.tolist()))).hexdigest())
+            code, start = both.described(a, b, of_a, of_b, exact, last, group)
+            cuts = start[np.append(0, np.cumsum(n_groups))].tolist()
+            strings, hashes = list(map(both.digits.__getitem__, code.tolist())), []
+            for lo, hi in itertools.pairwise(cuts):  # the last semicolon goes
+                hashes.append(hashlib.sha256(b"".join(strings[lo:hi])[:-1]).hexdigest() if hi > lo else "")
+            del strings, code
             n_same = np.bincount(link_row[exact], minlength=rows)
             yield table_of(
                 rows,
@@ -184,8 +234,8 @@ def code_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id
                 n_groups=pa.array(n_groups),
                 n_links=pa.array(n_links),
                 groups_sha256=pa.array(hashes, pa.string()),
-                same=packed(same, n_same),
-                odd=packed(odd, n_links - n_same),
+                same=packed(same, n_same, both.id_type),
+                odd=packed(odd, n_links - n_same, "<u4"),
             )
             if len(pairs):
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
@@ -208,7 +258,7 @@ def align(docs: DataFrame, *, a_path: str | None = None, b_path: str | None = No
     spark = docs.sparkSession
     coded = code_documents(docs, a_path, b_path, key, text)
     own = aligner(a_path, b_path)
-    same_id, size_b = own.same_id, own.b.get_piece_size()
+    same_id, size_b, id_type = own.same_id, own.b.model.get_piece_size(), own.id_type
     exact = summed_slices(coded.filter(f"kind = {VECTOR}").select("slice", "salt", "data")).get(0, np.zeros(len(same_id), np.int64)).copy()
     wanted = coded.filter(f"kind = {PAIRS}").select("chunk", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("chunk", F.col("p.pairs").alias("pair"), F.col("p.times").alias("n"))
     odd = stored(wanted.groupBy("pair").agg(F.sum("n").alias("n")))
@@ -238,6 +288,18 @@ def align(docs: DataFrame, *, a_path: str | None = None, b_path: str | None = No
     np.maximum.at(best, same_id[known], exact[known])
     sent = spark.sparkContext.broadcast((exact, best, same_id))
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of exact links, which need no shuffle."""
+        exact, best, same_id = sent.value
+        alike = np.stack([np.where(same_id >= 0, exact == best[same_id], False).astype(np.int64), exact])
+        for batch in batches:
+            raw = batch.column("same")
+            n = pc.binary_length(raw).to_numpy(zero_copy_only=False) // np.dtype(id_type).itemsize
+            ids = np.frombuffer(b"".join(x.as_py() for x in raw), id_type)
+            sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(alike[:, ids], axis=1)], axis=1)[:, np.append(0, np.cumsum(n))]
+            columns = [batch.column(c) for c in ("kind", "chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "odd")]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, np.diff(sums, axis=1))], ["kind", "chunk", *figures])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["chunk"]):
             exact, best, same_id = sent.value
@@ -249,19 +311,18 @@ def align(docs: DataFrame, *, a_path: str | None = None, b_path: str | None = No
             pair, n = pair[by], n[by]
             a, b = pair >> 32, pair & 0xFFFFFFFF
             n = np.where(same_id[a] == b, exact[a], n)
-            top = n == best[b]
-            out = []
-            for same, odd in zip(rows.column("same").to_pylist(), rows.column("odd").to_pylist(), strict=True):
-                same, odd = np.frombuffer(same, "<u4"), np.frombuffer(odd, "<u4")
-                times = exact[same]
-                out.append((int((times == best[same_id[same]]).sum() + top[odd].sum()), int(times.sum() + n[odd].sum())))
-            n_best, count_sum = zip(*out, strict=True) if out else ((), ())
+            top, n_best, count_sum = n == best[b], [], []
+            for odd, x, y in zip(*(rows.column(c).to_pylist() for c in ("odd", "n_best", "count_sum")), strict=True):
+                odd = np.frombuffer(odd, "<u4")
+                n_best.append(x + int(top[odd].sum()))
+                count_sum.append(y + int(n[odd].sum()))
             columns = [rows.column(c).combine_chunks() for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), rows.column("groups_sha256").combine_chunks()], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    figures = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "odd"]
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("pair", "long"), ("n", "long"))]
-    rows = coded.filter(f"kind = {DOCUMENT}").select("kind", "chunk", *figures, *none)
-    told = wanted.select("chunk", "pair").join(odd, "pair").select(F.lit(PAIRS).alias("kind"), "chunk", *[F.lit(None).cast(coded.schema[c].dataType).alias(c) for c in figures], "pair", "n")
+    figures = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "odd", "n_best", "count_sum"]
+    kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, odd binary, n_best long, count_sum long"
+    docs_of = coded.filter(f"kind = {DOCUMENT}").select("kind", "chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "odd").mapInArrow(summed, f"kind int, chunk long, {kinds}")
+    rows = docs_of.select("*", *[F.lit(None).cast("long").alias(c) for c in ("pair", "n")])
+    told = wanted.select("chunk", "pair").join(odd, "pair").select(F.lit(PAIRS).alias("kind"), "chunk", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in figures], "pair", "n")
     dealt = rows.union(told).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk")
     return dealt.mapInArrow(finish, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

@@ -65,7 +65,7 @@ class PieceEncoder:
     special_as_text they are ordinary text.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,6 +85,7 @@ class PieceEncoder:
         self.by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.mark = self.by_word.encode(BYTE_CHARACTERS[10]).ids[0]
         self.known: dict[bytes, bytes] = {}
+        self.remembered = remembered
 
     def learn(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pieces that aren't known yet."""
@@ -162,7 +163,7 @@ class PieceEncoder:
             found[k] = x
             if len(names[k]) <= LONGEST:
                 known[names[k]] = x
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             self.known = {p: x for p, x in zip(names, found, strict=True) if len(p) <= LONGEST}
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids, begin = np.frombuffer(b"".join(found), np.uint32), np.cumsum(size) - size
