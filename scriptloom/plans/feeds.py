@@ -118,16 +118,6 @@ def _(spark, d):
     return table(spark, d, "events").orderBy("event_id").limit(100).select("event_id")
 
 
-@query("sql_02_trigram_search", DOCS + "SELECT id FROM samples WHERE contains(lower(content), 'license')")
-def _(spark, d):
-    """Texts that have a word: by the trigrams that it must have, then by the word itself."""
-    needle = "license"
-    grams = [needle[i : i + 3] for i in range(len(needle) - 2)]
-    low = F.lower("content")
-    has = F.forall(F.array(*map(F.lit, grams)), lambda g: F.contains(low, g))
-    return samples(spark, d).filter(has).filter(F.contains(low, F.lit(needle))).select("id")
-
-
 @query("sql_02_trigram_counts", DOCS + "SELECT id, len(list_distinct(list_transform(range(1, length(content) - 1), lambda i: substr(lower(content), i, 3))))::INT AS trigrams FROM samples")
 def _(spark, d):
     return samples(spark, d).select("id", F.size(src.trigrams(F.col("content"))).alias("trigrams"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed import KeyedTable
+from ..operators.textindex import TextIndex
 from ..registry import query
 from ..sources import schemas
 from ..sources.samples import SAMPLES_SQL, SCANS_SQL, samples, scans, table
@@ -126,3 +128,14 @@ def refreshed_statistics(spark: SparkSession, d: str) -> DataFrame:
 def _(spark, d):
     """Statistics refreshed twice by the same commits as any write."""
     return refreshed_statistics(spark, d)
+
+
+NEEDLES = ["license", "qzxqzx", "the ", "PASSWORD", "of"]
+
+
+@query("sql_02_trigram_search", DOCS + "SELECT needle, id FROM samples, (SELECT unnest(" + repr(NEEDLES) + ") AS needle) WHERE contains(lower(content), lower(needle))")
+def _(spark, d):
+    """Texts that hold each needle: by the trigram index, but for the needle of two characters."""
+    made = TextIndex.build(samples(spark, d).select("id", "content"), folder(spark, "trigrams"))
+    hits = [made.search(n).select(F.lit(n).alias("needle"), "id") for n in NEEDLES]
+    return functools.reduce(DataFrame.unionByName, hits)
