@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import code, dedup, metrics, store
+from ..operators import code, dedup, metrics, store, vectorindex
 from ..operators import vectors as v
 from ..registry import query
 from ..functions.text import BOOSTED_WORDS
@@ -19,9 +19,17 @@ _SCORED = f"""WITH {VECTORS_SQL}, n AS (SELECT *, {_NORM} AS norm FROM vectors),
  scored AS (SELECT q.vec_id AS query_id, q.label AS query_label, u.vec_id, u.db_id, u.chunk_index, u.label, list_dot_product(q.v, u.v) AS score FROM u, u q WHERE q.vec_id % 100 = 0)"""
 
 
+#: The most hits of one label that any query here looks at.
+POOL = 50
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = vectors(spark, d)
-    return v.scored(rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows)
+    """The best of each query and label, as many as any ranking here needs."""
+    return vectorindex.best(asked(spark, d), vectors(spark, d), POOL, per="label")
 
 
 def _rank(rows: str, k: int, per: str = "query_id") -> str:

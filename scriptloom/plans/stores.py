@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators.keyed import KeyedTable
 from ..operators.textindex import TextIndex
+from ..operators.vectorindex import VectorIndex
 from ..registry import query
 from ..sources import schemas
-from ..sources.samples import SAMPLES_SQL, SCANS_SQL, samples, scans, table
+from ..sources.samples import SAMPLES_SQL, SCANS_SQL, samples, scans, table, vectors
 from ..storage import shared_dir
 from ..streaming import scan_log
+from .search import _SCORED, _rank, asked
 
 DOCS = f"WITH {SAMPLES_SQL} "
 
@@ -139,3 +141,17 @@ def _(spark, d):
     made = TextIndex.build(samples(spark, d).select("id", "content"), folder(spark, "trigrams"))
     hits = [made.search(n).select(F.lit(n).alias("needle"), "id") for n in NEEDLES]
     return functools.reduce(DataFrame.unionByName, hits)
+
+
+@query("vec_23_index_exact", f"{_SCORED} SELECT query_id, vec_id, label, round(score, 6) AS score FROM {_rank('scored', 10)}")
+def _(spark, d):
+    """The collection as an index, all its cells searched."""
+    made = VectorIndex.build(vectors(spark, d), folder(spark, "vectors"))
+    return made.search(asked(spark, d), 10, exact=True).select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("vec_23_index_hits")
+def _(spark, d):
+    """The nearest 32 cells searched by codes, the best hits scored exactly; recall is measured in the tests."""
+    made = VectorIndex.build(vectors(spark, d), folder(spark, "vectors"))
+    return made.search(asked(spark, d), 10, probes=32).select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
