@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,37 +70,71 @@ def greedy_dropped(pairs: DataFrame) -> DataFrame:
 
 def greedy_jaccard(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Rows that stay, after exact dedup; rows without tokens stay. From 1.0 on, exact dedup alone."""
-    once = exact(rows)
-    return once if threshold >= 1 else once.join(greedy_dropped(near_pairs(once, threshold)), "id", "left_anti")
+    return two_stage(rows, "exact" if threshold >= 1 else "jaccard", threshold)
 
 
-def permuted(hashes: str, k: int) -> Column:
-    """The least of an array of hashes under the k-th permutation. (A lambda's second parameter would be the element's place.)"""
-    return F.array_min(F.transform(hashes, lambda x: F.xxhash64(F.lit(k), x)))
+#: Rows of a band's bucket that meet in one task; larger buckets are compared block against block.
+BLOCK = 2000
 
 
 def minhash(rows: DataFrame, *, bands: int = 16, width: int = 8, id: str = "id", content: str = "content") -> DataFrame:
-    """(id, band, value): banded MinHash signatures of token sets: 128 permutations. Sets as similar as 0.85 share a band
-    with a chance of 0.994."""
+    """(id, band, value): banded MinHash signatures of token sets: 128 permutations (multiply, add, and a finaliser), all in
+    one pass with numpy. Sets as similar as 0.85 share a band with a chance of 0.994. Rows without tokens have none."""
     tokens = F.transform(token_set(F.col(content)), lambda x: F.xxhash64(x))
-    sets = rows.select(F.col(id).alias("id"), tokens.alias("tokens")).filter(F.size("tokens") > 0).select("id", *(permuted("tokens", k).alias(f"h{k}") for k in range(bands * width)))
-    made = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*(f"h{b * width + r}" for r in range(width))).alias("value")) for b in range(bands)))
-    return sets.select("id", F.explode(made).alias("m")).select("id", "m.band", "m.value")
+    sets = rows.select(F.col(id).alias("id"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
+    chance = np.random.default_rng(42)
+    times, more = (chance.integers(0, 1 << 63, bands * width, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("tokens")
+            flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            first = column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
+            least = np.empty((bands * width, batch.num_rows), np.uint64)
+            for k in range(bands * width):
+                x = flat * times[k] + more[k]
+                least[k] = np.minimum.reduceat(x ^ x >> np.uint64(32), first)
+            value = np.zeros((bands, batch.num_rows), np.uint64)
+            for k in range(width):
+                value = (value ^ least[k::width]) * np.uint64(0x9E3779B97F4A7C15)
+                value ^= value >> np.uint64(29)
+            ids = pa.concat_arrays([batch.column("id")] * bands)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(value.reshape(-1).view(np.int64))], ["id", "band", "value"])
+
+    return sets.mapInArrow(sign, "id long, band int, value long")
 
 
 def minhash_pairs(rows: DataFrame, threshold: float, **how) -> DataFrame:
-    """Pairs that share a band and whose sets are similar enough. Exact copies should be gone: a band's rows meet in pairs."""
-    m = minhash(rows, **how)
-    pairs = m.alias("a").join(m.alias("b"), ["band", "value"]).filter("a.id < b.id").select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
-    sets = rows.select("id", token_set(F.col("content")).alias("t"))
-    return pairs.join(sets.toDF("i", "ti"), "i").join(sets.toDF("j", "tj"), "j").filter(jaccard(F.col("ti"), F.col("tj")) >= threshold).select("i", "j")
+    """Pairs that share a band and whose sets are similar enough. Rows of equal sets should be one: a bucket's rows meet in pairs."""
+    sets = stored(rows.select("id", "content", token_set(F.col("content")).alias("t")))
+    m = stored(minhash(sets, **how))
+    size = m.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    met = m.join(size, ["band", "value"]).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("band", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id")
+    # two blocks meet once; of a block with itself all pairs, else pairs between the two
+    a, b = met.withColumnsRenamed({"id": "i", "mine": "mi"}), met.withColumnsRenamed({"id": "j", "mine": "mj"})
+    pairs = a.join(b, ["band", "value", "x", "y"]).filter("i < j and (x = y or mi <> mj)").select("i", "j").distinct()
+    only = sets.select("id", "t")
+    return pairs.join(only.toDF("i", "ti"), "i").join(only.toDF("j", "tj"), "j").filter(jaccard(F.col("ti"), F.col("tj")) >= threshold).select("i", "j")
+
+
+def one_of_equal_sets(rows: DataFrame) -> DataFrame:
+    """Of rows of one token set the first: a scan in order keeps no other, as whatever drops the first drops them all.
+    Rows without tokens stay each."""
+    named = rows.withColumn("_set", F.sha2(F.array_join(F.array_sort(token_set(F.col("content"))), " "), 256)).withColumn("_full", F.size(token_set(F.col("content"))) > 0)
+    first = named.filter("_full").groupBy("_set").agg(F.min("id").alias("id")).withColumn("_first", F.lit(True))
+    return named.join(first, ["_set", "id"], "left").filter("not _full or _first").drop("_set", "_full", "_first")
 
 
 def two_stage(rows: DataFrame, method: str = "auto", threshold: float = 0.85) -> DataFrame:
-    """Exact dedup, then jaccard, lsh, or by the number of rows (auto: lsh from 1,000); other methods stop at exact."""
+    """Exact dedup, then jaccard (also auto: no link is lost) or lsh (links of sets as similar as 0.85 are found with a
+    chance of 0.994); other methods stop at exact. Rows without tokens stay."""
     once = exact(rows)
-    if method == "auto":
-        method = "lsh" if once.count() >= 1000 else "jaccard"
-    if method == "jaccard":
-        return once.join(greedy_dropped(near_pairs(once, threshold)), "id", "left_anti")
-    return once.join(greedy_dropped(minhash_pairs(once, threshold)), "id", "left_anti") if method == "lsh" else once
+    if method not in ("auto", "jaccard", "lsh"):
+        return once
+    once = stored(one_of_equal_sets(once))
+    pairs = minhash_pairs(once, threshold) if method == "lsh" else near_pairs(once, threshold)
+    return once.join(greedy_dropped(pairs), "id", "left_anti")
