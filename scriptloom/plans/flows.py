@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as t
 from ..operators import chunking, dedup, metrics, quality, sampling
+from ..operators.stepcache import StepCache
 from ..registry import query
-from ..sources.samples import SAMPLES_SQL, samples, table
+from ..sources.samples import SAMPLES_SQL, samples, samples_of, table
 from .texts import _CUT, _HEAD, _TAIL, _TOKENS, _VALID, ENTROPY, strip
 
 
@@ -70,27 +71,62 @@ class Settings:
 
 def curated(spark: SparkSession, sf_dir: str, s: Settings | None = None) -> DataFrame:
     """Samples that pass validation, the first of each text, with features."""
-    s = s or Settings()
-    rows = samples(spark, sf_dir)
+    return curated_of(samples(spark, sf_dir), s or Settings())
+
+
+def curated_of(rows: DataFrame, s: Settings) -> DataFrame:
     rows = rows.withColumn("reason", quality.validation_reason(F.col("content"), F.col("label"), min_length=s.min_length, max_length=s.max_length, max_comments=s.max_comments)).filter("reason is null").drop("reason")
     rows = dedup.exact(rows)
     c = F.col("content")
     return rows.withColumn("entropy", t.entropy(c)).withColumn("network_apis", t.words_in(c, t.NETWORK)).withColumn("suspicious", t.words_in(c, t.SUSPICIOUS))
 
 
-def training_rows(spark: SparkSession, sf_dir: str, s: Settings | None = None) -> DataFrame:
-    """part (train or test) and the prompt of each curated sample: split first, then variants and balance for training alone."""
-    s = s or Settings()
-    parts = sampling.split(curated(spark, sf_dir, s).select("id", "content", "label", "source"), s.test_fraction)
+def _split(rows: DataFrame, fraction: float) -> DataFrame:
+    return sampling.split(rows.select("id", "content", "label", "source"), fraction)
+
+
+def _enlarged(parts: DataFrame, variants: int) -> DataFrame:
+    """Training rows with variants; variants of 0 leaves the rows as they are."""
     train = parts.filter("part = 'train'").drop("part")
-    if s.on("augment"):
-        train = sampling.augmented(train, s.variants).withColumn("id", F.coalesce("id", t.chunk_id(F.col("parent_id").cast("string"), F.col("copy")))).select("id", "content", "label", "source")
-    if s.on("balance") and s.balance != "none":
-        train = {"undersample": sampling.undersample, "oversample": sampling.oversample, "hybrid": sampling.hybrid}[s.balance](train, s.balance_ratio)
+    if not variants:
+        return train
+    return sampling.augmented(train, variants).withColumn("id", F.coalesce("id", t.chunk_id(F.col("parent_id").cast("string"), F.col("copy")))).select("id", "content", "label", "source")
+
+
+def _balanced(train: DataFrame, how: str, ratio: float) -> DataFrame:
+    return train if how == "none" else {"undersample": sampling.undersample, "oversample": sampling.oversample, "hybrid": sampling.hybrid}[how](train, ratio)
+
+
+def _prompts(train: DataFrame, parts: DataFrame) -> DataFrame:
     both = train.select("id", "content", "label", F.lit("train").alias("part")).unionByName(parts.filter("part = 'test'").select("id", "content", "label", "part"))
     return both.select("id", "part", "label", t.training_prompt(F.col("content"), F.col("label")).alias("text"))
 
 
+def _curated_rows(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    return curated_of(samples_of(documents, labels), settings).select("id", "content", "label", "source")
+
+
+def cached_training_rows(spark: SparkSession, sf_dir: str, cache: StepCache, s: Settings | None = None) -> DataFrame:
+    """training_rows() step by step through a cache: a step runs again if its code, settings or inputs have changed, and so
+    does what follows it."""
+    s = s or Settings()
+    inputs = [cache.source(table(spark, sf_dir, name)) for name in ("documents", "labels")]
+    rules = {f: getattr(s, f) for f in ("min_length", "max_length", "max_comments")}
+    kept = cache.step("curate", _curated_rows, *inputs, settings=Settings(**rules))
+    parts = cache.step("split", _split, kept, fraction=s.test_fraction)
+    train = cache.step("augment", _enlarged, parts, variants=s.variants if s.on("augment") else 0)
+    even = cache.step("balance", _balanced, train, how=s.balance if s.on("balance") else "none", ratio=s.balance_ratio)
+    return cache.step("prompt", _prompts, even, parts).rows
+
+
+def training_rows(spark: SparkSession, sf_dir: str, s: Settings | None = None) -> DataFrame:
+    """part (train or test) and the prompt of each curated sample: split first, then variants and balance for training alone."""
+    s = s or Settings()
+    parts = _split(curated(spark, sf_dir, s), s.test_fraction)
+    train = _enlarged(parts, s.variants if s.on("augment") else 0)
+    return _prompts(_balanced(train, s.balance if s.on("balance") else "none", s.balance_ratio), parts)
+
+
 def analysed(requests: DataFrame, examples: DataFrame) -> DataFrame:
     """A batch of scripts (id, content) to prompts: refused if blank or too long; the examples of malicious patterns (a few
     rows: code, label) stand before each."""

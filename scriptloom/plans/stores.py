@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed import KeyedTable
+from ..operators.stepcache import StepCache
 from ..operators.textindex import TextIndex
 from ..operators.vectorindex import VectorIndex
 from ..registry import query
@@ -16,6 +17,7 @@ from ..sources import schemas
 from ..sources.samples import SAMPLES_SQL, SCANS_SQL, samples, scans, table, vectors
 from ..storage import shared_dir
 from ..streaming import scan_log
+from . import flows
 from .search import _SCORED, _rank, asked
 
 DOCS = f"WITH {SAMPLES_SQL} "
@@ -132,6 +134,15 @@ def _(spark, d):
     return refreshed_statistics(spark, d)
 
 
+@query("str_05_cached_training_rows", flows._TRAINING)
+def _(spark, d):
+    """The training rows through a step cache, run twice: the second time every step is read."""
+    cache = StepCache(spark, folder(spark, "steps"))
+    flows.cached_training_rows(spark, d, cache)
+    again = StepCache(spark, cache.folder)
+    return flows.cached_training_rows(spark, d, again).select("id", "part", "label", F.md5("text").alias("digest"))
+
+
 NEEDLES = ["license", "qzxqzx", "the ", "PASSWORD", "of"]
 
 

@@ -18,8 +18,11 @@ def label_of(flag: Column) -> Column:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, content, label, source, lang, content_hash: documents with their labels."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return samples_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def samples_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = documents.join(labels.select("doc_id", "toxic"), "doc_id", "left")
     return rows.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), label_of(F.col("toxic")).alias("label"), "source", "lang", F.sha2("text", 256).alias("content_hash"))
 
 
