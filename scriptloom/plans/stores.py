@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,10 @@ from ..operators.stepcache import StepCache
 from ..operators.textindex import TextIndex
 from ..operators.vectorindex import VectorIndex
 from ..registry import query
-from ..sources import schemas
+from ..sources import paged, schemas
 from ..sources.samples import SAMPLES_SQL, SCANS_SQL, samples, scans, table, vectors
 from ..storage import shared_dir
-from ..streaming import scan_log
+from ..streaming import alerts, scan_log
 from . import flows
 from .search import _SCORED, _rank, asked
 
@@ -143,6 +145,58 @@ def _(spark, d):
     return flows.cached_training_rows(spark, d, again).select("id", "part", "label", F.md5("text").alias("digest"))
 
 
+def _recorded(spark: SparkSession, d: str) -> str:
+    """All samples as a feed of pages, each with the first keyword that it holds."""
+    paged.register(spark)
+    words = ("license", "token", "password", "the")
+    keyword = F.coalesce(*(F.when(F.contains(F.lower("content"), F.lit(w)), w) for w in words))
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60), "yyyy-MM-dd HH:mm:ss")
+    where = folder(spark, "feed")
+    paged.record(samples(spark, d).select("id", keyword.alias("keyword"), "source", at.alias("published"), "content"), where, 100)
+    return where
+
+
+_FIRST = "CASE WHEN contains(lower(content), 'license') THEN 'license' WHEN contains(lower(content), 'token') THEN 'token' WHEN contains(lower(content), 'password') THEN 'password' WHEN contains(lower(content), 'the') THEN 'the' END"
+
+
+@query("src_06_paged_feed", f"{DOCS}, k AS (SELECT id, {_FIRST} AS keyword, to_timestamp(1700000000 + id * 60) AS moment, md5(content) AS digest FROM samples) SELECT id, keyword, digest FROM k WHERE keyword = 'the' AND moment >= to_timestamp(1700012000) AND moment < to_timestamp(1700048000)")
+def _(spark, d):
+    """One keyword of a paged feed between two times: both conditions go to the reader."""
+    low, high = (F.date_format(F.timestamp_seconds(F.lit(x)), "yyyy-MM-dd HH:mm:ss") for x in (1_700_012_000, 1_700_048_000))
+    rows = spark.read.format("paged_feed").option("path", _recorded(spark, d)).load()
+    return rows.filter((F.col("keyword") == "the") & (F.col("published") >= low) & (F.col("published") < high)).select("id", "keyword", F.md5("content").alias("digest"))
+
+
+@query("src_28_retried_feed", f"{DOCS} SELECT source, count(*) AS n, sum(length(content))::BIGINT AS characters FROM samples GROUP BY source")
+def _(spark, d):
+    """A feed whose page 1 fails twice is read whole."""
+    where = _recorded(spark, d)
+    (Path(where.removeprefix("file://").removeprefix("file:")) / "fail-1").write_text("2")
+    rows = spark.read.format("paged_feed").options(path=where, initialDelay="0.01").load()
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("characters"))
+
+
+_SCAN = "SELECT user_id::VARCHAR AS script_hash, ts, event_type = 'error' AS failed, value > 5 AS predicted FROM events"
+
+
+@query("str_03_recall_alerts", f"""WITH e AS ({_SCAN}), w AS (SELECT script_hash, (epoch_ms(ts) // 604800000)::BIGINT AS week, count(*) AS scans, avg(predicted::INT) AS value FROM e GROUP BY ALL)
+ SELECT script_hash, week, scans, round(value, 6) AS value FROM w WHERE value < 0.9""")
+def _(spark, d):
+    """Weekly recall of each script from the stateful stream: all events arrive, and one later scan ends the last week."""
+    alerts.use_state_store(spark)
+    e = table(spark, d, "events")
+    shape = e.select(F.col("user_id").cast("string").alias("script_hash"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"), (F.col("value") > 5).alias("predicted"), F.lit(True).alias("truth"))
+    last = shape.agg(F.max("ts")).select(F.lit("").alias("script_hash"), (F.col("max(ts)") + F.expr("INTERVAL 20 DAYS")).alias("ts"), F.lit(False).alias("failed"), F.lit(True).alias("predicted"), F.lit(True).alias("truth"))
+    arrived, out, checkpoint = (folder(spark, n) for n in ("arrived", "alerts", "checkpoint"))
+    for rows in (shape, last, last):
+        rows.write.mode("append").parquet(arrived)
+        log = spark.readStream.schema(shape.schema).parquet(arrived)
+        found = alerts.script_alerts(log, forget=datetime.timedelta(days=3650))
+        found.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    told = spark.read.schema(alerts.OUTPUT).parquet(out).filter("kind = 'recall'")
+    return told.select("script_hash", (F.unix_millis("at") / alerts.WEEK_MS - 1).cast("long").alias("week"), "scans", F.round("value", 6).alias("value"))
+
+
 NEEDLES = ["license", "qzxqzx", "the ", "PASSWORD", "of"]
 
 
