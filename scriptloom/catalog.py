@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import registry
 
-for _module in ("relational", "texts", "search", "flows", "feeds", "stores"):
+for _module in ("relational", "texts", "search", "flows", "feeds", "stores", "ingest"):
     importlib.import_module(f"scriptloom.plans.{_module}")
 
 

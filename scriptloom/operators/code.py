@@ -276,22 +276,63 @@ def _opened(z: zipfile.ZipFile, i: zipfile.ZipInfo) -> bytes:
     return b""
 
 
-def members(raw: bytes | None, most: int = 10 << 20) -> list[dict]:
-    """(name, text) of the script files in a ZIP or tar archive: text of more than 50 characters without NUL."""
+def members(raw: bytes | None) -> list[dict]:
+    """(name, text) of the script files in a ZIP or tar archive, of any size: text of more than 50 characters without NUL."""
     found: list[tuple[str, bytes]] = []
     try:
         if raw and zipfile.is_zipfile(io.BytesIO(raw)):
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                found = [(i.filename, _opened(z, i)) for i in z.infolist() if not i.is_dir() and i.file_size <= most]
+                found = [(i.filename, _opened(z, i)) for i in z.infolist() if not i.is_dir()]
         elif raw:
             with tarfile.open(fileobj=io.BytesIO(raw)) as z:
-                found = [(i.name, z.extractfile(i).read()) for i in z if i.isfile() and i.size <= most]
+                found = [(i.name, z.extractfile(i).read()) for i in z if i.isfile()]
     except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError, RuntimeError):
         return []
     texts = [(n, b.decode("utf-8", "ignore")) for n, b in found if n.lower().endswith(MEMBER_SUFFIXES)]
     return [{"name": n, "content": c} for n, c in texts if len(c) > 50 and "\0" not in c]
 
 
+@F.pandas_udf(T.BinaryType())
+def first_member(raw: pd.Series) -> pd.Series:
+    """The bytes of the first file of a ZIP archive that can be read, with a known password or none; null if there is none."""
+
+    def one(x: bytes | None) -> bytes | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(x or b""))) as z:
+                for i in z.infolist():
+                    data = b"" if i.is_dir() else _opened(z, i)
+                    if data or not (i.is_dir() or i.file_size):
+                        return data
+        except (zipfile.BadZipFile, EOFError, OSError, RuntimeError, NotImplementedError):
+            pass
+        return None
+
+    return raw.map(one)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def package_files(raw: pd.Series, most: pd.Series) -> pd.Series:
+    """The texts of an archive's first `most` Python files (tar, else ZIP) that have more than 100 characters without outer
+    blanks; none if it can't be read."""
+
+    def one(x: bytes | None, n: int) -> list[str]:
+        data = bytes(x or b"")
+        try:
+            with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as z:
+                files = [z.extractfile(i).read() for i in [m for m in z.getmembers() if m.isfile() and m.name.endswith(".py")][:n]]
+        except tarfile.ReadError:
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    files = [z.read(i) for i in [m for m in z.namelist() if m.endswith(".py")][:n]]
+            except (zipfile.BadZipFile, EOFError, OSError, RuntimeError):
+                return []
+        except (tarfile.TarError, EOFError, OSError):
+            return []
+        return [c for c in (f.decode("utf-8", "ignore") for f in files) if len(c.strip()) > 100]
+
+    return pd.Series([one(*r) for r in zip(raw, most, strict=True)])
+
+
 @F.pandas_udf(_MEMBERS)
 def archive_members(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: members(bytes(x)) if x is not None else [])

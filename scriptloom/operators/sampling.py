@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import quality
 
 TECHNIQUES = ["base64", "hex", "rot13", "rename_vars", "split_strings", "add_junk"]
 NATIVE = ["base64", "hex", "rot13", "add_junk"]
@@ -124,3 +125,14 @@ def class_weights(rows: DataFrame, how: str = "inverse_frequency") -> DataFrame:
 def holdout(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """rows with part: the first n of each label in hash order are query, the rest train."""
     return hash_rank(rows, seed, "label").withColumn("part", F.when(F.col("rank") <= n, "query").otherwise("train")).drop("rank")
+
+
+def from_points(points: DataFrame, samples: DataFrame, language: str = "python") -> DataFrame:
+    """Samples (content, label, source, metadata) of the documents whose first chunk, or only one, is among the points: fetched
+    by id, sanitised (what is refused goes) and given a header of their context. Points without an id are of no document, and
+    neither are those of id 0."""
+    ids = points.filter("db_id is not null and db_id <> 0 and (chunk_index = 0 or chunk_index is null)").select(F.col("db_id").alias("id")).distinct()
+    clean = quality.sanitized(samples.join(ids, "id", "left_semi")).filter("reason is null")
+    told = {"language": F.lit(language), "source": F.col("source"), "label": F.col("label")} | ({"file_path": F.col("path")} if "path" in samples.columns else {})
+    kept = F.create_map(F.lit("db_id"), F.col("id").cast("string"), F.lit("original_source"), F.col("source"))
+    return clean.select(t.with_context(F.col("clean"), "structured", **told).alias("content"), "label", F.lit("qdrant_code_samples").alias("source"), kept.alias("metadata"))

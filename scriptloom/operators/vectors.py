@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import BOOSTED_WORDS, words_in
+from .vectorindex import best
 
 # Least scores by mode.
 THRESHOLDS = {"default": 0.30, "strict": 0.45, "lenient": 0.15}
@@ -43,6 +44,13 @@ def scored(queries: DataFrame, vectors: DataFrame, blocks: int | None = None) ->
     return v.join(q, ["block", "cell"]).withColumn("score", dot(F.col("q"), F.col("v"))).drop("block", "cell", "q", "v")
 
 
+def filtered_search(queries: DataFrame, points: DataFrame, where: dict[str, str], k: int = 5, least: float = THRESHOLDS["default"]) -> DataFrame:
+    """The k best points of each query among those whose columns have the given values, all of them, from a least score on."""
+    for name, value in where.items():
+        points = points.filter(F.col(name) == value)
+    return best(queries, points, k, least=least)
+
+
 def top_k(scores: DataFrame, k: int, *, least: float | None = None, per: list[str] = ["query_id"], id: str = "vec_id") -> DataFrame:
     """The k best of each query (score, then id), ranked from 1."""
     rows = scores.filter(F.col("score") >= least) if least is not None else scores

@@ -38,23 +38,12 @@ def _(spark, d):
     return scripts(spark, d).select("id", F.col("path").endswith(".py").alias("extension"), ((size > 0) & (size <= 10 << 20)).alias("size"))
 
 
-@query("flt_29_processed", DOCS + "SELECT id, FALSE AS marked FROM samples")
-def _(spark, d):
-    """Whether the training prompt holds the marker that the processed-row rule asks for (the template never writes it)."""
-    return samples(spark, d).select("id", F.contains(t.training_prompt(F.lit(""), F.col("label")), F.lit("Classification:")).alias("marked"))
-
-
 @query("src_15_code_feed")
 def _(spark, d):
     c = F.col("content")
     return scripts(spark, d).filter((F.length(c) > 100) & (t.code_density(c) >= 0.1)).filter(code.parses(c)).select("id", "source", F.length(c).alias("size"))
 
 
-@query("src_19_fallback", DOCS + "SELECT id FROM samples WHERE lang = 'en' ORDER BY id LIMIT 25")
-def _(spark, d):
-    return samples(spark, d).filter("lang = 'en'").orderBy("id").limit(25).select("id")
-
-
 @query("src_20_first_sdist", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'https://example.org/' || doc_id || '.tar.gz' END AS url FROM documents")
 def _(spark, d):
     link = lambda kind, end: F.struct(kind.alias("packagetype"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string"), F.lit(end)).alias("url"))
@@ -123,14 +112,6 @@ def _(spark, d):
     return samples(spark, d).select("id", F.size(src.trigrams(F.col("content"))).alias("trigrams"))
 
 
-@query("smp_10_pattern_samples", f"WITH {SAMPLES_SQL}, b AS (SELECT item_id, trim(substr(text, 1, 60)) AS description FROM benchmark) SELECT source, label, count(*) AS n FROM (SELECT source, label FROM samples UNION ALL SELECT 'qdrant', 'malicious' FROM b WHERE description <> '') GROUP BY source, label")
-def _(spark, d):
-    """Samples, and knowledge rows with a description as samples beside them."""
-    rows = table(spark, d, "benchmark").select(F.trim(F.substring("text", 1, 60)).alias("description"), F.substring("text", 61, 40).alias("pattern")).filter("description <> ''")
-    more = rows.select(t.pattern_sample(F.col("description"), F.col("pattern"), F.lit(None).cast("string"), F.lit("HIGH")).alias("content"), F.lit("malicious").alias("label"), F.lit("qdrant").alias("source"))
-    return src.merged(samples(spark, d), more).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("snk_02_file_names", CODE + "SELECT source || '_' || id || '_' || replace(path, '/', '_') AS name, length(content)::INT AS size FROM scripts")
 def _(spark, d):
     return scripts(spark, d).select(store.file_name(F.col("source"), F.col("id").cast("string"), F.col("path")).alias("name"), F.length("content").alias("size"))

@@ -74,11 +74,6 @@ def _(spark, d):
     return _rounded(v.balanced(scored(spark, d), 10, 0.0).select("query_id", "vec_id", "label", "score"), "score")
 
 
-@query("vec_07_by_severity", "SELECT count(*) AS n, toxic AS severity FROM labels WHERE quality = 1 GROUP BY toxic")
-def _(spark, d):
-    return table(spark, d, "labels").filter("quality = 1").groupBy(F.col("toxic").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def values_sql(texts: list[str]) -> str:
     return "(VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in texts) + ")"
 
@@ -184,11 +179,6 @@ def _(spark, d):
     return vectors(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("label") == "malicious").alias("malicious"), F.count_if(F.col("label") == "benign").alias("benign"))
 
 
-@query("vec_19_id_split", f"WITH {VECTORS_SQL} SELECT label, count(*) AS n, count(DISTINCT db_id) AS documents, round(avg((chunk_index = 0)::INT) * 100, 6) AS first_percent FROM vectors GROUP BY label")
-def _(spark, d):
-    return vectors(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("db_id").alias("documents"), F.round(F.avg((F.col("chunk_index") == 0).cast("double")) * 100, 6).alias("first_percent"))
-
-
 @query("vec_20_scroll", f"WITH {VECTORS_SQL} SELECT vec_id, db_id, chunk_index, label FROM vectors")
 def _(spark, d):
     return vectors(spark, d).drop("v")

@@ -226,3 +226,31 @@ def trigrams(c: Column) -> Column:
     low = F.lower(c)
     n = F.length(c)
     return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def fallback_rows(spark: SparkSession) -> DataFrame:
+    """The fixed scripts as a feed's last resort: id (from 0), content, label."""
+    return spark.createDataFrame([(k, c) for k, (c, _, _) in enumerate(EXPLOIT_SAMPLES)], "id long, content string").withColumn("label", F.lit("malicious"))
+
+
+def or_fallback(feed: DataFrame, fixed: DataFrame, count: int) -> DataFrame:
+    """The feed's first `count` rows by id; of a feed without rows, as many of the fixed ones as there are, up to `count`."""
+    some = feed.limit(1).select(F.lit(1).alias("_some"))
+    rest = fixed.orderBy("id").limit(count).withColumn("_some", F.lit(1)).join(some, "_some", "left_anti").drop("_some")
+    return feed.orderBy("id").limit(count).unionByName(rest)
+
+
+def labelled_folders(spark: SparkSession, malicious: str | None = None, benign: str | None = None, pattern: str = "*.py") -> tuple[DataFrame, DataFrame]:
+    """Files below two folders as samples (content, label of the folder, source the file's path), if they pass the strict
+    checks in order (size, encoding, syntax, code density); and how many of each label were refused for which reason."""
+    from ..functions import text as t
+    from ..operators import code, quality
+
+    found = [script_files(spark, path, pattern).withColumn("label", F.lit(label)) for path, label in ((malicious, "malicious"), (benign, "benign")) if path]
+    if not found:
+        raise ValueError("no folder is given")
+    c = F.col("content")
+    reason = quality._first(((F.col("length") == 0) | (F.col("length") > 10 << 20), "size"), (c.isNull(), "encoding"), (~code.parses(c), "syntax"), (t.code_density(c) < 0.1, "density"))
+    judged = merged(*found).withColumn("reason", reason)
+    taken = judged.filter("reason is null").select("content", "label", F.col("path").alias("source"), F.col("length").alias("file_size"))
+    return taken, judged.filter("reason is not null").groupBy("label", "reason").agg(F.count(F.lit(1)).alias("n"))
