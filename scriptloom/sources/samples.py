@@ -242,7 +242,8 @@ def or_fallback(feed: DataFrame, fixed: DataFrame, count: int) -> DataFrame:
 
 def labelled_folders(spark: SparkSession, malicious: str | None = None, benign: str | None = None, pattern: str = "*.py") -> tuple[DataFrame, DataFrame]:
     """Files below two folders as samples (content, label of the folder, source the file's path), if they pass the strict
-    checks in order (size, encoding, syntax, code density); and how many of each label were refused for which reason."""
+    checks in order (size, encoding, syntax, code density); and how many of each label were refused for which reason.
+    Spark's readers give no rows for empty files, so these are in neither."""
     from ..functions import text as t
     from ..operators import code, quality
 

@@ -20,7 +20,7 @@ def test_labelled_folders(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     taken, reasons = src.labelled_folders(spark, str(tmp_path / "bad"), str(tmp_path / "good"))
     assert sorted((r.source.rsplit("/", 1)[1], r.label) for r in taken.collect()) == [("a.py", "malicious"), ("g.py", "benign"), ("h.py", "benign")]
-    assert sorted(map(tuple, reasons.collect())) == [("benign", "density", 1), ("benign", "encoding", 1), ("benign", "size", 1), ("malicious", "syntax", 1)]
+    assert sorted(map(tuple, reasons.collect())) == [("benign", "density", 1), ("benign", "encoding", 1), ("malicious", "syntax", 1)]
     with pytest.raises(ValueError):
         src.labelled_folders(spark)
 
