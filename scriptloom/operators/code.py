@@ -12,6 +12,7 @@ import zipfile
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,28 +108,27 @@ def source_lines(code: str, first: int, last: int) -> str:
     return "\n".join(code.split("\n")[first:last])
 
 
+def imports_of(code: str, tree: ast.Module | None) -> str:
+    if tree is None:
+        return "\n".join(re.findall(r"(?m)^(?:from\s+\S+\s+)?import\s+.+$", code))
+    return "\n".join(source_lines(code, n.lineno - 1, n.lineno) for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)))
+
+
+def functions_of(code: str, tree: ast.Module | None) -> list[dict]:
+    """Functions with a security word: their source and line range (from 0, end excluded)."""
+    found = [(source_lines(code, n.lineno - 1, n.end_lineno), n.lineno - 1, n.end_lineno) for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)] if tree else []
+    return [{"code": c, "start": a, "end": b} for c, a, b in found if any(w in c for w in t.SECURITY_WORDS)]
+
+
 @F.pandas_udf(T.StringType())
 def import_lines(code: pd.Series) -> pd.Series:
     """Lines of import statements, in the tree's order; by pattern where there is no tree."""
-
-    def one(x: str | None) -> str:
-        x = x or ""
-        if (tree := parse(x)) is None:
-            return "\n".join(re.findall(r"(?m)^(?:from\s+\S+\s+)?import\s+.+$", x))
-        return "\n".join(source_lines(x, n.lineno - 1, n.lineno) for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)))
-
-    return code.map(one)
+    return code.map(lambda x: imports_of(x or "", parse(x)))
 
 
 @F.pandas_udf(_FUNCTIONS)
 def security_functions(code: pd.Series) -> pd.Series:
-    """Functions with a security word: their source and line range (from 0, end excluded)."""
-    def one(x: str | None) -> list[dict]:
-        tree = parse(x)
-        found = [(source_lines(x, n.lineno - 1, n.end_lineno), n.lineno - 1, n.end_lineno) for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)] if tree else []
-        return [{"code": c, "start": a, "end": b} for c, a, b in found if any(w in c for w in t.SECURITY_WORDS)]
-
-    return code.map(one)
+    return code.map(lambda x: functions_of(x or "", parse(x)))
 
 
 @F.pandas_udf(T.StringType())
@@ -355,28 +355,35 @@ def downloads(name: pd.Series, raw: pd.Series) -> pd.Series:
     return pd.Series([one(*r) for r in zip(name, raw, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def smart_cut(code: pd.Series, imports: pd.Series, functions: pd.Series, most: pd.Series) -> pd.Series:
-    """A long text in parts: imports, functions with security words, the beginning, and the end (three tenths)."""
+# Shares of the whole for the end, of the head for imports and for all parts before the body, the room that
+# marks take, the least body, and the headings.
+END_SHARE, IMPORTS_SHARE, PARTS_SHARE, MARKS, LEAST_BODY = 0.3, 0.3, 0.7, 100, 200
+HEADINGS = {"imports": "# Imports", "function": "# Security Function", "body": "# Code Body"}
+MIDDLE, ENDING = "\n# ... [TRUNCATED] ...\n", "# End of file (Payloads often here)"
+
+
+def cut_smartly(x: str | None, most: int) -> str | None:
+    """A text longer than `most` by its telling parts, from one parse: candidates are ranked, their running lengths say which
+    of them fit before the body, and the end always stays."""
+    if not x or len(x) <= most:
+        return x
+    end = x[-int(most * END_SHARE) :]
+    head, tree = most - len(end), parse(x)
+    imports = imports_of(x, tree)
+    first = [("imports", imports)] if 0 < len(imports) < head * IMPORTS_SHARE else []
+    ranked = first + [("function", f["code"]) for f in functions_of(x, tree)]
+    running = np.cumsum([len(part) for _, part in ranked])
+    fits = [k < len(first) or total < head * PARTS_SHARE for k, total in enumerate(running)]
+    n = (fits + [False]).index(False)
+    room = head - (int(running[n - 1]) if n else 0) - MARKS
+    chosen = ranked[:n] + ([("body", x[:room])] if room > LEAST_BODY else [])
+    out = "\n".join([line for kind, part in chosen for line in (HEADINGS[kind], part)] + [MIDDLE, ENDING, end])
+    if len(out) <= most:
+        return out
+    side = most // 2 - MARKS // 2
+    return f"{x[:side]}\n\n# ... [Truncated {len(x) - most} chars] ...\n\n{x[-side:]}"
 
-    def one(x: str, imp: str, funcs: list, n: int) -> str:
-        if not x or len(x) <= n:
-            return x
-        tail = x[-int(n * 0.3) :]
-        head = n - len(tail)
-        parts = ["# Imports", imp] if imp and len(imp) < head * 0.3 else []
-        used = sum(map(len, parts[1:]))
-        for f in funcs if funcs is not None else []:
-            if used + len(f["code"]) >= head * 0.7:
-                break
-            parts += ["# Security Function", f["code"]]
-            used += len(f["code"])
-        if (room := head - used - 100) > 200:
-            parts += ["# Code Body", x[:room]]
-        out = "\n".join([*parts, "\n# ... [TRUNCATED] ...\n", "# End of file (Payloads often here)", tail])
-        if len(out) <= n:
-            return out
-        keep = n // 2 - 50
-        return f"{x[:keep]}\n\n# ... [Truncated {len(x) - n} chars] ...\n\n{x[-keep:]}"
-
-    return pd.Series([one(*r) for r in zip(code, imports, functions, most, strict=True)])
+
+@F.pandas_udf(T.StringType())
+def smart_cut(code: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([cut_smartly(*r) for r in zip(code, most, strict=True)])

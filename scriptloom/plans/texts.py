@@ -445,7 +445,7 @@ def _(spark, d):
 @query("txt_05_smart_cut")
 def _(spark, d):
     c = F.col("content")
-    return scripts(spark, d).select("id", F.md5(code.smart_cut(c, code.import_lines(c), code.security_functions(c), F.lit(600))).alias("digest"))
+    return scripts(spark, d).select("id", F.md5(code.smart_cut(c, F.lit(600))).alias("digest"))
 
 
 _HEAD = "'\"\"\"' || chr(10) || 'Security Analysis Report' || chr(10) || '------------------------' || chr(10)"

@@ -17,6 +17,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 # What queries that need a parser gave when their results were last checked (test_parsed.py): rows and a digest of them.
 GOLDEN = json.loads((Path(__file__).parent / "golden.json").read_text())
 
+# Whose results other tests hold against brute force.
+ELSEWHERE = {"vec_23_index_hits": "test_vectorindex.py", "src_03_folders": "test_ingest.py"}
+
 
 @pytest.fixture(scope="module")
 def db():
@@ -45,5 +48,7 @@ def test_query(spark, db, name):
     found = catalog.queries()[name](spark, DIR).toPandas()
     if name in catalog.oracle_sql():
         assert rows(found) == rows(db.sql(catalog.oracle_sql()[name]).df())
+    elif name in ELSEWHERE:
+        assert len(found) > 0
     else:
         assert [len(found), digest(found)] == GOLDEN[name]
