@@ -49,11 +49,12 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, block: int
 
     weights gives each source's target; where there are none, they go by the source's count ** power. Sources that
     weights leaves out get the least weight (one quantum), as none is dropped. A null source is a source of its own.
-    A source's documents go by md5 of the key, then the key; rows that repeat a key take neighbouring positions.
+    A source's documents go by md5 of the key, then the key; rows that repeat a key take neighbouring positions. Rows without
+    a key go by md5 of the whole row, so that they are spread like others.
     The table of sources (one row each) is broadcast; it and the period (about `resolution` slots) must fit in memory.
     No rows give no rows. Extra columns are ignored.
     """
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    order = F.coalesce(F.md5(F.col(key).cast("string")), F.md5(F.to_json(F.struct(*docs.columns))), F.md5(F.lit("")))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), order.alias("o"), *([F.struct(*carry).alias("carried")] if carry else [])).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("cell", F.substring("o", 1, CELL_DIGITS))
     cells = rows.select("s", "cell").groupBy("s", "cell").agg(F.count(F.lit(1)).alias("n"))
     ahead = cells.select("s", "cell", (F.sum("n").over(W.partitionBy("s").orderBy("cell")) - F.col("n")).alias("ahead"))
