@@ -20,7 +20,11 @@ from .common import slices
 
 #: Phrases with their labels; those that the base search looks for, and more short notices for the fuzzy search alone.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-MORE_PHRASES = {"gnu lesser general public license": "lgpl", "mozilla public license": "mpl", "bsd license": "bsd", "creative commons attribution": "cc-by", "all rights reserved": "proprietary"}
+MORE_PHRASES = {
+    "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl", "mozilla public license": "mpl", "bsd license": "bsd", "creative commons attribution": "cc-by", "creative commons zero": "cc0",
+    "eclipse public license": "epl", "boost software license": "boost", "european union public licence": "eupl", "artistic license": "artistic", "isc license": "isc", "zlib license": "zlib", "microsoft public license": "ms-pl",
+    "python software foundation license": "psf", "common development and distribution license": "cddl", "open software license": "osl", "all rights reserved": "proprietary",
+}
 #: One edit is allowed for each so many characters.
 CHARS_PER_EDIT = 8
 
