@@ -56,7 +56,7 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end:
     (uint32 bytes).
 
     Documents go by `order` (the key alone if not given; null keys first). A null or empty text is the end id alone.
-    All sequences but the last are full; the last is shorter. Repeated rows are packed once each. Extra columns are
+    Very long texts are encoded whole, in one task. All sequences but the last are full; the last is shorter. Repeated rows are packed once each. Extra columns are
     ignored; no rows give no rows.
     """
     coded = encode_in_order(docs, path or public_tokenizers.path("byte_bpe_50k.json"), end, order or [], key, text)
