@@ -105,9 +105,11 @@ def entropy(c: pd.Series) -> pd.Series:
         key = np.sort(np.repeat(np.arange(b - a), size[a:b]) << 21 | codes)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         n = np.diff(np.append(first, len(key)))
-        total = np.bincount(key[first] >> 21, weights=n * np.log2(n), minlength=b - a)
-        some = size[a:b] > 0
-        out[a:b][some] = np.log2(size[a:b][some]) - total[some] / size[a:b][some]
+        some = np.flatnonzero(size[a:b])
+        parts, rows = n * np.log2(n), key[first] >> 21
+        cut = np.searchsorted(rows, some).tolist()
+        total = np.array([parts[x:y].sum() for x, y in zip(cut, [*cut[1:], len(rows)], strict=True)])
+        out[a:b][some] = np.log2(size[a:b][some]) - total / size[a:b][some]
     return pd.Series(out).where(c.notna().to_numpy())
 
 
