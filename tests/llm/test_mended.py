@@ -85,8 +85,22 @@ def test_very_many_places():
 def test_stored_pcm(docs, codec):  # noqa: F811
     for r in media.store_text_audio(docs, codec=codec).collect():
         kind, block, payload = media.from_wav(bytes(r.media))
-        assert bytes(r.pcm) == media.halved(media.decode(kind, block, payload)).astype("<i2").tobytes()
+        assert bytes(r.pcm) == media.reduced(media.decode(kind, block, payload)).astype("<i2").tobytes()
 
 
-def test_halved():
-    assert media.halved(np.array([0, 10, -3, -4, 7], np.int16)).tolist() == [5, -4, 7]
+def test_reduced():
+    assert media.reduced(np.array([0, 10, -3, -4, 7], np.int16), 2).tolist() == [5, -4, 7]
+    assert media.reduced(np.array([32767, 32767, 32767, 32767, -1, -2], np.int16)).tolist() == [32767, -2]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """They don't meet in one window, and every position is taken once."""
+    from pyspark.sql import functions as F
+
+    from scriptloom.llm import mixing
+
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").cast("string").alias("text"))
+    mixed = mixing.mix(rows, carry=["text"]).select("position", "carried.text").collect()
+    assert sorted(r.position for r in mixed) == list(range(4000)) and len({r.text for r in mixed}) == 4000
+    cells = rows.select(F.substring(F.md5(F.to_json(F.struct("*"))), 1, mixing.CELL_DIGITS).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert cells < 20
