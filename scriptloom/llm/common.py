@@ -127,7 +127,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates hooking to the smallest neighbour and pointer jumping; a vertex sends one row per edge, groups are
     reduced before they are shuffled, and each round is written to the shared folder. Loops and repeated edges do
-    no harm; no edges give no rows. More rounds than given (each at least halves a component's roots) are an error.
+    no harm; no edges give no rows. Components that need more rounds are an error.
     """
     spark = edges.sparkSession
     live = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
