@@ -4,7 +4,8 @@ The index has two tables. Texts are cut into blocks of some megabytes; a block's
 texts' trigrams give postings: for each trigram of a block the numbers of the rows that have it, as differences in bytes
 of seven bits. A frequent trigram so has a row for each block, never one row for all. Postings lie in folders by a hash
 of the trigram, sorted, with a Bloom filter, so a search opens the folders of its trigrams only; texts lie in folders by
-block, so only blocks with candidates are opened, and none if a trigram is absent.
+the task that wrote them, block after block in row groups of a block's size, so only row groups with candidates are read, and none
+if a trigram is absent.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BUCKETS = 64
 RAREST = 4
 #: Postings of a block with more rows than this are dealt by block too, so that no task writes all of a frequent trigram's.
 FREQUENT = 256
+#: The index's own columns of the texts.
+OWN = ("_block", "_at", "_part")
 #: Blocks that are named in the scan's filter; more are joined, and pruned as the scan runs.
 NAMED_BLOCKS = 10_000
 
@@ -94,8 +97,9 @@ class TextIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64()), pa.array(places, pa.int64())], names)
 
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "_block long", "_at long"])
-        rows.mapInArrow(number, schema).write.partitionBy("_block").option("compression", "zstd").parquet(f"{folder}/texts")
-        spark.createDataFrame([(schema,)], "value string").coalesce(1).write.text(f"{folder}/schema")
+        numbered = rows.mapInArrow(number, schema).withColumn("_part", F.shiftright("_block", 32))
+        numbered.write.partitionBy("_part").option("compression", "zstd").option("parquet.block.size", str(BLOCK)).parquet(f"{folder}/texts")
+        spark.createDataFrame([(f"{schema}, _part long",)], "value string").coalesce(1).write.text(f"{folder}/schema")
         made = cls(spark, folder, key, text)
         made._index()
         return made
@@ -168,12 +172,13 @@ class TextIndex:
         has = F.contains(low, F.lower(F.lit(needle)))
         texts = self.texts()
         if len(self.spark.range(1).select(F.lower(F.lit(needle))).first()[0]) < 3:
-            return texts.filter(has).drop("_block", "_at")
+            return texts.filter(has).drop(*OWN)
         found = self.candidates(needle)
         if found is None:
-            return texts.limit(0).drop("_block", "_at")
+            return texts.limit(0).drop(*OWN)
         found = stored(found)
         blocks = found.select("_block").distinct().limit(NAMED_BLOCKS + 1).collect()
         if len(blocks) <= NAMED_BLOCKS:
-            texts = texts.filter(F.col("_block").isin([r[0] for r in blocks])) if blocks else texts.limit(0)
-        return texts.join(found, ["_block", "_at"], "left_semi").filter(has).drop("_block", "_at")
+            named = [r[0] for r in blocks]
+            texts = texts.filter(F.col("_part").isin(sorted({b >> 32 for b in named})) & F.col("_block").isin(named)) if blocks else texts.limit(0)
+        return texts.join(found, ["_block", "_at"], "left_semi").filter(has).drop(*OWN)
