@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
-from ..operators import chunking, code, quality, sampling, store
+from ..operators import chunking, code, quality, sampling, store, textindex
 from ..operators import vectors as v
 from ..registry import query
 from ..sources import samples as src
@@ -109,7 +109,7 @@ def _(spark, d):
 
 @query("sql_02_trigram_counts", DOCS + "SELECT id, len(list_distinct(list_transform(range(1, length(content) - 1), lambda i: substr(lower(content), i, 3))))::INT AS trigrams FROM samples")
 def _(spark, d):
-    return samples(spark, d).select("id", F.size(src.trigrams(F.col("content"))).alias("trigrams"))
+    return samples(spark, d).select("id", textindex.trigram_count(F.lower("content"), F.length("content")).alias("trigrams"))
 
 
 @query("snk_02_file_names", CODE + "SELECT source || '_' || id || '_' || replace(path, '/', '_') AS name, length(content)::INT AS size FROM scripts")
