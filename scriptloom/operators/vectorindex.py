@@ -1,7 +1,7 @@
 """Search among vectors: exact by blocks of queries, and by an inverted file of cells.
 
 Exact search sends the queries to the tasks, in groups of bounded size, and no vector is shuffled: each batch of vectors
-is multiplied with all queries, and only the k best of a batch go on. The index has a cell for each centre of a k-means
+is multiplied with the queries, block by block, and only what comes up to the k best so far goes on. The index has a cell for each centre of a k-means
 run on a bounded sample. Every vector lies in the folder of its nearest centre, with its residual in eight bits a
 dimension beside the full vector. A search ranks the codes of the nearest cells and scores the best of them exactly.
 """
@@ -19,9 +19,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of queries that are sent to the tasks at once; more queries are searched in several passes.
-QUERY_BYTES = 32 << 20
-#: Scores that a task holds at once.
-SCORES = 1 << 22
+QUERY_BYTES = 8 << 20
+#: Values of the column `per` whose best scores so far a task remembers; with more it begins anew, which costs only rows.
+KINDS = 8
+#: Scores that a task holds at once, hits that it scores exactly at once, and vectors that meet the queries together.
+SCORES, HITS, VECTORS = 1 << 21, 1 << 15, 4096
 #: Vectors that the centres are fitted on, at most (a sample by hash of the id), and rounds.
 SAMPLE, ROUNDS, MOST_CELLS = 65_536, 10, 4096
 #: Hits by codes that are scored exactly, for each that is asked for.
@@ -65,11 +67,34 @@ def collected(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column("query_id").to_numpy(), normalised(matrix(table.column("q")))
 
 
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    """For each row (query) which columns can be among its k best: all that come up to the k-th within rounding."""
-    if score.shape[1] <= k:
-        return np.ones(score.shape, bool)
-    return score >= np.partition(score, score.shape[1] - k, axis=1)[:, [-k]] - 1e-9
+def _top(score: np.ndarray, k: int, floor: np.ndarray | None = None) -> np.ndarray:
+    """For each row (query) which columns can be among its k best: all that come up to the k-th, and to a floor, within rounding."""
+    least = np.full(len(score), -np.inf) if floor is None else floor
+    if score.shape[1] > k:
+        least = np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
+    return score >= least[:, None] - 1e-9
+
+
+def _hits(ids: np.ndarray, q: np.ndarray, v: np.ndarray, vec_id: np.ndarray, k: int, least: float | None, kept: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best of v for each query that aren't worse than its k best so far: which query, which vector, score. kept has
+    the scores of the k best so far and is brought up to date. No more than SCORES scores and HITS exact ones are held, but for
+    vectors that tie."""
+    step = max(1, min(SCORES // len(v), HITS // k))
+    for lo in range(0, len(ids), step):
+        some, own = q[lo : lo + step], kept[lo : lo + step]
+        which, hit = np.nonzero(_top(some @ v.T, k, own.min(axis=1)))
+        exact = np.concatenate([dots(some[which[a : a + HITS]], v[hit[a : a + HITS]]) for a in range(0, len(hit), HITS)] or [np.zeros(0)])
+        by = np.lexsort((vec_id[hit], -exact, which))
+        first = np.searchsorted(which, np.arange(len(some)))
+        rank = np.arange(len(by)) - first[which]  # which is in order, and stays so
+        which, hit, exact = which[by], hit[by], exact[by]
+        go = (rank < k) if least is None else (rank < k) & (exact >= least)
+        which, hit, exact, rank = which[go], hit[go], exact[go], rank[go]
+        new = np.full((len(some), k), -np.inf)
+        new[which, rank] = exact
+        kept[lo : lo + step] = np.partition(np.concatenate([own, new], axis=1), k, axis=1)[:, k:]
+        if len(hit):
+            yield lo + which, hit, exact
 
 
 def best(queries: DataFrame, vectors: DataFrame, k: int, *, per: str | None = None, least: float | None = None) -> DataFrame:
@@ -87,23 +112,19 @@ def best(queries: DataFrame, vectors: DataFrame, k: int, *, per: str | None = No
             ids, q = sent.value
             if not len(ids):
                 return
-            step = max(1, SCORES // len(ids))
+            kept: dict[object, np.ndarray] = {}
             for whole in batches:
-                for at in range(0, whole.num_rows, step):
-                    batch = whole.slice(at, step)
-                    v = normalised(matrix(batch.column("v")))
+                for at in range(0, whole.num_rows, VECTORS):
+                    batch = whole.slice(at, VECTORS)
+                    v, vec_id = normalised(matrix(batch.column("v"))), batch.column("vec_id").to_numpy(zero_copy_only=False)
                     kinds = batch.column(per).to_numpy(zero_copy_only=False) if per else np.zeros(batch.num_rows)
                     for kind in dict.fromkeys(kinds.tolist()):
                         mine = np.flatnonzero(kinds == kind) if kind is not None else np.flatnonzero([x is None for x in kinds])
-                        score = q @ v[mine].T
-                        which, hit = np.nonzero(_top(score, k))
-                        hit = mine[hit]
-                        exact = dots(q[which], v[hit])
-                        if least is not None:
-                            keep = exact >= least
-                            which, hit, exact = which[keep], hit[keep], exact[keep]
-                        if len(hit):
-                            found = batch.take(pa.array(hit))
+                        if kind not in kept and len(kept) == KINDS:
+                            kept.clear()
+                        so_far = kept.setdefault(kind, np.full((len(ids), k), -np.inf))
+                        for which, hit, exact in _hits(ids, q, v[mine], vec_id[mine], k, least, so_far):
+                            found = batch.take(pa.array(mine[hit]))
                             yield pa.RecordBatch.from_arrays([pa.array(ids[which]), *(found.column(c) for c in names), pa.array(exact)], ["query_id", *names, "score"])
 
         schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema if f.name != "v"), "score double"])

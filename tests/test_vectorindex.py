@@ -78,3 +78,31 @@ def test_odd_vectors(spark, tmp_path):
     assert best(asked.limit(0), rows, 3).count() == 0 and best(asked, rows.limit(0), 3).count() == 0
     index = VectorIndex.build(rows, str(tmp_path / "i"))
     assert hits(index.search(asked, 2)) == [(7, 1, 1.0), (7, 4, 1.0)]
+
+
+def test_best_holds_few_hits_at_once(spark, monkeypatch):
+    """Many queries and ties: the same hits as by brute force, and no more are scored exactly at once than are asked for."""
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (700, 4)).astype(float)
+    v[:300] = v[0]
+    label = ["a" if i % 3 else None for i in range(700)]
+    rows = spark.createDataFrame([(i, label[i], v[i].tolist()) for i in range(700)], "vec_id long, label string, v array<double>").repartition(3)
+    u = vectorindex.normalised(v)
+    want = {}
+    for q in range(0, 700, 7):
+        for kind in ("a", None):
+            mine = np.array([i for i in range(700) if label[i] == kind])
+            score = vectorindex.dots(np.repeat(u[[q]], len(mine), 0), u[mine])
+            want[q, kind] = [(int(mine[k]), float(score[k])) for k in np.lexsort((mine, -score))[:5]]
+    found = {}
+    for x in vectorindex.best(rows.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows, 5, per="label").collect():
+        found.setdefault((x.query_id, x.label), []).append((x.vec_id, x.score))
+    assert {k: sorted(x, key=lambda h: (-h[1], h[0])) for k, x in found.items()} == want
+    sizes, plain = [], vectorindex.dots
+    monkeypatch.setattr(vectorindex, "HITS", 100)
+    monkeypatch.setattr(vectorindex, "dots", lambda a, b: sizes.append(len(a)) or plain(a, b))
+    kept = np.full((100, 5), -np.inf)
+    sent = [len(w) for w, _, _ in vectorindex._hits(np.arange(100), u[:700:7], u, np.arange(700), 5, None, kept)]
+    assert max(sizes) <= 100 and sum(sent) == 500 and np.isfinite(kept).all()
+    again = [len(w) for w, _, _ in vectorindex._hits(np.arange(100), u[:700:7], u[600:], np.arange(600, 700), 5, None, kept)]
+    assert sum(again) < 500  # what isn't among the best so far goes no further
