@@ -3,6 +3,7 @@
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +43,21 @@ def test_trigrams_of_long_and_odd_texts(tables, spark):
     began = time.time()
     assert long.select(textindex.trigram_count(F.lower("x"), F.length("x"))).first()[0] == 4
     assert time.time() - began < 30
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """Python tasks get texts by bytes, not 10,000 rows however long; a limit that the session sets itself stays."""
+    from scriptloom import session
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    session.ship(spark)
+    found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 5 and max(found) < 1.5 * session.BATCH_BYTES
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
+    session.ship(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in (str(1 << 20), f"{1 << 20}b")
