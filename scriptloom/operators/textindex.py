@@ -31,8 +31,13 @@ BLOCK = 4 << 20
 BUCKETS = 64
 #: Rare trigrams of a needle whose postings are intersected; the text decides the rest.
 RAREST = 4
-#: Postings of a block with more rows than this are dealt by block too, so that no task writes all of a frequent trigram's.
-FREQUENT = 256
+#: Postings of a block with more rows than this are dealt to so many tasks a folder, by block, so that no task writes all of a
+#: frequent trigram's, and a folder gets few files however many tasks there are.
+FREQUENT, SPREAD = 256, 4
+#: Bytes of a file's Bloom filter: some 10,000 trigrams at one in a hundred. Spark's own size is a megabyte a file.
+BLOOM = 16 << 10
+#: Characters whose trigrams are sorted at once.
+SORTED = 1 << 19
 #: The index's own columns of the texts.
 OWN = ("_block", "_at", "_part")
 #: Blocks that are named in the scan's filter; more are joined, and pruned as the scan runs.
@@ -56,19 +61,55 @@ def trigram_count(low: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else one(x, int(n)) for x, n in zip(low, length, strict=True)], dtype="Int32")
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Ascending numbers as differences, seven bits a byte, low first; the last byte of each has the high bit."""
-    left = np.diff(numbers, prepend=0).astype(np.uint64)
+def trigram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of each text, as pairs of a trigram (a number as above) and its text's place in the list, in order."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    used = np.zeros(0x110000, np.int32)
+    used[codes] = 1
+    alphabet = np.flatnonzero(used)
+    used[alphabet] = np.arange(len(alphabet))
+    bits, low = max(0, len(alphabet) - 1).bit_length(), max(0, len(texts) - 1).bit_length()
+    if 3 * bits + low > 63:  # one text always fits
+        half = len(texts) // 2
+        (g, r), (h, q) = trigram_rows(texts[:half]), trigram_rows(texts[half:])
+        g, r = np.append(g, h), np.append(r, q + half)
+        by = np.lexsort((r, g))
+        return g[by], r[by]
+    dense, row, keys = used[codes], np.repeat(np.arange(len(texts), dtype=np.int32), size), [np.zeros(0, np.int64)]
+    for x in range(0, len(codes) - 2, SORTED):
+        c, r = dense[x : x + SORTED + 2].astype(np.int64), row[x : x + SORTED + 2]
+        key = np.sort(((c[2:] << 2 * bits | c[1:-1] << bits | c[:-2]) << low | r[:-2])[r[:-2] == r[2:]])
+        keys.append(key[np.append(True, key[1:] != key[:-1])[: len(key)]])
+    key = np.sort(np.concatenate(keys))
+    key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+    of, mask = key >> low, (1 << bits) - 1
+    if not len(key):
+        return key, key
+    return alphabet[of & mask] | alphabet[of >> bits & mask] << 21 | alphabet[of >> 2 * bits] << 42, key & ((1 << low) - 1)
+
+
+def packed_lists(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ascending numbers, one after the other, that begin at the places first: the differences in each, seven bits a
+    byte, low first; the last byte of each number has the high bit. Their bytes, and where each list's bytes begin and the last ends."""
+    left = np.diff(numbers, prepend=0)
+    left[first] = numbers[first]
+    left = left.astype(np.uint64)
     size = np.ones(len(left), np.int64)
     for k in range(1, 9):
         size += left >> np.uint64(7 * k) > 0
-    at = np.cumsum(size) - size
+    ends = np.cumsum(size)
+    at = ends - size
     out = np.zeros(int(size.sum()), np.uint8)
     for k in range(int(size.max(initial=0))):
         has = size > k
         out[at[has] + k] = (left[has] >> np.uint64(7 * k)).astype(np.uint8) & 127
-    out[at + size - 1] |= 128
-    return out.tobytes()
+    out[ends - 1] |= 128
+    return out, np.append(at[first], len(out))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    return packed_lists(numbers, np.zeros(min(1, len(numbers)), np.int64))[0].tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -127,30 +168,28 @@ class TextIndex:
         low = self.texts().select("_block", "_at", F.lower(self.text).alias("low")).filter("low is not null")
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[tuple[int, np.ndarray]]] = {}
+            held: dict[int, list[tuple[int, str]]] = {}
             for batch in batches:  # a file of one block is read by one task or more, so a block may have several rows a trigram
                 for block, at, t in zip(*(batch.column(c).to_pylist() for c in ("_block", "_at", "low")), strict=True):
                     if block not in held:
                         for b in list(held):
                             yield rows_of(b, held.pop(b))
-                    held.setdefault(block, []).append((at, trigrams(t)))
+                    held.setdefault(block, []).append((at, t))
             for b in list(held):
                 yield rows_of(b, held.pop(b))
 
-        def rows_of(block: int, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            grams = np.concatenate([g for _, g in found])
-            at = np.repeat(np.array([a for a, _ in found], np.int64), [len(g) for _, g in found])
-            by = np.lexsort((at, grams))
-            grams, at = grams[by], at[by]
-            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-            ends = np.append(first[1:], len(grams)) if len(grams) else first
-            data = [packed(at[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(grams[first]), pa.array(np.full(len(first), block)), pa.array(ends - first), pa.array(data, pa.binary())], ["gram", "block", "n", "places"])
+        def rows_of(block: int, found: list[tuple[int, str]]) -> pa.RecordBatch:
+            found.sort(key=lambda x: x[0])
+            grams, row = trigram_rows([t for _, t in found])
+            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+            data, ends = packed_lists(np.array([a for a, _ in found], np.int64)[row], first)
+            lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array(grams[first]), pa.array(np.full(len(first), block)), pa.array(np.diff(np.append(first, len(grams)))), lists], ["gram", "block", "n", "places"])
 
         rows = low.mapInArrow(post, "gram long, block long, n long, places binary").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-        spread = F.when(F.col("n") > FREQUENT, F.col("block")).otherwise(F.lit(0))
+        spread = F.when(F.col("n") > FREQUENT, F.pmod(F.xxhash64("block"), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
         dealt = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "bucket", spread).sortWithinPartitions("bucket", "gram", "block")
-        dealt.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#gram", "true").option("compression", "zstd").parquet(f"{self.folder}/postings")
+        dealt.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#gram", "true").option("parquet.bloom.filter.max.bytes", str(BLOOM)).option("compression", "zstd").parquet(f"{self.folder}/postings")
 
     def candidates(self, needle: str) -> DataFrame | None:
         """(_block, _at) of rows that have the rarest trigrams of a needle; None if some trigram is nowhere."""

@@ -1,6 +1,7 @@
 """Substring search by the trigram index: equal to contains on all rows, and what it reads."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -90,3 +91,26 @@ def test_frequent_trigrams_have_a_row_for_each_block(index):
 def test_no_rows(spark, tmp_path):
     made = TextIndex.build(spark.createDataFrame([], "id long, content string"), str(tmp_path / "i"))
     assert made.search("license").count() == 0 and made.search("").count() == 0
+
+
+@given(st.lists(st.text(max_size=30), max_size=6), st.booleans())
+def test_trigrams_of_many_texts(texts, wide):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts] + (["".join(map(chr, range(0x10000, 0x10000 + 140_000)))] * 2 if wide else [])  # too many characters for one number
+    grams, row = textindex.trigram_rows(texts)
+    want = [(g, k) for k, t in enumerate(texts) for g in trigrams(t).tolist()]
+    assert list(zip(grams.tolist(), row.tolist(), strict=True)) == sorted(want) if not wide else len(grams) == len(want)
+
+
+@given(st.lists(st.lists(st.integers(0, 1 << 40), unique=True, min_size=1, max_size=9), max_size=9))
+def test_many_lists_in_seven_bits(lists):
+    size = [len(x) for x in lists]
+    data, ends = textindex.packed_lists(np.array([n for x in lists for n in sorted(x)], np.int64), np.cumsum([0, *size[:-1]])[: len(size)].astype(np.int64))
+    assert [unpacked(data[a:b].tobytes()).tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [sorted(x) for x in lists]
+
+
+def test_few_small_files_of_postings(index):
+    """However many tasks and blocks there are, a folder gets few files, and their Bloom filters are small."""
+    _, made = index
+    files = [Path(f) for f in Path(made.folder, "postings").glob("bucket=*/*.parquet")]
+    per = [sum(f.parent == d for f in files) for d in {f.parent for f in files}]
+    assert max(per) <= 1 + textindex.SPREAD and max(f.stat().st_size for f in files) < 200_000
