@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space as Python's str.strip() sees it.
-BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+BLANK, SOLID = r"[\s\x1c-\x1f\x85\p{Z}]", r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 # Word lists, patterns and texts that results depend on.
 NETWORK = ["socket", "requests", "urllib", "http", "ftp", "smtp"]
@@ -51,7 +51,8 @@ def is_comment(line: Column) -> Column:
 
 
 def is_blank(line: Column) -> Column:
-    return strip(line) == ""
+    """Whether there is nothing but white space: read up to the first other character only."""
+    return ~line.rlike(SOLID)
 
 
 def count_lines(c: Column, test) -> Column:
@@ -93,7 +94,8 @@ SORTED = 1 << 21
 @F.pandas_udf(T.DoubleType())
 def entropy(c: pd.Series) -> pd.Series:
     """Shannon entropy in bits a character; 0 for the empty text, null for null. Counting characters natively takes a pass
-    over the text for each different one, so this goes by Arrow batches: one sort of (row, character) for many texts."""
+    over the text for each different one, so this goes by Arrow batches: (row, character) of many texts are counted in a table,
+    or sorted where that would be sparse."""
     texts = c.fillna("").tolist()
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     out = np.zeros(len(texts))
@@ -102,11 +104,19 @@ def entropy(c: pd.Series) -> pd.Series:
         codes = np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
         if not len(codes):
             continue
-        key = np.sort(np.repeat(np.arange(b - a), size[a:b]) << 21 | codes)
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        n = np.diff(np.append(first, len(key)))
+        place = np.zeros(0x110000, np.int64)
+        place[codes] = 1
+        wide, row = int(place.sum()), np.repeat(np.arange(b - a), size[a:b])
+        if wide * (b - a) <= len(codes):
+            table = np.bincount(row * wide + (np.cumsum(place) - 1)[codes])
+            cell = np.flatnonzero(table)
+            n, rows = table[cell], cell // wide
+        else:
+            key = np.sort(row << 21 | codes)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n, rows = np.diff(np.append(first, len(key))), key[first] >> 21
         some = np.flatnonzero(size[a:b])
-        parts, rows = n * np.log2(n), key[first] >> 21
+        parts = n * np.log2(n)
         cut = np.searchsorted(rows, some).tolist()
         total = np.array([parts[x:y].sum() for x, y in zip(cut, [*cut[1:], len(rows)], strict=True)])
         out[a:b][some] = np.log2(size[a:b][some]) - total / size[a:b][some]

@@ -103,7 +103,8 @@ def sanitized(rows: DataFrame, content: str = "content", *, min_entropy: float =
     rows = rows.withColumn("blank_share", 1 - F.col("filled_lines") / F.col("n_lines"))
     cleaned = t.normalise_space(cleaner(c) if cleaner else c)
     rows = rows.withColumn("clean", cleaned)
-    reason = _first((c.isNull() | (t.strip(c) == ""), "empty_content"), (sanitizer_binary(c), "binary_data_detected"), (F.col("entropy") < hard_entropy, "extremely_low_entropy"), (F.col("filled_lines") == 0, "no_valid_lines"), (F.length("clean") < 10, "content_too_short_after_cleaning"))
+    # texts without filled lines are empty_content
+    reason = _first((c.isNull() | t.is_blank(c), "empty_content"), (sanitizer_binary(c), "binary_data_detected"), (F.col("entropy") < hard_entropy, "extremely_low_entropy"), (F.length("clean") < 10, "content_too_short_after_cleaning"))
     warnings = t.present(F.when(F.col("entropy") < min_entropy, "low_entropy"), F.when(F.col("max_line") > long_line, "long_line"), F.when(F.col("filled_lines") < min_lines, "few_lines"), F.when(F.col("blank_share") > max_blank, "blank_lines"))
     return rows.withColumn("reason", reason).withColumn("warnings", warnings).withColumn("compression_ratio", F.try_divide(F.length("clean"), F.length(c))).withColumn("clean", F.when(F.col("reason").isNull(), F.col("clean")))
 

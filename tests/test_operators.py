@@ -341,3 +341,25 @@ def test_chunks_by_strategy(spark):
     rows = spark.createDataFrame([(1, "x = 1\n\n\ndef f():\n    return 1\n")], "id long, content string")
     kinds = {s: [r.chunk_type for r in chunking.chunk(rows, s).collect()] for s in ("sliding", "hierarchical", "whole")}
     assert kinds == {"sliding": ["sliding_window"], "hierarchical": ["module", "function"], "whole": ["whole"]}
+
+
+def test_windows_do_not_carry_whole_texts_and_blanks_are_told_early(spark):
+    """Windows are made before they become rows; blank texts need no copy of the text; entropies are those of a plain count."""
+    words = [str(k) for k in range(1000)]
+    texts = [None, "", " \n \x1c\x85　", "a " * 150, "\n x", " ".join(words), "  " + "\t".join(words) + " \n", "é名" * 90 + "".join(map(chr, range(0x4E00, 0x4E00 + 500))), "x y " * 64, "x y " * 64 + "z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string").withColumn("other", F.lit(1)).coalesce(1)
+    got = chunking.sliding(rows, 128, 16)
+    assert got.columns[:3] == ["id", "content", "other"] and got.columns[3:] == ["parent_id", "parent_context", "total_chunks", "chunk_index", "start_token", "end_token", "token_count", "chunk_id", "chunk_type"]
+    want = []
+    for i, x in enumerate(texts):
+        split = (x or "").split()
+        last = max(0, math.ceil((len(split) - 128) / 112))
+        want += [(i, k, x if len(split) <= 128 else " ".join(split[k * 112 : k * 112 + 128]), k * 112, min(len(split), k * 112 + 128), last + 1) for k in range(last + 1) if split]
+    assert sorted(got.select("id", "chunk_index", "content", "start_token", "end_token", "total_chunks").collect()) == sorted(want)
+    generate = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in x)
+    assert "posexplode" in generate
+    found = {r.id: r for r in quality.sanitized(rows).collect()}
+    assert [found[i].reason for i in range(3)] == ["empty_content"] * 3 and found[3].reason == "extremely_low_entropy" and found[5].reason is None
+    for i, x in enumerate(texts[1:], 1):
+        assert math.isclose(found[i].entropy, -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values()), abs_tol=1e-9)
+    assert spark.range(1).select(t.is_blank(F.lit("  "))).first()[0] and "regexp_replace" not in str(t.is_blank(F.col("x")))
