@@ -7,6 +7,7 @@ shares a prefix token under every order.
 
 Documents with equal sets are one class from the start. A token that few classes have in their prefix gives their
 pairs (a bounded number for each); one that many have (a family of near copies) only ties them to the least of them.
+The first order is joined over all classes, the others only over classes that got a pair from it, which are few.
 What survives all orders, with these ties, falls into clusters, and every cluster is verified on its whole sets by
 tasks: a class is compared with others until all are known to be connected or not. Clusters beyond a bound are
 compared block against block, so no task holds more than two blocks.
@@ -15,7 +16,7 @@ compared block against block, so no task holds more than two blocks.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -112,27 +113,38 @@ def needed(size: np.ndarray | int, per_cent: int):
     return -(-per_cent * size // 100)
 
 
-def prefixes(tokens: np.ndarray, levels: np.ndarray, per_cent: int) -> list[np.ndarray]:
-    """The prefix of a set under each order."""
+def prefixes(tokens: np.ndarray, levels: np.ndarray, per_cent: int, orders: Sequence[int] = range(ORDERS)) -> list[np.ndarray]:
+    """The prefix of a set under each of the orders."""
     size = len(tokens) - needed(len(tokens), per_cent) + 1
     one, two = cells(tokens)
     a, b = levels[0][one], levels[1][two]
     out = []
-    for k, level in enumerate((np.minimum(a, b), b, a)):
+    for k in orders:
+        level = (np.minimum(a, b), b, a)[k]
         rank = level.astype(np.uint64) << np.uint64(56) | mixed(tokens, 20 + k) >> np.uint64(8)
         out.append(tokens[np.argpartition(rank, size - 1)[:size]] if size < len(tokens) else tokens)
     return out
 
 
-def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets: int, name: Callable[[np.ndarray], int] = set_id) -> DataFrame:
-    """For each order and bucket of tokens: arrays of (token, class, size), once for each class and task."""
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: the upper bytes, which are alike, stand together and so are compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
+def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets: int, name: Callable[[np.ndarray], int] = set_id, orders: Sequence[int] = range(ORDERS), test: Callable | None = None) -> DataFrame:
+    """For each of the orders and bucket of tokens: arrays of (token, class, size), once for each class and task; only of rows whose
+    keys pass the test, if there is one."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, total = set(), [[] for _ in range(ORDERS)], 0
+        seen, held, total = set(), [[] for _ in orders], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for order, rows in enumerate(held):
+            for order, rows in zip(orders, held, strict=True):
                 if rows:
                     token = np.concatenate([r[0] for r in rows])
                     owner = np.repeat(np.array([r[1] for r in rows], np.int64), [len(r[0]) for r in rows])
@@ -144,15 +156,17 @@ def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets
                     spans = list(zip(cuts, cuts[1:], strict=False))
                     yield pa.RecordBatch.from_pydict({
                         "deal": pa.array([order * buckets + int(bucket[a]) for a, _ in spans], pa.int64()),
-                        "token": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "owner": pa.array([owner[a:b].tobytes() for a, b in spans], pa.binary()), "size": pa.array([size[a:b].tobytes() for a, b in spans], pa.binary()),
+                        "token": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "owner": pa.array([owner[a:b].tobytes() for a, b in spans], pa.binary()), "size": pa.array([planes(size[a:b]) for a, b in spans], pa.binary()),
                     })
                 rows.clear()
 
         for batch in slices(batches, "text", 1 << 20):
+            if test is not None:
+                batch = having_keys(batch, test)
             for tokens in token_sets(batch.column("text"), n):
                 if len(tokens) and (owner := name(tokens)) not in seen:
                     seen.add(owner)
-                    for rows, p in zip(held, prefixes(tokens, sent.value, per_cent), strict=True):
+                    for rows, p in zip(held, prefixes(tokens, sent.value, per_cent, orders), strict=True):
                         rows.append((p, owner, len(tokens)))
                         total += len(p)
             if total > 3_000_000:
@@ -160,7 +174,12 @@ def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets
                 total = 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "deal long, token binary, owner binary, size binary")
+    return docs.select(*(["doc_id"] if test else []), "text").mapInArrow(run, "deal long, token binary, owner binary, size binary")
+
+
+def having_keys(batch: pa.RecordBatch, test: Callable) -> pa.RecordBatch:
+    """The rows whose doc_id passes the test; without a key they are known by NULL_KEY."""
+    return batch.filter(pa.array(test(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))))
 
 
 def near_pairs(dealt: DataFrame, per_cent: int, buckets: int) -> DataFrame:
@@ -169,7 +188,8 @@ def near_pairs(dealt: DataFrame, per_cent: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["deal"]):
             order = table.column("deal")[0].as_py() // buckets
-            token, owner, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("token", np.uint64), ("owner", np.int64), ("size", np.int32)))
+            token, owner = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("token", np.uint64), ("owner", np.int64)))
+            size = np.concatenate([from_planes(x, np.int32) for x in table.column("size").to_pylist()])
             by = np.lexsort((owner, size, token))
             token, owner, size = token[by], owner[by], size[by].astype(np.int64)
             new = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
@@ -227,7 +247,7 @@ def connect(sets: list[np.ndarray], levels: np.ndarray, per_cent: int) -> list[i
     by = np.argsort(flat, kind="stable")
     lists = []
     for k in range(ORDERS):
-        p = [prefixes(x, levels, per_cent)[k] for x in sets]
+        p = [prefixes(x, levels, per_cent, (k,))[0] for x in sets]
         t, o = np.concatenate(p), np.repeat(np.arange(m), [len(x) for x in p])
         s = np.argsort(t, kind="stable")
         lists.append((p, t[s], o[s]))
@@ -285,10 +305,16 @@ def linked_classes(base: DataFrame, *, words: int, per_cent: int, identify: Call
         told = told.withColumn("class", F.when(F.col("class").isin(list(clashes)), F.col("check")).otherwise(F.col("class")))
         classes = stored(told.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
     told, classes, name = told.drop("check"), classes.select("class", "rep"), functools.partial(set_id, clashes=clashes, identify=identify)
-    pairs = stored(near_pairs(postings(base, levels, words, per_cent, buckets, name), per_cent, buckets))
-    survive = pairs.filter("kind >= 0").groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("orders")).filter(F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
     # rep says which row brings the set of a class; any row without a key may
     filled = F.coalesce("rep", F.lit(NULL_KEY).cast("long")).alias("rep")
+
+    def pairs_of(orders: Sequence[int], test: Callable | None = None) -> DataFrame:
+        return stored(near_pairs(postings(base, levels, words, per_cent, buckets, name, orders, test), per_cent, buckets))
+
+    first = pairs_of((0,))
+    paired = first.filter("kind = 0").select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    pairs = first.union(pairs_of(range(1, ORDERS), bloom_of(stored(paired.join(classes, "class").select(filled)))))
+    survive = pairs.filter("kind >= 0").groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("orders")).filter(F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
     clusters = stored(components(survive.union(pairs.filter("kind < 0").select("a", "b"))).withColumnRenamed("id", "class").join(classes, "class").select("class", filled, "root"))
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     test = bloom_of(clusters.select("rep"))
@@ -297,7 +323,7 @@ def linked_classes(base: DataFrame, *, words: int, per_cent: int, identify: Call
         seen = set()
         for batch in slices(batches, "text", 1 << 20):
             if test is not None:
-                batch = batch.filter(pa.array(test(batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))))
+                batch = having_keys(batch, test)
             out = []
             for rep, tokens in zip(batch.column("doc_id").fill_null(NULL_KEY).to_pylist(), token_sets(batch.column("text"), words), strict=True):
                 if len(tokens) and (one := (name(tokens), rep)) not in seen:

@@ -104,3 +104,22 @@ def test_rows_without_a_key_are_spread(spark):
     assert sorted(r.position for r in mixed) == list(range(4000)) and len({r.text for r in mixed}) == 4000
     cells = rows.select(F.substring(F.md5(F.to_json(F.struct("*"))), 1, mixing.CELL_DIGITS).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
     assert cells < 20
+
+
+def test_further_orders_are_joined_over_paired_classes_only(spark, monkeypatch):
+    """Postings under the second and third order come only from documents that the first one paired; sizes travel by their bytes."""
+    sizes = np.array([1, 255, 256, 70_000, (1 << 31) - 1], np.int32)
+    assert (jaccard_join.from_planes(jaccard_join.planes(sizes), np.int32) == sizes).all() and len(jaccard_join.from_planes(b"", np.int32)) == 0
+    texts = [" ".join(f"u{k}x{w}" for w in range(50)) for k in range(300)]
+    base = [f"b{w}" for w in range(200)]
+    family = [(300, base), (301, [*base, "more"]), (302, [*base[:100], "other", *base[101:]]), (None, [*base, "keyless"])]
+    rows = [(k if k % 7 else None, x) for k, x in enumerate(texts)] + [(k, " ".join(x)) for k, x in family]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = []
+    monkeypatch.setattr(jaccard_join, "postings", lambda *a, f=jaccard_join.postings: made.append(f(*a)) or made[-1])
+    found = jaccard_join.jaccard_join(docs, words=3, per_cent=90).collect()
+    assert len(found) == 304 and {(x.doc_id, x.n_shingles): x.component_id for x in found if x.n_shingles > 48} == {(300, 198): 300, (301, 199): 300, (302, 198): 300, (None, 199): 300}
+    assert all(x.component_id == x.doc_id for x in found if x.n_shingles == 48)
+    first, more = ({o for x in p.select("owner").collect() for o in np.frombuffer(bytes(x.owner), np.int64).tolist()} for p in made)
+    # documents without a key are tested as one: the family and some forty others
+    assert len(first) == 304 and 4 <= len(more) <= 60
