@@ -169,7 +169,7 @@ def postings(docs: DataFrame, levels: np.ndarray, n: int, per_cent: int, buckets
                     for rows, p in zip(held, prefixes(tokens, sent.value, per_cent, orders), strict=True):
                         rows.append((p, owner, len(tokens)))
                         total += len(p)
-            if total > 3_000_000:
+            if total > 1_000_000:
                 yield from flush()
                 total = 0
         yield from flush()
